@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from vacancia.llm import bpe, covertree, packing, simhash
+from vacancia.llm import bpe, covertree, langid, packing, simhash
 from vacancia.llm.common import table
 
 TOKENIZER = "word_bpe_49k.json"
@@ -19,6 +19,10 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op7_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(table(spark, sf_dir, "documents"))
+
+
 def op9_covertree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return covertree.near_vectors(table(spark, sf_dir, "embeddings"))
 
@@ -27,5 +31,5 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
 
 
-QUERIES = {f.__name__: f for f in (op2_packing, op6_simhash, op9_covertree, op10_bpe)}
+QUERIES = {f.__name__: f for f in (op2_packing, op6_simhash, op7_langid, op9_covertree, op10_bpe)}
 ORACLES: dict[str, str] = {}
