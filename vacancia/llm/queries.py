@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from vacancia.llm import bpe, covertree, langid, packing, simhash
+from vacancia.llm import bpe, covertree, langid, packing, simhash, toxicity
 from vacancia.llm.common import table
 
 TOKENIZER = "word_bpe_49k.json"
@@ -15,6 +15,10 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -31,5 +35,5 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
 
 
-QUERIES = {f.__name__: f for f in (op2_packing, op6_simhash, op7_langid, op9_covertree, op10_bpe)}
+QUERIES = {f.__name__: f for f in (op2_packing, op5_toxicity, op6_simhash, op7_langid, op9_covertree, op10_bpe)}
 ORACLES: dict[str, str] = {}
