@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from vacancia.llm import avi, bpe, covertree, langid, packing, simhash, toxicity
+from vacancia.llm import avi, bpe, covertree, langid, licenses, packing, simhash, toxicity
 from vacancia.llm.common import table
 
 TOKENIZER = "word_bpe_49k.json"
@@ -19,6 +19,10 @@ def op3_avi(spark: SparkSession, sf_dir: str) -> DataFrame:
     return avi.digest(avi.store(table(spark, sf_dir, "documents")))
 
 
+def op4_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -39,5 +43,5 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
 
 
-QUERIES = {f.__name__: f for f in (op2_packing, op3_avi, op5_toxicity, op6_simhash, op7_langid, op9_covertree, op10_bpe)}
-ORACLES: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op2_packing, op3_avi, op4_licenses, op5_toxicity, op6_simhash, op7_langid, op9_covertree, op10_bpe)}
+ORACLES: dict[str, str] = {"op4_licenses": licenses.ORACLE_SQL}
