@@ -203,6 +203,8 @@ def clips(media: bytes) -> tuple[bytes, list[tuple[int, int, float, float]]]:
         samples = decode_frames(jpegs[at : at + BLOCK])
         parts.append(samples.tobytes())
         seen.append(histograms(samples))
+        if (filled := length - (len(jpegs) - 1) * FRAME) < FRAME and at + BLOCK >= len(jpegs):  # what fills the last frame up is no picture
+            seen[-1][-1] = np.bincount(samples[-1, :filled] >> (8 - (BINS - 1).bit_length()), minlength=BINS) / filled
     payload = b"".join(parts)[:length]
     if len(payload) != length:
         raise ValueError("frames are missing")
