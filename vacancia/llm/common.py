@@ -6,7 +6,7 @@ import tempfile
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
@@ -55,6 +55,20 @@ def filter_rows(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], lis
     return df.mapInArrow(run, df.schema)
 
 
+def bounded_sample(rows: DataFrame, group: str, most: Column, most_groups: int) -> DataFrame:
+    """Of (doc_id, group) rows, for each of the ``most_groups`` largest groups at most ``most`` rows, those of the least hash of the id.
+
+    The rows are first cut down to about twice as many by their hash, at a share that follows from the
+    group's size, so the group that the ranking brings together is of bounded size itself.
+    """
+    span = float(1 << 30)
+    sizes = rows.groupBy(F.col(group).alias("of")).count().orderBy(F.desc("count"), "of").limit(most_groups)
+    near = rows.join(F.broadcast(sizes), F.col(group) == F.col("of")).withColumn("hash", F.pmod(F.xxhash64("doc_id"), F.lit(int(span))))
+    near = near.where(F.col("hash") < F.lit(span) * (2 * most + 64) / F.col("count"))
+    ranked = near.withColumn("rank", F.row_number().over(Window.partitionBy(group).orderBy("hash", "doc_id")))
+    return ranked.where(F.col("rank") <= most).select("doc_id", group)
+
+
 def connected_components(edges: DataFrame) -> DataFrame:
     """(node, component) for every node of ``edges`` (a, b of one type), component the smallest node reachable.
 

@@ -21,10 +21,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vacancia.llm.common import filter_rows, map_arrow, texts
+from vacancia.llm.common import bounded_sample, filter_rows, map_arrow, texts
 
 FEATURES = 1 << 15
 SAMPLE_PER_LANGUAGE = 800
@@ -158,11 +158,8 @@ def held_out(doc_id: str = "doc_id"):
 
 def fit(docs: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE) -> Model:
     known = docs.select("doc_id", "lang").where(~held_out() & F.col("lang").isNotNull())
-    by_hash = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    sample = known.withColumn("rank", F.row_number().over(by_hash)).where(F.col("rank") <= per_language)
-    languages = sample.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES)
     # at most per_language x MOST_LANGUAGES ids
-    chosen = sample.join(F.broadcast(languages.select("lang")), "lang").select("doc_id").distinct()
+    chosen = bounded_sample(known, "lang", F.lit(per_language), MOST_LANGUAGES).select("doc_id").distinct()
 
     def make():
         def step(batch: pa.RecordBatch):

@@ -21,10 +21,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vacancia.llm.common import filter_rows, map_arrow, texts
+from vacancia.llm.common import bounded_sample, filter_rows, map_arrow, texts
 from vacancia.llm.langid import held_out
 
 WINDOW, STRIDE = 32, 24
@@ -349,8 +349,7 @@ class Scorer:
 def fit(docs: DataFrame, labels: DataFrame, per_label: int = SAMPLE_PER_LABEL) -> Network | None:
     known = labels.where("doc_id is not null and toxic is not null").where(~held_out()).groupBy("doc_id").agg(F.max(F.when(F.col("toxic") > 0, 1).otherwise(0)).alias("toxic"))
     known = known.join(docs.select("doc_id").distinct(), "doc_id", "left_semi")
-    by_hash = Window.partitionBy("toxic").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = known.withColumn("rank", F.row_number().over(by_hash)).where(F.col("rank") <= F.when(F.col("toxic") > 0, per_label).otherwise(NEGATIVES * per_label)).where(F.col("rank") <= NEGATIVES * per_label).select("doc_id", "toxic")
+    chosen = bounded_sample(known, "toxic", F.when(F.col("toxic") > 0, per_label).otherwise(NEGATIVES * per_label), 2)
     # at most (1 + NEGATIVES) x per_label rows
     rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text")).collect()
     rows = sorted(rows, key=lambda r: r["doc_id"])
