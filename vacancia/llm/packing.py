@@ -16,6 +16,7 @@ each; a null doc_id is carried; other columns of the input are ignored; no rows
 
 from __future__ import annotations
 
+import struct
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Callable, Iterator
@@ -29,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from vacancia.llm.bpe import Cache, chunks, per_worker
+from vacancia.llm.bpe import Cache, SegmentTreeBpe, byte_symbols, chunks, per_worker
 from vacancia.llm.common import checkpoint, texts
 
 SEQUENCE_TOKENS = 4096
@@ -157,11 +158,16 @@ def chunk_ids(content: str, end: bytes) -> Callable[[str], bytes]:
     """A function from a text to its little-endian ids and the end id; each distinct chunk is encoded once."""
     from tokenizers import Tokenizer
 
-    tokenizer = Tokenizer.from_str(content)
+    bpe, model = SegmentTreeBpe(content), Tokenizer.from_str(content).model
+    printable = str.maketrans(dict(enumerate(byte_symbols())))
 
     def entry(chunk: str) -> bytes:
-        ids = tokenizer.encode(chunk, add_special_tokens=False).ids
-        return b"".join(i.to_bytes(ID_BYTES, "little") for i in ids)
+        """The library's model on the normalised pieces of a chunk; a special token's text by the whole encoder."""
+        if "<|" in chunk:
+            found = bpe.encode(chunk)
+        else:
+            found = [t.id for piece in bpe.pieces(chunk) for t in model.tokenize(piece if piece.isascii() and piece.isalnum() else piece.encode().decode("latin-1").translate(printable))]
+        return struct.pack(f"<{len(found)}I", *found)
 
     cache = Cache(entry, 300_000)
 
