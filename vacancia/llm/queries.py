@@ -5,12 +5,16 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from vacancia.llm import avi, bpe, covertree, langid, licenses, packing, simhash, toxicity
+from vacancia.llm import avi, bpe, covertree, extract, langid, licenses, packing, quotes, simhash, toxicity
 from vacancia.llm.common import table
 
 TOKENIZER = "word_bpe_49k.json"
 
 
+def op1_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quotes.conversations(table(spark, sf_dir, "conversations"))
+
+
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
 
@@ -35,6 +39,10 @@ def op7_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"))
 
 
+def op8_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract.extract(table(spark, sf_dir, "pages"))
+
+
 def op9_covertree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return covertree.near_vectors(table(spark, sf_dir, "embeddings"))
 
@@ -43,5 +51,5 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
 
 
-QUERIES = {f.__name__: f for f in (op2_packing, op3_avi, op4_licenses, op5_toxicity, op6_simhash, op7_langid, op9_covertree, op10_bpe)}
+QUERIES = {f.__name__: f for f in (op1_quotes, op2_packing, op3_avi, op4_licenses, op5_toxicity, op6_simhash, op7_langid, op8_extract, op9_covertree, op10_bpe)}
 ORACLES: dict[str, str] = {"op4_licenses": licenses.ORACLE_SQL}
