@@ -163,3 +163,9 @@ def brute_force(rows: list[tuple[int, str | None]], radius: int = RADIUS) -> lis
             component = [new if c == old else c for c in component]
     names = {c: min(r[0] for r, d in zip(rows, component) if d == c) for c in set(component)}
     return [(r[0], f"{f:016x}", names[c]) for r, f, c in zip(rows, fps, component)]
+
+
+def keep_one_of_each(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """The rows of the smallest doc_id of each component, one of each doc_id, with all columns; rows without an id stay."""
+    stay = near_duplicates(docs, radius).where("doc_id = component_id").select("doc_id").distinct()
+    return docs.join(stay, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(docs.columns).union(docs.where("doc_id is null"))
