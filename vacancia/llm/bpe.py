@@ -100,16 +100,20 @@ class SegmentTreeBpe:
         for rank, pair in enumerate(model["merges"]):
             a, b = pair.split(" ") if isinstance(pair, str) else pair
             self._pairs.setdefault((self.vocab[a], self.vocab[b]), (rank, self.vocab[a + b]))
+        self._none = (len(model["merges"]), -1)  # after every rank
         self._special = re.compile("(" + "|".join(map(re.escape, self.specials)) + ")") if self.specials else None
+        self._first_of_special = min((s[:2] for s in self.specials), default="") if len({s[:2] for s in self.specials}) == 1 else ""
         self._classes = _Classes()
         self._content, self._library = content, None
-        self._by_piece = Cache(self._encode_piece, 100_000)
+        self._by_piece = Cache(self._encode_piece, 150_000)
 
     def merge(self, symbols: list[int]) -> list[int]:
         """Symbols after all merges: again and again the leftmost pair of the lowest rank."""
         n, get = len(symbols), self._pairs.get
         if n == 1:
             return symbols
+        if n <= 1 << FAN_BITS:
+            return self._merge_in_one_node(symbols)
         none = len(self._pairs) * n + n
         found = [get(x) for x in zip(symbols, symbols[1:])]
         leaves = [f[0] * n + i if f else none for i, f in enumerate(found)]
@@ -119,31 +123,57 @@ class SegmentTreeBpe:
             return symbols
         symbols, merged = list(symbols), [f[1] if f else 0 for f in found]
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        put, root = tree.put, tree.levels[-1]
         while least != none:
             i = least % n
             j = after[i]
-            symbols[i], symbols[j] = merged[i], -1
+            new = symbols[i] = merged[i]
             k = after[i] = after[j]
-            if j < n - 1:
-                tree.put(j, none)
-            value = none
+            symbols[j] = -1
             if k < n:
+                put(j, none)
                 before[k] = i
-                if f := get((symbols[i], symbols[k])):
-                    value, merged[i] = f[0] * n + i, f[1]
-            tree.put(i, value)
-            if (h := before[i]) >= 0:
-                value = none
-                if f := get((symbols[h], symbols[i])):
-                    value, merged[h] = f[0] * n + h, f[1]
-                tree.put(h, value)
-            least = tree.least()
+                if f := get((new, symbols[k])):
+                    merged[i] = f[1]
+                    put(i, f[0] * n + i)
+                else:
+                    put(i, none)
+            else:
+                put(i, none)
+            h = before[i]
+            if h >= 0:
+                if f := get((symbols[h], new)):
+                    merged[h] = f[1]
+                    put(h, f[0] * n + h)
+                else:
+                    put(h, none)
+            least = min(root)
         return [s for s in symbols if s >= 0]
 
+    def _merge_in_one_node(self, symbols: list[int]) -> list[int]:
+        """merge() where the tree is a single node: its leaves are (rank, merged symbol) in order, a spent one is taken out, the first least leaf is the root's."""
+        get, none = self._pairs.get, self._none
+        symbols = list(symbols)
+        leaves = [get(x, none) for x in zip(symbols, symbols[1:])]
+        while leaves:
+            least = min(leaves)
+            if least is none:
+                break
+            i = leaves.index(least)
+            symbols[i] = new = least[1]
+            del symbols[i + 1], leaves[i]
+            if i:
+                leaves[i - 1] = get((symbols[i - 1], new), none)
+            if i < len(leaves):
+                leaves[i] = get((new, symbols[i + 1]), none)
+        return symbols
+
     def pieces(self, text: str) -> list[str]:
         """Normalised pieces of a chunk, or of any text."""
         if text.isascii():
             return _ASCII.findall(text.lower())
+        if text.isalpha() and "Σ" not in text and (low := unicodedata.normalize("NFC", text).lower()).isalpha():
+            return [low]
         kinds = "".join(map(self._classes.__getitem__, text))
         if "U" in kinds:  # assigned by a later Unicode version than Python's, maybe: the library's own tables decide
             return self._by_library(text)
@@ -178,7 +208,8 @@ class SegmentTreeBpe:
 
     def encode(self, text: str) -> list[int]:
         out: list[int] = []
-        for part in self._special.split(text) if self._special else [text]:
+        parts = self._special.split(text) if self._special and self._first_of_special in text else [text]
+        for part in parts:
             if part in self.specials:
                 out.append(self.specials[part])
             elif part:
