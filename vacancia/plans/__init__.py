@@ -1,0 +1,6 @@
+"""Registered queries over the engine's operators."""
+
+from vacancia.plans import queries_functions, queries_relational
+from vacancia.plans.registry import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES", "queries_functions", "queries_relational"]
