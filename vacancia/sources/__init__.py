@@ -1,0 +1,29 @@
+"""Readers of what sources publish, and the registry of enabled sources."""
+
+from __future__ import annotations
+
+from collections.abc import Callable, Iterable
+
+from pyspark.sql import DataFrame, SparkSession
+
+RAW_LISTING = "external_id string, source_url string, payload string, detail_fetched_at timestamp, is_available boolean"
+
+
+class Source:
+    """A named source: how raw listings are read, and how they become normalised rows."""
+
+    def __init__(self, name: str, read: Callable[[SparkSession], DataFrame], normalize: Callable[[DataFrame], DataFrame] = lambda rows: rows):
+        self.name, self.read, self._normalize = name, read, normalize
+
+    def fetch(self, spark: SparkSession) -> DataFrame:
+        return self._normalize(self.read(spark))
+
+
+def static_source(name: str, rows: list[tuple], schema: str = RAW_LISTING) -> Source:
+    return Source(name, lambda spark: spark.createDataFrame(rows, schema))
+
+
+def registry(sources: Iterable[Source], enabled: Iterable[str]) -> list[Source]:
+    """The enabled sources in the order in which they are given."""
+    wanted = set(enabled)
+    return [s for s in sources if s.name in wanted]
