@@ -259,7 +259,7 @@ def a7(t):
     return runs.coverage_issues(t.runs)
 
 
-@query("a9_missing_ratio", "SELECT source_id, count(*) AS active, count(*) FILTER (linestatus) AS missing, (count(*) FILTER (linestatus) > 0 AND (count(*) FILTER (NOT linestatus) = 0 OR count(*) FILTER (linestatus) * 5 > count(*) * 4)) AS blocked FROM (SELECT source_id, external_id, bool_and(NOT normalized) OR NOT bool_or(normalized) AS u, NOT EXISTS (SELECT 1 FROM listings m WHERE m.source_id = l.source_id AND m.external_id = l.external_id AND m.normalized) AS linestatus, id FROM listings l WHERE is_active GROUP BY source_id, external_id, id) AS x GROUP BY source_id")
+@query("a9_missing_ratio", "SELECT source_id, count(*) AS active, count(*) FILTER (gone) AS missing, count(*) FILTER (gone) > 0 AND (NOT EXISTS (SELECT 1 FROM listings m WHERE m.source_id = x.source_id AND m.normalized) OR count(*) FILTER (gone) * 5 > count(*) * 4) AS blocked FROM (SELECT source_id, NOT EXISTS (SELECT 1 FROM listings m WHERE m.source_id = l.source_id AND m.external_id = l.external_id AND m.normalized) AS gone FROM listings l WHERE is_active) AS x GROUP BY source_id")
 def a9(t):
     seen = t.listings.where("normalized").select("source_id", "external_id")
     return ingest.reconcile(t.listings, seen)
@@ -338,7 +338,7 @@ def k2(t):
     return merged.agg(F.count("*").alias("n"), F.countDistinct("source_id", "external_id").alias("keys"))
 
 
-SQL_KEY = "(SELECT min(id) AS lid, source_id, external_id, arg_min(opportunity_id, id) AS opportunity_id, arg_min(version, id) AS version, arg_min(is_active, id) AS is_active FROM listings GROUP BY source_id, external_id)"
+SQL_KEY = "(SELECT min(id) AS lid, source_id, external_id, arg_min(opportunity_id, (id, version, is_active)) AS opportunity_id, arg_min(version, (id, version, is_active)) AS version, arg_min(is_active, (id, version, is_active)) AS is_active FROM listings GROUP BY source_id, external_id)"
 
 
 @query(
@@ -349,7 +349,7 @@ SELECT inc.source_id, inc.external_id, CASE WHEN known.lid IS NULL THEN CASE WHE
 FROM inc LEFT JOIN known ON known.lid = inc.lid LEFT JOIN own ON own.k = inc.k""",
 )
 def k3(t):
-    first = t.listings.groupBy("source_id", "external_id").agg(F.min_by(F.struct("opportunity_id", "version", "is_active"), "id").alias("l")).select("source_id", "external_id", "l.*")
+    first = t.listings.groupBy("source_id", "external_id").agg(F.min_by(F.struct("opportunity_id", "version", "is_active"), F.struct("id", "version", "is_active")).alias("l")).select("source_id", "external_id", "l.*")
     keyed = t.opportunities.select("id", F.when(F.col("company").isNull(), F.concat(F.lit("|"), "title")).otherwise(F.concat("company", F.lit("|"), "title")).alias("canonical_key"))
     version = F.col("version").cast("int").cast("string")
     incoming = first.join(keyed.withColumnRenamed("id", "opportunity_id"), "opportunity_id").select("source_id", "external_id", F.when(F.col("version") > 25, F.lit("new")).otherwise(version).alias("content_hash"), "canonical_key")
