@@ -1,6 +1,6 @@
 """Registered queries over the engine's operators."""
 
-from vacancia.plans import queries_functions, queries_relational, queries_scoring, queries_sources
+from vacancia.plans import queries_functions, queries_relational, queries_scoring, queries_sources, queries_upkeep
 from vacancia.plans.registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "queries_functions", "queries_relational", "queries_scoring", "queries_sources"]
+__all__ = ["ORACLES", "QUERIES", "queries_functions", "queries_relational", "queries_scoring", "queries_sources", "queries_upkeep"]
