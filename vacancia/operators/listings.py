@@ -65,10 +65,10 @@ def page(rows: DataFrame, sort: str, limit: int, offset: int) -> DataFrame:
 def page_with_links(rows: DataFrame, sort: str, limit: int, offset: int, listings: DataFrame, sources: DataFrame, hosts: Hosts, source: str | None = None) -> DataFrame:
     """The page first, its links second, its order again: links are ranked for the page's rows alone."""
     chosen = page(rows, sort, limit, offset)
-    # at most MAX_PAGE rows
-    near = listings.join(F.broadcast(chosen.select(F.col("id").alias("opportunity_id"))), "opportunity_id", "left_semi")
-    links = best_link(near, sources, hosts, source).select("opportunity_id", F.col("name").alias("source_name"), "source_url", "quality_score")
-    return chosen.join(links, chosen.id == links.opportunity_id).drop("opportunity_id").orderBy(*order_of(sort))
+    # at most MAX_PAGE rows, which ride along so that the page is made once
+    paged = F.broadcast(chosen.select(F.col("id").alias("opportunity_id"), F.struct("*").alias("page")))
+    near = with_source(listings, sources).where(active_listing(hosts, source)).select("opportunity_id", "id", "quality_score", "name", "source_url").join(paged, "opportunity_id")
+    return best(near).select("page.*", F.col("name").alias("source_name"), "source_url", "quality_score").orderBy(*order_of(sort))
 
 
 def refresh_canonical(opportunities: DataFrame, listings: DataFrame, sources: DataFrame) -> DataFrame:
