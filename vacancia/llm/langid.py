@@ -114,7 +114,7 @@ def train(rows: list[tuple[str, np.ndarray, np.ndarray]]) -> Model:
     data = []
     for language, at, n in rows:
         values = (1 + np.log(n)) * model.idf[at]
-        data.append((np.append(at, FEATURES), np.append(values / max(np.sqrt(values @ values), 1e-12), 1.0), number[language]))
+        data.append((np.append(at, FEATURES).astype(np.int32), np.append(values / max(np.sqrt(values @ values), 1e-12), 1.0).astype(np.float32), number[language]))
     calibration = data[::5] if len(data) >= 10 else data
     fitted = [d for i, d in enumerate(data) if i % 5] if len(data) >= 10 else data
     z, n = np.zeros_like(model.weights), np.zeros_like(model.weights)
@@ -176,7 +176,7 @@ def fit(docs: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE) -> Model:
     labelled = docs.select("doc_id", "lang", "text").where(F.col("lang").isNotNull()).join(F.broadcast(chosen), "doc_id", "left_semi")
     rows = map_arrow(labelled, make, "doc_id long, lang string, at binary, n binary").collect()
     rows = sorted(rows, key=lambda r: (r[0], r[1], r[2]))
-    used = [(r["lang"], np.frombuffer(r["at"], np.uint16).astype(np.int64), np.frombuffer(r["n"], np.uint32).astype(np.float64)) for r in rows if r["at"]]
+    used = [(r["lang"], np.frombuffer(r["at"], np.uint16), np.frombuffer(r["n"], np.uint32)) for r in rows if r["at"]]
     mixed = np.random.default_rng(1).permutation(len(used))
     return train([used[i] for i in mixed])
 

@@ -108,6 +108,16 @@ class Network:
         chars = mean_of(self.p["char"][grams[0]], grams[1]) if len(word_ids) else np.zeros((0, CHAR_SIZE), np.float32)
         return np.concatenate([self.p["word"][word_ids], chars], 1)
 
+    def project_words(self, word_ids: np.ndarray, grams: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+        """Projected inputs of many words, a part at a time: the rows of their n-grams take several times the result."""
+        out = np.zeros((len(word_ids), 2, 3 * HIDDEN), np.float32)
+        ends = np.append(grams[1][1:], len(grams[0]))
+        for a in range(0, len(word_ids), WORDS_AT_A_TIME):
+            b = min(a + WORDS_AT_A_TIME, len(word_ids))
+            first = grams[1][a]
+            out[a:b] = self.project(self.inputs(word_ids[a:b], (grams[0][first : ends[b - 1]], grams[1][a:b] - first)))
+        return out
+
     def project(self, x: np.ndarray) -> np.ndarray:
         """(rows, 2, 3 HIDDEN) of inputs."""
         return np.stack([x @ self.p["wx"][d] + self.p["bx"][d] for d in (0, 1)], 1)
@@ -195,17 +205,19 @@ def train(rows: list[tuple[str, int]]) -> Network | None:
     rows = [r for r in rows if words(r[0])]
     if len({y for _, y in rows}) < 2:
         return None
-    split = [[trimmed(w) for w in words(t)] for t, _ in rows]
     seen: dict[str, int] = {}
-    for doc in split:
+    table: dict[str, int] = {}
+    numbered = []
+    for text, _ in rows:
+        doc = [trimmed(w) for w in words(text)]
         for w in set(doc):
             seen[w] = seen.get(w, 0) + 1
+        numbered.append(np.array([table.setdefault(w, len(table)) for w in doc], np.int32))
     frequent = sorted((w for w, n in seen.items() if n >= 3), key=lambda w: (-seen[w], w))[:MOST_WORDS]
     net = Network({w: i + 1 for i, w in enumerate(frequent)})
-    table: dict[str, int] = {}
-    numbered = [np.array([table.setdefault(w, len(table)) for w in doc], np.int64) for doc in split]
     word_ids = np.array([net.number(w) for w in table], np.int64)
     grams = ngram_buckets(list(table))
+    table.clear()
     owned: list[list[np.ndarray]] = []
     for doc in numbered:
         spans = windows_of(len(doc))
@@ -222,7 +234,7 @@ def train(rows: list[tuple[str, int]]) -> Network | None:
         if epoch < WARM_EPOCHS:
             chosen = [(d, w) for d, ws in enumerate(owned) for w in (ws if len(ws) <= 4 else [ws[i] for i in r.choice(len(ws), 4, replace=False)])]
         else:
-            projected = net.project(net.inputs(word_ids, grams))
+            projected = net.project_words(word_ids, grams)
             flat = [(d, w) for d, ws in enumerate(owned) for w in ws]
             logits = np.concatenate([_score(net, projected, [w for _, w in flat[i : i + BATCH_WINDOWS]]) for i in range(0, len(flat), BATCH_WINDOWS)])
             best: dict[int, int] = {}
