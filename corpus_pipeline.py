@@ -9,7 +9,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from vacancia.llm import langid, packing, simhash, toxicity
+from vacancia.llm import langid, nearcopies, packing, toxicity
 from vacancia.llm.common import checkpoint, table
 from vacancia.llm.queries import TOKENIZER
 
@@ -25,8 +25,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies."""
-    return simhash.keep_one_of_each(docs)
+    """One document of each group of near copies: five-word similarity of 0.8 or more."""
+    return nearcopies.keep_one_of_each(docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

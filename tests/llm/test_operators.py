@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from tests.conftest import rows
-from vacancia.llm import avi, bpe, covertree, extract, langid, licenses, packing, queries, quotes, simhash, toxicity
+from vacancia.llm import avi, bpe, covertree, extract, langid, licenses, nearcopies, packing, queries, quotes, simhash, toxicity
 from vacancia.llm.common import connected_components
 
 TOKENIZER = public_tokenizers.path(queries.TOKENIZER)
@@ -422,3 +422,29 @@ def test_sample_is_bounded(spark):
     df = spark.range(5000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 50 == 0, "b").otherwise("a").alias("g"))
     sizes = {r["g"]: r["count"] for r in bounded_sample(df, "g", F.lit(60), 5).groupBy("g").count().collect()}
     assert sizes == {"a": 60, "b": 60}
+
+
+def test_near_copies_at_five_words_equal_brute_force(spark):
+    r = random.Random(8)
+    data = []
+    for k in range(12):
+        base = [f"w{r.randrange(10**6)}" for _ in range(r.randint(60, 200))]
+        data.append((len(data), " ".join(base)))
+        for _ in range(r.randint(1, 8)):
+            other = list(base)
+            for _ in range(r.randint(1, 5)):  # a changed word alters five shingles
+                other[r.randrange(len(other))] = "changed"
+            data.append((len(data), " ".join(other)))
+    data += [(900, None), (901, " "), (902, "two words"), (903, "two  WORDS"), (904, "x" * 5000)]
+    df = spark.createDataFrame([(*x, "en") for x in data], "doc_id long, text string, lang string").repartition(3)
+    want = nearcopies.brute_force(data)
+    assert sorted(x["doc_id"] for x in nearcopies.keep_one_of_each(df).collect()) == want
+    # the query's rule leaves near copies of 0.8 and more
+    assert len(simhash.keep_one_of_each(df).collect()) > len(want)
+    assert nearcopies.keep_one_of_each(df.where("false")).collect() == []
+
+
+def test_rows_of_one_id_with_different_texts_stay(spark):
+    df = spark.createDataFrame([(1, "a b c d e f g h"), (1, "q r s t u v w x"), (1, "a b c d e f g h"), (None, "a b c d e f g h")], "doc_id long, text string")
+    for keep in (nearcopies.keep_one_of_each, simhash.keep_one_of_each):
+        assert rows(keep(df)) == sorted([(1, "a b c d e f g h"), (1, "q r s t u v w x"), (None, "a b c d e f g h")], key=repr)
