@@ -194,6 +194,11 @@ def j7(t):
     return t.runs.where("id % 100 = 7").join(t.sources.select(F.col("id").alias("source_id"), "name"), "source_id").select("id", "name", "status")
 
 
+@query("j7_run_source_all", "SELECT r.id, name, status FROM runs r JOIN sources s ON s.id = r.source_id")
+def j7_all(t):
+    return t.runs.join(t.sources.select(F.col("id").alias("source_id"), "name"), "source_id").select("id", "name", "status")
+
+
 @query("j8_with_active_listing", f"WITH {SQL_ACTIVE} SELECT id FROM opportunities o WHERE EXISTS (SELECT 1 FROM active_listings a WHERE a.opportunity_id = o.id)")
 def j8(t):
     active = listings.with_source(t.listings, t.sources).where(predicates.active_listing(HOSTS)).select("opportunity_id")

@@ -33,6 +33,14 @@ def s6(t):
     return feeds.detail_due(rows, F.lit("1996-01-01").cast("timestamp_ntz"), 24, 30).select("external_id", "priority")
 
 
+@query("s6_detail_due_all", "SELECT external_id, priority FROM (SELECT l_orderkey AS external_id, CASE WHEN checked IS NULL THEN 0 WHEN l_shipdate + INTERVAL '3' DAY > checked THEN 1 WHEN checked < TIMESTAMP '1996-01-01' - INTERVAL '24' HOUR THEN 2 END AS priority, checked FROM (SELECT *, CASE WHEN l_partkey % 5 <> 0 THEN l_shipdate + to_days(CAST(l_linenumber AS INT)) END AS checked FROM lineitem) AS x) AS y WHERE priority IS NOT NULL ORDER BY priority, checked NULLS FIRST, external_id LIMIT 30")
+def s6_all(t):
+    """Of all rows. Rows that tie in the whole order give the same output, so it is settled though keys repeat."""
+    checked = F.when(F.col("l_partkey") % 5 != 0, F.col("l_shipdate") + F.make_dt_interval(F.col("l_linenumber").cast("int")))
+    rows = t.raw("lineitem").select(F.col("l_orderkey").alias("external_id"), checked.alias("checked_at"), (F.col("l_shipdate") + F.expr("INTERVAL 3 DAYS")).alias("source_updated_at"))
+    return feeds.detail_due(rows, F.lit("1996-01-01").cast("timestamp_ntz"), 24, 30).select("external_id", "priority")
+
+
 @query("s7_json_ld")
 def s7(t):
     script = F.concat(F.lit('<script type="application/ld+json">{"@graph":[{"@type":["Thing","JobPosting"],"title":"Job '), F.col("page_id").cast("string"), F.lit('","identifier":{"value":"'), F.col("page_id").cast("string"), F.lit('"},"jobLocationType":"TELECOMMUTE","baseSalary":{"currency":"usd","value":{"minValue":10,"unitText":"HOUR"}}},{"@type":"Other"}]}</script><script type="application/ld+json">{broken</script>'))
