@@ -60,3 +60,11 @@ def test_explanations_and_messages(spark):
 def test_backfills(spark):
     reasons = spark.createDataFrame([(["Skills: A, B."],), (["none"],)], "reasons array<string>")
     assert [r["matched_skills"] for r in upkeep.backfill_skills(reasons, "Skills: ").collect()] == [["A", "B"], []]
+
+
+def test_messages_of_any_user_are_repointed(spark, tmp_path):
+    from vacancia.plans import QUERIES
+
+    ids = [0, 1, 5, 4999, 5002, 700_001]
+    spark.createDataFrame([(i, u, NOW) for i, u in enumerate(ids)], "event_id long, user_id long, ts timestamp_ntz").write.parquet(str(tmp_path / "events.parquet"))
+    assert rows(QUERIES["j16_repoint_messages"](spark, str(tmp_path))) == [(i, u - u % 3) for i, u in enumerate(ids)]

@@ -41,7 +41,7 @@ def k10(t):
 
 @query("j16_repoint_messages", "SELECT event_id AS telegram_message_id, user_id - user_id % 3 AS delivery_id FROM events")
 def j16(t):
-    merges = t.spark.range(5001).where("id % 3 <> 0").select("id", (F.col("id") - F.col("id") % 3).alias("into"))
+    merges = t.raw("events").select(F.col("user_id").alias("id")).distinct().where("id % 3 <> 0").select("id", (F.col("id") - F.col("id") % 3).alias("into"))
     return upkeep.repoint_messages(_registry(t), merges).select("telegram_message_id", "delivery_id")
 
 
