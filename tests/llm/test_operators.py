@@ -448,3 +448,14 @@ def test_rows_of_one_id_with_different_texts_stay(spark):
     df = spark.createDataFrame([(1, "a b c d e f g h"), (1, "q r s t u v w x"), (1, "a b c d e f g h"), (None, "a b c d e f g h")], "doc_id long, text string")
     for keep in (nearcopies.keep_one_of_each, simhash.keep_one_of_each):
         assert rows(keep(df)) == sorted([(1, "a b c d e f g h"), (1, "q r s t u v w x"), (None, "a b c d e f g h")], key=repr)
+
+
+def test_short_messages_are_linked(spark):
+    chinese = "我们明天一起去看电影"
+    data = [
+        (1, 0, "user", "Do you want the longer answer?"), (1, 1, "user", "> Do you want the longer answer?\n\nYes, please"), (1, 2, "user", "> > Do you want the longer answer?\n>\n> Yes, please\n\nHere it is."),
+        (2, 0, "user", "No"), (2, 1, "user", "> no\nWhy?"), (3, 0, "user", chinese), (3, 1, "user", f"> {chinese}\n\u597d"), (4, 0, "user", "Fine.\n\nAnother paragraph, quite long."), (4, 1, "user", "> Fine.\nThanks"),
+    ]
+    df = spark.createDataFrame(data, "conv_id long, turn long, role string, text string")
+    found = {(x["conv_id"], x["turn"]): x["reply_to"] for x in quotes.conversations(df).collect()}
+    assert found == {(1, 0): None, (1, 1): 0, (1, 2): 1, (2, 0): None, (2, 1): 0, (3, 0): None, (3, 1): 0, (4, 0): None, (4, 1): 0}
