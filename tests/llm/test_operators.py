@@ -450,6 +450,21 @@ def test_rows_of_one_id_with_different_texts_stay(spark):
         assert rows(keep(df)) == sorted([(1, "a b c d e f g h"), (1, "q r s t u v w x"), (None, "a b c d e f g h")], key=repr)
 
 
+@pytest.mark.parametrize(
+    ("html", "want"),
+    [
+        ("<div class='layout has-sidebar'><p>A long paragraph of the text here.</p></div>", "A long paragraph of the text here."),
+        ("<div id='page-with-header'><article><p>A long paragraph of the text here.</p></article></div>", "A long paragraph of the text here."),
+        ("<article><div class='post-header'><h1>The head of it</h1></div><p>A long paragraph of the text here.</p><div class='related-work'><p>Others did it before us.</p></div></article>", "The head of it\n\nA long paragraph of the text here.\n\nOthers did it before us."),
+        ("<div class=widget><main><p>A long paragraph of the text here.</p></main></div>", "A long paragraph of the text here."),
+        ("<div class=banner><p>A long paragraph of the text here.</p></div>", "A long paragraph of the text here."),
+        ("<article><p>A long paragraph of the text here.</p></article><div id=comments><article><p>I say so too.</p></article></div>", "A long paragraph of the text here."),
+    ],
+)
+def test_layout_classes_are_no_furniture(html, want):
+    assert extract.main_text(html) == want
+
+
 def test_short_messages_are_linked(spark):
     chinese = "我们明天一起去看电影"
     data = [

@@ -2,7 +2,8 @@
 
 Events of the standard library's parser are turned into lines, one for each block. A line's ratio is
 its text outside links over its tags; lines in page furniture (by element, role or class) count
-zero. The ratios are smoothed by a Gaussian over neighbouring lines, and a threshold at a share of
+zero; a class or id names furniture as a whole only ("sidebar", "cookie-notice", not "has-sidebar"), and never an
+element with a main, all articles or most of the text. The ratios are smoothed by a Gaussian over neighbouring lines, and a threshold at a share of
 their standard deviation divides the lines into two clusters. A content region is an article, or
 else a run of lines of one parent, with a line of the upper cluster; all its lines but
 furniture are kept, so short paragraphs between long ones stay.
@@ -38,6 +39,8 @@ MARKS = {
     "menu", "nav", "navbar", "navigation", "breadcrumb", "breadcrumbs", "pagination", "sidebar", "widget", "footer", "header", "masthead", "toolbar",
     "comment", "comments", "disqus", "replies", "share", "sharing", "social", "related", "recommended", "newsletter", "subscribe", "signup", "login", "search",
 }
+#: Words that may stand beside one of MARKS in the name of furniture; any other word leaves it to the ratios.
+BESIDE = {"site", "global", "top", "bottom", "left", "right", "primary", "secondary", "bar", "list", "links", "area", "box"}
 ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "alert", "dialog", "menu", "menubar"}
 
 _SPACE = re.compile(r"\s+")
@@ -49,8 +52,9 @@ class Lines(HTMLParser):
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.rows: list[tuple[str, int, int, int, int, bool]] = []  # text, link characters, tags, parent, article, furniture
-        self.stack: list[tuple[str, int, int, bool, bool]] = [("", 0, 0, False, False)]  # tag, number, article, furniture, unseen
+        self.rows: list[tuple[str, int, int, int, int, bool, tuple[int, ...]]] = []  # text, link characters, tags, parent, article, furniture, named
+        self.stack: list[tuple[str, int, int, bool, bool, tuple[int, ...]]] = [("", 0, 0, False, False, ())]  # tag, number, article, furniture, unseen, named
+        self.articles: list[tuple[str, tuple[int, ...]]] = []  # tag and named elements around each article and main
         self.count = 0
         self.parts: list[str] = []
         self.linked = self.tags = self.links = 0
@@ -59,8 +63,8 @@ class Lines(HTMLParser):
         """Ends the line that is open."""
         text = _SPACE.sub(" ", "".join(self.parts)).strip()
         if text:
-            _, number, article, furniture, _ = self.stack[-1]
-            self.rows.append((text, self.linked, self.tags, number, article, furniture))
+            _, number, article, furniture, _, named = self.stack[-1]
+            self.rows.append((text, self.linked, self.tags, number, article, furniture, named))
             self.linked = self.tags = 0
         self.parts = []
 
@@ -77,11 +81,15 @@ class Lines(HTMLParser):
             self.stack = [x for x in self.stack if x[0] != "head"]
         if tag in CONTAINERS:
             self.count += 1
-            _, _, article, furniture, unseen = self.stack[-1]
+            _, _, article, furniture, unseen, named = self.stack[-1]
             if tag in ("article", "main"):
                 article = article or self.count
-            furniture = furniture or tag in FURNITURE or tag == "header" and not article or bool(attrs) and tag not in ("html", "body", "main", "article") and marked(attrs)
-            self.stack.append((tag, self.count, article, furniture, unseen or tag in UNSEEN))
+                self.articles.append((tag, named))
+            plain = bool(attrs) and tag not in ("html", "body", "main", "article")
+            furniture = furniture or tag in FURNITURE or tag == "header" and not article or plain and marked(attrs)
+            if plain and named_furniture(attrs):
+                named = (*named, self.count)
+            self.stack.append((tag, self.count, article, furniture, unseen or tag in UNSEEN, named))
 
     def handle_startendtag(self, tag: str, attrs: list) -> None:
         self.handle_starttag(tag, attrs)
@@ -109,11 +117,34 @@ class Lines(HTMLParser):
             self.linked += len(data)
 
 
+def named_furniture(attrs: list) -> bool:
+    """Whether a class or id is a name of furniture: words of MARKS, with words of BESIDE at most."""
+    for name, value in attrs:
+        if name in ("class", "id") and value:
+            for one in value.lower().split():
+                parts = set(_PARTS.split(one)) - {""}
+                if parts & MARKS and parts <= MARKS | BESIDE:
+                    return True
+    return False
+
+
+def believed(parser: Lines) -> set[int]:
+    """The elements named as furniture that may be: none with a main, with all articles of the page, or with most of its text outside links."""
+    weight: dict[int, int] = {}
+    whole = 0
+    for text, linked, _, _, _, furniture, named in parser.rows:
+        size = 0 if furniture else max(len(text) - linked, 0)
+        whole += size
+        for n in named:
+            weight[n] = weight.get(n, 0) + size
+    around = [set(named) for _, named in parser.articles]
+    held = set().union(*(set(named) for tag, named in parser.articles if tag == "main")) | (set.intersection(*around) if around else set())
+    return {n for n, size in weight.items() if n not in held and 2 * size <= whole}
+
+
 def marked(attrs: list) -> bool:
-    """Whether class, id, role or style say that an element is furniture or hidden."""
+    """Whether role or style say that an element is furniture or hidden."""
     for name, value in attrs:
-        if name in ("class", "id") and value and not MARKS.isdisjoint(_PARTS.split(value.lower())):
-            return True
         if name == "role" and value in ROLES or name == "hidden" or name == "aria-hidden" and value == "true":
             return True
         if name == "style" and value and "display:none" in value.replace(" ", "").lower():
@@ -132,9 +163,10 @@ def main_text(html: str) -> str:
     parser.feed(html)
     parser.close()
     parser.line()
-    rows = parser.rows
-    if not rows:
+    if not parser.rows:
         return ""
+    furniture = believed(parser)
+    rows = [(*r[:5], r[5] or not furniture.isdisjoint(r[6])) for r in parser.rows]
     ratios = np.array([0.0 if f else max(len(t) - linked, 0) / max(tags, 1) for t, linked, tags, _, _, f in rows])
     smoothed = smooth(ratios)
     upper = (smoothed > THRESHOLD * smoothed.std()) & (ratios > 0)
