@@ -3,7 +3,8 @@
 Candidates share one of 32 bands of four minhashes: a pair at 0.8 shares none in 5 of 10^8 cases, a nearer one more rarely.
 Every link is verified on the two whole shingle sets. A bucket whose texts are of one component already needs no
 further pairs, so crowds of near copies are first joined by stars (a leader a bucket, one pair a text and round);
-then all pairs of different components of a bucket are compared, none left out.
+then all pairs of different components of a bucket are compared, none left out: as tiles of the minhashes' bytes, of
+which a pair at 0.8 agrees on fewer than LEAST_EQUAL in 1 of 10^8 cases, and those that agree on more by their sets.
 
 Defined results: of each component the smallest doc_id stays, whole rows of it once; rows that share an id but
 hold different texts are texts of their own; texts without words are copies of one another; fewer than five words
@@ -15,6 +16,7 @@ from __future__ import annotations
 from itertools import combinations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -26,6 +28,10 @@ from vacancia.llm.simhash import shingle_hashes
 SHINGLE_WORDS = 5
 BANDS, BAND_ROWS = 32, 4
 STAR_ROUNDS = 2
+LEAST_EQUAL = 74  # of 128 bytes
+BLOCK_ROWS = 16_384
+#: Shingles that a task holds for the next pairs.
+MOST_HELD = 4_000_000
 
 _R = np.random.default_rng(42)
 _FACTORS = _R.integers(0, 1 << 63, BANDS * BAND_ROWS, dtype=np.uint64) << np.uint64(1) | np.uint64(1)
@@ -39,32 +45,34 @@ def shingles(text: str) -> np.ndarray:
 
 def near(a: np.ndarray, b: np.ndarray) -> bool:
     """Whether two shingle sets have a Jaccard similarity of 0.8 or more."""
-    shared = len(np.intersect1d(a, b, assume_unique=True))
+    if not len(a) or not len(b):
+        return len(a) == len(b)
+    shared = np.count_nonzero(b[np.minimum(np.searchsorted(b, a), len(b) - 1)] == a)
     return 5 * shared >= 4 * (len(a) + len(b) - shared)
 
 
-def buckets(found: np.ndarray) -> list[int]:
-    """A hash of each band of minhashes; none of no shingles."""
+def buckets(found: np.ndarray) -> tuple[list[int], bytes]:
+    """A hash of each band of minhashes, and a byte of each minhash; none of no shingles."""
     if not len(found):
-        return []
+        return [], b""
     least = np.full(BANDS * BAND_ROWS, np.iinfo(np.uint64).max)
     for at in range(0, len(found), 512):  # bounds what the products take
         least = np.minimum(least, (found[at : at + 512, None] * _FACTORS + _SHIFTS).min(0))
-    return [xxhash.xxh64_intdigest(band.tobytes(), k) - (1 << 63) for k, band in enumerate(least.reshape(BANDS, BAND_ROWS))]
+    return [xxhash.xxh64_intdigest(band.tobytes(), k) - (1 << 63) for k, band in enumerate(least.reshape(BANDS, BAND_ROWS))], (least >> np.uint64(24)).astype(np.uint8).tobytes()
 
 
 def signatures(docs: DataFrame) -> DataFrame:
-    """(doc_id, own, key, n, buckets) of each row: a hash of the text, one of its shingle set, the set's size."""
+    """(doc_id, own, key, n, buckets, minhashes) of each row: a hash of the text, one of its shingle set, the set's size."""
 
     def make():
         def step(batch: pa.RecordBatch):
             sets = [shingles(t) for t in texts(batch.column(2))]
             keys = [xxhash.xxh64_intdigest(s.tobytes(), 1) - (1 << 63) for s in sets]
-            return [batch.column(0), batch.column(1), keys, list(map(len, sets)), list(map(buckets, sets))]
+            return [batch.column(0), batch.column(1), keys, list(map(len, sets)), *zip(*map(buckets, sets))]
 
         return step
 
-    return map_arrow(docs.select("doc_id", F.xxhash64("text").alias("own"), "text"), make, "doc_id long, own long, key long, n int, buckets array<long>")
+    return map_arrow(docs.select("doc_id", F.xxhash64("text").alias("own"), "text"), make, "doc_id long, own long, key long, n int, buckets array<long>, minhashes binary")
 
 
 def verified(pairs: DataFrame, held: DataFrame) -> DataFrame:
@@ -72,14 +80,24 @@ def verified(pairs: DataFrame, held: DataFrame) -> DataFrame:
     both = pairs.join(held.select(F.col("key").alias("b"), F.col("text").alias("text_b")), "b").join(held.select(F.col("key").alias("a"), F.col("text").alias("text_a")), "a")
 
     def make():
-        last: list = [None, None]
+        held_sets: dict[int, np.ndarray] = {}
+        size = 0
+
+        def of_key(key: int, text: str | None) -> np.ndarray:
+            nonlocal size
+            if key not in held_sets:
+                if size > MOST_HELD:
+                    held_sets.clear()
+                    size = 0
+                held_sets[key] = shingles(text or "")
+                size += len(held_sets[key])
+            return held_sets[key]
 
         def step(batch: pa.RecordBatch):
             keep = []
-            for key, a, b in zip(batch.column(0).to_pylist(), texts(batch.column(2)), texts(batch.column(3))):
-                if key != last[0]:
-                    last[:] = key, shingles(a)
-                keep.append(near(last[1], shingles(b)))
+            for i, (a, b) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())):
+                one = of_key(a, None if a in held_sets else batch.column(2)[i].as_py())
+                keep.append(near(one, of_key(b, None if b in held_sets else batch.column(3)[i].as_py())))
             of = pa.array(keep, pa.bool_())
             return [batch.column(0).filter(of), batch.column(1).filter(of)]
 
@@ -88,8 +106,42 @@ def verified(pairs: DataFrame, held: DataFrame) -> DataFrame:
     return map_arrow(both.select("a", "b", "text_a", "text_b"), make, "a long, b long")
 
 
+def linked(rows: DataFrame, sets: DataFrame, held: DataFrame) -> DataFrame:
+    """(a, b) edges that join the components within each bucket as all near copies of it do, by comparing all pairs."""
+
+    def hashes():
+        return lambda batch: [batch.column(0), [shingles(t).tobytes() for t in texts(batch.column(1))]]
+
+    wanted = rows.select("key").distinct()
+    whole = map_arrow(held.join(wanted, "key", "left_semi").select("key", "text"), hashes, "key long, shingles binary").join(sets.select("key", "minhashes"), "key")
+    parts = F.ceil(F.greatest(F.count("*") / BLOCK_ROWS, F.sum("n") / MOST_HELD)).cast("int")
+    big = rows.groupBy("bucket").agg(parts.alias("parts")).where("parts > 1")
+    dealt = rows.join(big, "bucket", "left").withColumn("parts", F.coalesce("parts", F.lit(1))).withColumn("part", F.pmod(F.xxhash64("key"), F.col("parts")).cast("int"))
+    # a part meets itself and each other part: (i, i) and (i, j), i < j
+    dealt = dealt.select("key", "n", "of", "bucket", "part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
+    dealt = dealt.withColumn("low", F.least("part", "other")).withColumn("high", F.greatest("part", "other")).join(whole, "key")
+
+    def compare(group: tuple, part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values("n")
+        key, n, at = (part[c].to_numpy() for c in ("key", "n", "part"))
+        of = np.unique(part["of"].to_numpy(), return_inverse=True)[1]
+        bytes_ = np.frombuffer(b"".join(part["minhashes"]), np.uint8).reshape(len(key), -1)
+        found = [np.frombuffer(x, np.uint64) for x in part["shingles"]]
+        edges = []
+        for i in range(len(key) - 1):
+            stop = np.searchsorted(n, n[i] * 5 // 4, "right")  # sizes that allow 0.8
+            j = i + 1 + np.flatnonzero((of[i + 1 : stop] != of[i]) & ((at[i + 1 : stop] != at[i]) | (group[1] == group[2])))
+            for other in j[np.count_nonzero(bytes_[j] == bytes_[i], axis=1) >= LEAST_EQUAL].tolist():
+                if of[other] != of[i] and near(found[i], found[other]):
+                    edges.append((key[i], key[other]))
+                    of[of == of[other]] = of[i]
+        return pd.DataFrame(edges, columns=["a", "b"], dtype="int64")
+
+    return dealt.groupBy("bucket", "low", "high").applyInPandas(compare, "a long, b long").distinct()
+
+
 def components(sets: DataFrame, held: DataFrame) -> DataFrame:
-    """(node, component) of the linked keys among distinct (key, n, buckets)."""
+    """(node, component) of the linked keys among distinct (key, n, buckets, minhashes)."""
     rows = sets.select("key", "n", F.explode("buckets").alias("bucket"))
     shared = rows.groupBy("bucket").count().where("count > 1").select("bucket")
     rows = checkpoint(rows.join(shared, "bucket", "left_semi"))
@@ -102,12 +154,9 @@ def components(sets: DataFrame, held: DataFrame) -> DataFrame:
         if turn < STAR_ROUNDS:
             star = named.join(mixed, "bucket").where((F.col("of") != F.col("first.of")) & fits(F.col("n"), F.col("first.n")))
             pairs = star.groupBy(F.col("key").alias("b")).agg(F.min("first").alias("first")).select(F.col("first.key").alias("a"), "b")
+            new = verified(pairs, held)
         else:
-            rest = named.join(mixed.select("bucket"), "bucket", "left_semi")
-            x, y = rest.alias("x"), rest.alias("y")
-            met = x.join(y, F.col("x.bucket") == F.col("y.bucket")).where((F.col("x.key") < F.col("y.key")) & (F.col("x.of") != F.col("y.of")) & fits(F.col("x.n"), F.col("y.n")))
-            pairs = met.select(F.col("x.key").alias("a"), F.col("y.key").alias("b")).distinct()
-        new = verified(pairs, held)
+            new = linked(named.join(mixed.select("bucket"), "bucket", "left_semi"), sets, held)
         edges = checkpoint(new if edges is None else edges.union(new))
         found = checkpoint(connected_components(edges))
     return found
@@ -117,7 +166,7 @@ def keep_one_of_each(docs: DataFrame) -> DataFrame:
     """One row of each group of near copies, with all columns; rows without an id stay."""
     named = docs.where("doc_id is not null")
     own = checkpoint(signatures(named))
-    sets = own.groupBy("key").agg(F.min(F.struct("doc_id", "own")).alias("first"), F.first("n").alias("n"), F.first("buckets").alias("buckets"))
+    sets = own.groupBy("key").agg(F.min(F.struct("doc_id", "own")).alias("first"), F.first("n").alias("n"), F.first("buckets").alias("buckets"), F.first("minhashes").alias("minhashes"))
     # one text of each distinct shingle set
     at = sets.select("key", F.col("first.doc_id").alias("doc_id"), F.col("first.own").alias("own"))
     held = named.select("doc_id", F.xxhash64("text").alias("own"), "text").join(at, ["doc_id", "own"]).dropDuplicates(["key"]).select("key", "text")
