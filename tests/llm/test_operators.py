@@ -74,23 +74,35 @@ def test_bpe_on_random_texts(library):
             assert own.decode(ids) == library.decode(ids, skip_special_tokens=False)
 
 
-def test_segment_tree():
+@pytest.mark.parametrize("n", [1, 2, 3, 64, 700])
+def test_segment_tree(n):
     r = random.Random(2)
-    values = [r.randrange(1000) for _ in range(700)]
-    tree = bpe.SegmentTree(list(values))
+    values = [r.randrange(1000) for _ in range(n)]
+    tree = bpe.SegmentTree(list(values), 1000)
     for _ in range(500):
-        i, v = r.randrange(700), r.randrange(1000)
+        i, v = r.randrange(n), r.randrange(1000)
         values[i] = v
         tree.put(i, v)
         assert tree.least() == min(values)
 
 
-def test_cache_is_bounded():
-    cache = bpe.Cache(str, 10)
-    for i in range(1000):
-        assert cache[i] == str(i)
-        cache.age()
-    assert len(cache) + len(cache._older) <= 22
+def test_every_piece_of_two_symbols_goes_through_a_tree(table):
+    own, several = bpe.SegmentTreeBpe(open(TOKENIZER).read()), []
+    merge = own.merge
+    own.merge = lambda symbols: several.append(len(symbols) > 1) or merge(symbols)
+    for row in table:
+        for c in bpe.chunks(row[1] or ""):
+            own.encode(c)
+    assert own.trees == sum(several) > 50
+
+
+def test_cache_is_bounded_in_bytes():
+    cache = bpe.Cache(lambda chunk: (1, chunk * 2), 20_000)
+    for i in range(3000):
+        assert cache[str(i)] == (1, str(i) * 2)
+    held = {**cache._older, **cache}
+    assert sum(bpe.sys.getsizeof(k) + bpe.held_bytes(v) for k, v in held.items()) < 40_000 and len(held) > 20
+    assert cache["x" * 9000] == (1, "x" * 18_000) and "x" * 9000 not in cache
 
 
 def check_packing(found, table, library, capacity):

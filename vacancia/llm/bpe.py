@@ -2,14 +2,16 @@
 
 A text's tokens depend only on its white-space separated chunks: the normaliser maps white space to
 white space, no pattern of the pre-tokeniser crosses it and no special token holds any. So each
-task encodes a distinct chunk once and looks the rest up in a bounded cache.
+task encodes a distinct chunk once and looks the rest up in a cache of bounded bytes.
 
 Within a piece, leaf i of the tree holds rank * n + i for the pair that starts at symbol i; the
 root therefore yields the leftmost pair of the lowest rank. A merge changes three leaves, each in
-O(log n). The work for a piece of n symbols is O(n log n), however long it is.
+O(log n). The work for a piece of n symbols is O(n log n), however long it is, and every piece of two
+symbols or more goes through a tree.
 
 Defined results: a null or empty text has no tokens (0, and the digests of an empty string);
-repeated rows give repeated results; other columns of the input are ignored.
+repeated rows give repeated results; a null id is carried; other columns of the input are ignored; no rows
+give no rows. A very long text is held whole, with its chunks and their ids, and nothing else grows with it.
 """
 
 from __future__ import annotations
@@ -17,6 +19,7 @@ from __future__ import annotations
 import hashlib
 import json
 import re
+import sys
 import unicodedata
 from collections.abc import Callable
 
@@ -28,8 +31,8 @@ from vacancia.llm.common import map_arrow, texts
 # Fixed values of the tokenizer's published pattern and of Unicode's White_Space property.
 CONTRACTIONS = ("'s", "'t", "'re", "'ve", "'m", "'ll", "'d")
 WHITE_SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-#: Children of a tree node: with sixteen, a usual word is a single node, whose least leaf one C call finds.
-FAN_BITS = 4
+#: Bytes of keys and values that a generation of a worker's caches of chunks and of pieces may hold.
+CHUNK_BYTES, PIECE_BYTES = 80 << 20, 32 << 20
 
 _SEPARATORS = re.compile(r"[\x1c-\x1f]")  # str.split() takes these for white space, Unicode doesn't
 _SPLIT = re.compile(f"[{WHITE_SPACE}]+")
@@ -61,26 +64,38 @@ def byte_symbols() -> list[str]:
 
 
 class SegmentTree:
-    """The least of a row of integers under point updates, each in logarithmic time."""
-
-    def __init__(self, leaves: list[int]):
-        self.levels = [leaves]
-        while len(leaves) > 1 << FAN_BITS:
-            leaves = [min(leaves[i : i + (1 << FAN_BITS)]) for i in range(0, len(leaves), 1 << FAN_BITS)]
-            self.levels.append(leaves)
+    """The least of a row of integers under point updates, each in logarithmic time: a binary tree in one list, node i over nodes 2i and 2i + 1."""
+
+    __slots__ = ("nodes", "size")
+
+    def __init__(self, leaves: list[int], beyond: int):
+        """``beyond`` fills the tree up; no leaf may exceed it."""
+        self.size = size = 1 << (len(leaves) - 1).bit_length()
+        level = leaves + [beyond] * (size - len(leaves))
+        levels = [level]
+        while len(level) > 1:
+            level = list(map(min, level[::2], level[1::2]))
+            levels.append(level)
+        nodes = [0]
+        for level in reversed(levels):
+            nodes += level
+        self.nodes = nodes
 
     def least(self) -> int:
-        return min(self.levels[-1])
+        return self.nodes[1]
 
     def put(self, i: int, value: int) -> None:
-        levels = self.levels
-        levels[0][i] = value
-        for below, level in zip(levels, levels[1:]):
-            i >>= FAN_BITS
-            least = min(below[i << FAN_BITS : (i + 1) << FAN_BITS])
-            if level[i] == least:
-                break
-            level[i] = least
+        nodes = self.nodes
+        i += self.size
+        nodes[i] = value
+        while i > 1:
+            other = nodes[i ^ 1]
+            if other < value:
+                value = other
+            i >>= 1
+            if nodes[i] == value:
+                return
+            nodes[i] = value
 
 
 class SegmentTreeBpe:
@@ -100,74 +115,50 @@ class SegmentTreeBpe:
         for rank, pair in enumerate(model["merges"]):
             a, b = pair.split(" ") if isinstance(pair, str) else pair
             self._pairs.setdefault((self.vocab[a], self.vocab[b]), (rank, self.vocab[a + b]))
-        self._none = (len(model["merges"]), -1)  # after every rank
+        self.trees = 0  # that merge() has built
         self._special = re.compile("(" + "|".join(map(re.escape, self.specials)) + ")") if self.specials else None
         self._first_of_special = min((s[:2] for s in self.specials), default="") if len({s[:2] for s in self.specials}) == 1 else ""
         self._classes = _Classes()
         self._content, self._library = content, None
-        self._by_piece = Cache(self._encode_piece, 150_000)
+        self._by_piece = Cache(self._encode_piece, PIECE_BYTES)
 
     def merge(self, symbols: list[int]) -> list[int]:
-        """Symbols after all merges: again and again the leftmost pair of the lowest rank."""
+        """Symbols after all merges: again and again the leftmost pair of the lowest rank, which the tree's root yields."""
         n, get = len(symbols), self._pairs.get
         if n == 1:
             return symbols
-        if n <= 1 << FAN_BITS:
-            return self._merge_in_one_node(symbols)
         none = len(self._pairs) * n + n
-        found = [get(x) for x in zip(symbols, symbols[1:])]
-        leaves = [f[0] * n + i if f else none for i, f in enumerate(found)]
-        tree = SegmentTree(leaves)
-        least = tree.least()
-        if least == none:
+        found = list(map(get, zip(symbols, symbols[1:])))
+        tree = SegmentTree([f[0] * n + i if f else none for i, f in enumerate(found)], none)
+        self.trees += 1
+        nodes, put = tree.nodes, tree.put
+        if nodes[1] == none:
             return symbols
-        symbols, merged = list(symbols), [f[1] if f else 0 for f in found]
+        symbols, merged = list(symbols), [f and f[1] for f in found]
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        put, root = tree.put, tree.levels[-1]
-        while least != none:
+        while (least := nodes[1]) != none:
             i = least % n
             j = after[i]
             new = symbols[i] = merged[i]
             k = after[i] = after[j]
             symbols[j] = -1
+            value = none
             if k < n:
                 put(j, none)
                 before[k] = i
                 if f := get((new, symbols[k])):
                     merged[i] = f[1]
-                    put(i, f[0] * n + i)
-                else:
-                    put(i, none)
-            else:
-                put(i, none)
+                    value = f[0] * n + i
+            put(i, value)
             h = before[i]
             if h >= 0:
+                value = none
                 if f := get((symbols[h], new)):
                     merged[h] = f[1]
-                    put(h, f[0] * n + h)
-                else:
-                    put(h, none)
-            least = min(root)
+                    value = f[0] * n + h
+                put(h, value)
         return [s for s in symbols if s >= 0]
 
-    def _merge_in_one_node(self, symbols: list[int]) -> list[int]:
-        """merge() where the tree is a single node: its leaves are (rank, merged symbol) in order, a spent one is taken out, the first least leaf is the root's."""
-        get, none = self._pairs.get, self._none
-        symbols = list(symbols)
-        leaves = [get(x, none) for x in zip(symbols, symbols[1:])]
-        while leaves:
-            least = min(leaves)
-            if least is none:
-                break
-            i = leaves.index(least)
-            symbols[i] = new = least[1]
-            del symbols[i + 1], leaves[i]
-            if i:
-                leaves[i - 1] = get((symbols[i - 1], new), none)
-            if i < len(leaves):
-                leaves[i] = get((new, symbols[i + 1]), none)
-        return symbols
-
     def pieces(self, text: str) -> list[str]:
         """Normalised pieces of a chunk, or of any text."""
         if text.isascii():
@@ -215,7 +206,6 @@ class SegmentTreeBpe:
             elif part:
                 for piece in self.pieces(part):
                     out += self._by_piece[piece]
-                self._by_piece.age()
         return out
 
     def _encode_piece(self, piece: str) -> list[int]:
@@ -227,24 +217,34 @@ class SegmentTreeBpe:
         return " ".join(map(self.tokens.__getitem__, ids))
 
 
+def held_bytes(value: object) -> int:
+    """What a value of a cache takes: a text, bytes, a list of small integers, or a tuple of such."""
+    size = sys.getsizeof(value)
+    return size + sum(map(held_bytes, value)) if isinstance(value, tuple) else size
+
+
 class Cache(dict):
-    """Values by chunk in two generations of at most ``size`` keys (and one text's more): the older one goes when the younger is full."""
+    """Values by chunk in two generations of at most ``most_bytes`` each: the older one goes when the younger is full. What alone takes an eighth is not kept."""
+
+    ENTRY_BYTES = 100  # of a dictionary's slot
 
-    def __init__(self, make: Callable[[str], object], size: int = 250_000):
-        self._make, self._size, self._older = make, size, {}
+    def __init__(self, make: Callable[[str], object], most_bytes: int = CHUNK_BYTES):
+        self._make, self._most, self._used, self._older = make, most_bytes, 0, {}
 
     def __missing__(self, chunk: str):
         value = self._older.get(chunk)
         if value is None:
             value = self._make(chunk)
-        self[chunk] = value
-        return value
-
-    def age(self) -> None:
-        """To be called between texts."""
-        if len(self) > self._size:
+        size = sys.getsizeof(chunk) + held_bytes(value) + self.ENTRY_BYTES
+        if 8 * size > self._most:
+            return value
+        if self._used + size > self._most:
             self._older = dict(self)
             self.clear()
+            self._used = 0
+        self._used += size
+        self[chunk] = value
+        return value
 
 
 _encoders: dict[int, object] = {}
@@ -284,7 +284,6 @@ def encode_documents(docs: DataFrame, tokenizer_path: str, id_column: str = "doc
                 counts.append(sum(x[0] for x in found))
                 digests.append(hashlib.sha256(" ".join([x[1] for x in found]).encode()).hexdigest())
                 decoded.append(hashlib.sha256(" ".join([x[2] for x in found]).encode()).hexdigest())
-                cache.age()
             return [batch.column(0), counts, digests, decoded]
 
         return step

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from vacancia.llm.bpe import Cache, SegmentTreeBpe, byte_symbols, chunks, per_worker
+from vacancia.llm.bpe import CHUNK_BYTES, Cache, SegmentTreeBpe, byte_symbols, chunks, per_worker
 from vacancia.llm.common import checkpoint, texts
 
 SEQUENCE_TOKENS = 4096
@@ -169,10 +169,9 @@ def chunk_ids(content: str, end: bytes) -> Callable[[str], bytes]:
             found = [t.id for piece in bpe.pieces(chunk) for t in model.tokenize(piece if piece.isascii() and piece.isalnum() else piece.encode().decode("latin-1").translate(printable))]
         return struct.pack(f"<{len(found)}I", *found)
 
-    cache = Cache(entry, 300_000)
+    cache = Cache(entry, CHUNK_BYTES)
 
     def ids(text: str) -> bytes:
-        cache.age()
         return b"".join(map(cache.__getitem__, chunks(text))) + end
 
     return ids
