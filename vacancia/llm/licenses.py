@@ -97,7 +97,7 @@ def scan(docs: DataFrame) -> DataFrame:
     for number, t in enumerate(TEMPLATES):
         rare = posted(t, df)
         total = sum(idf[w] for _, w in rare)
-        postings += [F.struct(F.lit(w).alias("word"), F.lit(number).alias("template"), F.lit(i).alias("position")) for i, w in rare]
+        postings += [F.struct(F.lit(w).alias("word"), F.lit(number).cast("long").alias("template"), F.lit(i).alias("position")) for i, w in rare]
         templates.append(
             F.struct(
                 F.lit(t.label).alias("label"),
@@ -111,8 +111,9 @@ def scan(docs: DataFrame) -> DataFrame:
 
     read = docs.select("doc_id", words(F.col("text")).alias("w"))
     hits = F.filter(F.transform("w", lambda x, i: F.struct(i.alias("at"), x.alias("word"))), lambda h: h["word"].isin(rare_words))
-    begins = F.flatten(F.transform(hits, lambda h: F.transform(F.filter(index, lambda p: p["word"] == h["word"]), lambda p: F.struct(p["template"].alias("template"), (h["at"] - p["position"]).alias("at")))))
-    begins = F.array_distinct(F.filter(begins, lambda b: b["at"] >= 0))
+    # a begin is one long, template and place, as distinct longs are found by hashing and distinct structs are not
+    begins = F.flatten(F.transform(hits, lambda h: F.transform(F.filter(index, lambda p: (p["word"] == h["word"]) & (p["position"] <= h["at"])), lambda p: F.shiftleft(p["template"], 32) + (h["at"] - p["position"]))))
+    begins = F.transform(F.array_distinct(begins), lambda b: F.struct(F.shiftright(b, 32).cast("int").alias("template"), b.bitwiseAND(F.lit((1 << 32) - 1)).cast("int").alias("at")))
 
     def judge(b: Column) -> Column:
         form = F.get(forms, b["template"])
