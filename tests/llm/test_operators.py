@@ -209,6 +209,11 @@ def test_licences_equal_sql(spark, docs, tmp_path):
     assert not any("k" in w for t in licenses.TEMPLATES for w in t.words)
 
 
+def test_licences_of_a_text_full_of_them(spark):
+    df = spark.createDataFrame([(1, "GNU General Public License, " * 25_000)], "doc_id long, text string")
+    assert rows(licenses.scan(df)) == [(1, 100_000, 25_000, 0, 99_996, "gpl", "gpl", 1.0)]
+
+
 def test_licences_of_no_rows(empty):
     assert licenses.scan(empty).collect() == []
 
@@ -406,7 +411,7 @@ def test_quotes(spark):
     found = [(r["conv_id"], r["thread"], r["turn"], r["text"], r["reply_to"], r["n_quotes"], r["levels"]) for r in quotes.conversations(df).collect()]
     assert found == [
         (None, None, None, "y", None, 1, 1), (1, 0, 0, CONVERSATION[0][3], None, 0, 0), (1, 0, 1, "My long answer to that.", 0, 1, 1), (1, 0, 2, "Thanks a lot, that helps me.", 1, 2, 2),
-        (1, 0, 4, "ok", 0, 1, 1), (1, 0, 4, "ok", 0, 1, 1), (1, 3, 3, CONVERSATION[3][3], None, 0, 0), (1, 5, 5, "short quote", None, 1, 1), (2, 0, 0, "", None, 0, 0), (2, 1, 1, "x", None, 1, 1),
+        (1, 0, 4, "ok", 0, 1, 1), (1, 0, 4, "ok", 0, 1, 1), (1, 0, 5, "short quote", 4, 1, 1), (1, 3, 3, CONVERSATION[3][3], None, 0, 0), (2, 0, 0, "", None, 0, 0), (2, 1, 1, "x", None, 1, 1),
     ]
     assert quotes.conversations(df.where("false")).collect() == []
 
@@ -431,6 +436,26 @@ def test_quotes_equal_brute_force(spark):
     assert {(x["conv_id"], x["turn"]): (x["reply_to"], x["thread"]) for x in quotes.conversations(df).collect()} == want
 
 
+def test_nested_quotes_of_several_lines_equal_brute_force(spark):
+    """Messages of one to three lines that quote the whole of an earlier one, with the quotes that one holds."""
+    r = random.Random(12)
+    data, want = [], {}
+    for conv in range(6):
+        whole, own = [], []
+        for turn in range(10):
+            up = r.randrange(turn) if turn and r.random() < 0.7 else None
+            words = [f"{conv} says {turn} in line {k}" if r.random() < 0.7 else f"l{conv}.{turn}.{k}" for k in range(r.randint(1, 3))]
+            quoted = [] if up is None else ["> " + line if not line.startswith(">") else ">" + line for line in whole[up]]
+            whole.append([*quoted, *words])
+            own.append(words)
+            data.append((conv, turn, "user", "\n".join(whole[-1])))
+            want[conv, turn] = (up, turn if up is None else want[conv, up][1], "\n".join(words))
+    df = spark.createDataFrame([(*x, 1, "c") for x in data], "conv_id long, turn long, role string, text string, hash int, c string")
+    found = quotes.conversations(df).collect()
+    assert {(x["conv_id"], x["turn"]): (x["reply_to"], x["thread"], x["text"]) for x in found} == want
+    assert [(x["conv_id"], x["thread"], x["turn"]) for x in found] == sorted((c, t, n) for (c, n), (_, t, _) in want.items())
+
+
 def test_stages_keep_columns(spark):
     import corpus_pipeline
 

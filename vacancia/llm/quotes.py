@@ -8,13 +8,13 @@ A reply's longest unit that an earlier turn holds says what it answers; level 1
 deeper ones. Threads follow by pointer doubling over the links alone. Rows come back in reply order
 (conversation, thread, turn), ordered by ranges, so a conversation of any size is never one group.
 
-Whole passages and paragraphs link at any length. Below LEAST_CHARACTERS one links only to a message that is quoted as it was: words of a
-message without quotes, or those of a quoting message together with a deeper quotation ("ok" of a quoting message, quoted
-without what it quoted, links to nothing). Single lines of longer passages link from LEAST_CHARACTERS on.
+Passages, paragraphs and lines link at any length: "> No" answers the first earlier message of the conversation that says "No" as a
+message, paragraph or line of its own.
 
 Defined results: without quotes a text is unchanged; null texts are empty; quotes that no earlier turn of the
 conversation holds link to nothing; a null conv_id or turn links to nothing; of repeated (conv_id, turn) rows
-each is returned and all share one answer; other columns are ignored; no rows give no rows.
+each is returned and all share one answer; of units of one length at one level the latest original counts; other columns are
+ignored, whatever their names; no rows give no rows; a very long text is parsed whole in its task, and its units are dealt out by hash.
 """
 
 from __future__ import annotations
@@ -28,8 +28,6 @@ from pyspark.sql import functions as F
 
 from vacancia.llm.common import checkpoint, map_arrow
 
-LEAST_CHARACTERS = 12  # of a single line of a longer passage that may link; passages and paragraphs below it see units()
-
 _MARKS = re.compile(r"^[ \t]*((?:>[ \t]?)+)")
 _SPACE = re.compile(r"\s+")
 # How mail programs introduce a quotation.
@@ -49,40 +47,29 @@ def normal(text: str) -> str:
     return _SPACE.sub(" ", text).strip().casefold()
 
 
-def units(content: list[str], quoting: bool) -> dict[str, int]:
-    """Hash and length of a passage and its paragraphs, and of its lines that are long enough.
-
-    A passage or paragraph below LEAST_CHARACTERS stands for a message with or without quotes of its own: ``quoting`` is in its hash.
-    """
+def units(content: list[str]) -> dict[str, int]:
+    """Hash and length of a passage, its paragraphs and its lines."""
     paragraphs: list[list[str]] = [[]]
     for line in content:
         if line.strip():
             paragraphs[-1].append(line)
         elif paragraphs[-1]:
             paragraphs.append([])
-    found = {normal("\n".join(content)), *(normal("\n".join(p)) for p in paragraphs)} - {""}
-    found |= {u for u in map(normal, content) if len(u) >= LEAST_CHARACTERS}
-    named = {u: "\0" + u if quoting and len(u) < LEAST_CHARACTERS else u for u in found}
-    return {hashlib.sha256(n.encode("utf-8", "surrogatepass")).hexdigest()[:32]: len(u) for u, n in named.items()}
+    found = {normal("\n".join(content)), *(normal("\n".join(p)) for p in paragraphs), *map(normal, content)} - {""}
+    return {hashlib.sha256(u.encode("utf-8", "surrogatepass")).hexdigest()[:32]: len(u) for u in found}
 
 
-def passages(parsed: list[tuple[int, str]]) -> list[tuple[int, list[str], bool]]:
-    """Runs of quoted lines of one level, and whether a deeper run stands beside each."""
-    levels: list[int] = []
-    contents: list[list[str]] = []
-    nested: list[bool] = []
+def passages(parsed: list[tuple[int, str]]) -> list[tuple[int, list[str]]]:
+    """Runs of quoted lines of one level."""
+    out: list[tuple[int, list[str]]] = []
     last = 0
     for level, content in parsed:
         if level:
             if level != last:
-                levels.append(level)
-                contents.append([])
-                nested.append(level < last)
-                if 0 < last < level:
-                    nested[-2] = True
-            contents[-1].append(content)
+                out.append((level, []))
+            out[-1][1].append(content)
         last = level
-    return list(zip(levels, contents, nested))
+    return out
 
 
 def own_text(text: str, parsed: list[tuple[int, str]]) -> str:
@@ -111,9 +98,9 @@ def parse(messages: DataFrame) -> DataFrame:
                 found = passages(parsed)
                 texts.append(own_text(text, parsed))
                 counts.append(len(found))
-                levels.append(max((level for level, _, _ in found), default=0))
-                own.append([{"hash": h, "length": n, "level": 0} for h, n in units(texts[-1].split("\n"), bool(found)).items()])
-                quoted.append([{"hash": h, "length": n, "level": level} for level, content, nested in found for h, n in units(content, nested).items()])
+                levels.append(max((level for level, _ in found), default=0))
+                own.append([{"hash": h, "length": n, "level": 0} for h, n in units(texts[-1].split("\n")).items()])
+                quoted.append([{"hash": h, "length": n, "level": level} for level, content in found for h, n in units(content).items()])
             return [batch.column(0), batch.column(1), batch.column(2), texts, counts, levels, own, quoted]
 
         return step
