@@ -233,10 +233,43 @@ def test_simhash_equals_brute_force(docs, table, empty):
 def test_simhash_blocks_dealt_in_parts(spark):
     r = np.random.default_rng(0)
     base = r.integers(0, 2**64, 30, dtype=np.uint64)
-    values = np.unique(np.concatenate([base, base ^ (np.uint64(1) << r.integers(0, 64, 30).astype(np.uint64)), base ^ np.uint64(0b1111)]))
-    df = spark.createDataFrame([(int(v),) for v in values.view(np.int64)], "fp long")
-    whole = rows(connected_components(simhash.near_edges(df)))
-    assert rows(connected_components(simhash.near_edges(df, block_rows=3))) == whole and whole
+    values = np.unique(np.concatenate([base, base ^ (np.uint64(1) << r.integers(0, 64, 30).astype(np.uint64)), base ^ np.uint64(0b1111), base ^ np.uint64(0x8000_0100_0020_0004)]))
+    df = spark.createDataFrame([(int(v), i) for i, v in enumerate(values.view(np.int64))], "fp long, least long")
+    whole = {r["node"]["fp"]: r["component"]["least"] for r in connected_components(simhash.near_edges(df)).collect()}
+    near = np.bitwise_count(values[:, None] ^ values[None]) <= 4
+    label = np.arange(len(values))
+    for _ in range(len(values)):
+        label = np.where(near, label[None, :], len(values)).min(1)
+    sizes = np.bincount(label)
+    assert whole == {int(v): int(k) for v, k in zip(values.view(np.int64), label) if sizes[k] > 1} and whole
+    assert {r["node"]["fp"]: r["component"]["least"] for r in connected_components(simhash.near_edges(df, block_rows=3)).collect()} == whole
+
+
+def test_every_pair_within_the_radius_shares_a_block(spark):
+    r = np.random.default_rng(2)
+    values = r.integers(0, 2**64, 200, dtype=np.uint64)
+    others = values.copy()
+    for _ in range(4):
+        others ^= np.uint64(1) << r.integers(0, 64, 200).astype(np.uint64)
+    df = spark.createDataFrame([(int(a), int(b)) for a, b in zip(values.view(np.int64), others.view(np.int64))], "a long, b long")
+    assert df.where(F.arrays_overlap(simhash.block_keys(F.col("a"), 4), simhash.block_keys(F.col("b"), 4))).count() == 200
+
+
+@pytest.mark.parametrize("batch", [1, 2, 3, 7, 1000])
+def test_groups_across_batches(spark, batch):
+    from vacancia.llm.common import map_groups
+
+    r = random.Random(batch)
+    data = [(k, j, r.randrange(100)) for k in range(12) for j in range(2) for _ in range(r.choice([0, 1, 1, 2, 9]))]
+    df = spark.createDataFrame(data, "k long, j int, v long")
+    size = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(batch))
+    try:
+        found = rows(map_groups(df, ["k", "j"], lambda c: None if c["k"][0] == 3 else (c["k"][:1], np.array([len(c["v"])]), np.array([c["v"].sum()])), "k long, n long, total long"))
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+    want = [(k, len(v), sum(v)) for k in range(12) for j in range(2) for v in [[x for a, b, x in data if (a, b) == (k, j)]] if len(v) > 1 and k != 3]
+    assert found == sorted(want, key=repr)
 
 
 def test_tiles_equal_all_pairs():

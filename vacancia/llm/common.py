@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -17,10 +18,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def checkpoint(df: DataFrame) -> DataFrame:
-    """Cuts lineage through the cluster's shared checkpoint folder; a temporary one only where none is configured, as in tests."""
+    """Cuts lineage through the cluster's shared checkpoint folder. A temporary one serves a local session alone, as in tests."""
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints"))
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not folder and not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all hosts share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoints"))
     return df.checkpoint()
 
 
@@ -55,6 +59,51 @@ def filter_rows(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], lis
     return df.mapInArrow(run, df.schema)
 
 
+def map_groups(df: DataFrame, keys: list[str], step: Callable[[dict[str, np.ndarray]], tuple[np.ndarray, ...] | None], schema: str) -> DataFrame:
+    """Maps each group of rows with equal ``keys`` (longs) to columns of ``schema``, many small groups in one pass of a task.
+
+    ``df`` is dealt by its keys and sorted within partitions; a task holds one group and one batch. ``step`` gets a group's columns as arrays, and isn't
+    asked about groups of a single row. The count of partitions is stated, so that adaptive execution doesn't join them by their bytes: the work isn't in them.
+    """
+    fields = to_arrow_schema(StructType.fromDDL(schema))
+    names = df.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[list[np.ndarray]] = []  # what is seen of the last group
+
+        def whole(parts: list[list[np.ndarray]]) -> list[np.ndarray]:
+            return [np.concatenate(c) for c in zip(*parts)] if len(parts) > 1 else parts[0]
+
+        def results(columns: list[np.ndarray], bounds: list[int]) -> pa.RecordBatch | None:
+            found = [step({n: c[a:b] for n, c in zip(names, columns)}) for a, b in zip(bounds, bounds[1:]) if b - a > 1]
+            found = [f for f in found if f is not None]
+            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), f.type) for c, f in zip(zip(*found), fields)], schema=fields) if found else None
+
+        for batch in batches:
+            columns = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+            if not batch.num_rows:
+                continue
+            key = [columns[names.index(k)] for k in keys]
+            new = np.flatnonzero(np.logical_or.reduce([k[1:] != k[:-1] for k in key])) + 1
+            same = bool(held) and all(held[-1][names.index(k)][-1] == c[0] for k, c in zip(keys, key))
+            if held and (not same or len(new)):
+                last = whole([*held, [c[: new[0]] for c in columns]] if same else held)
+                if (out := results(last, [0, len(last[0])])) is not None:
+                    yield out
+                held = []
+            starts = [*([] if same else [0]), *new.tolist()]
+            if len(starts) > 1 and (out := results(columns, starts)) is not None:
+                yield out
+            held.append([c[starts[-1] :] for c in columns] if starts else columns)
+        if held:
+            last = whole(held)
+            if (out := results(last, [0, len(last[0])])) is not None:
+                yield out
+
+    partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(partitions, *keys).sortWithinPartitions(*keys).mapInArrow(run, schema)
+
+
 def bounded_sample(rows: DataFrame, group: str, most: Column, most_groups: int) -> DataFrame:
     """Of (doc_id, group) rows, for each of the ``most_groups`` largest groups at most ``most`` rows, those of the least hash of the id.
 

@@ -1,19 +1,19 @@
 """Operator 6: SimHash near-duplicates by tiled exact comparison of fingerprints.
 
 Fingerprints: 64-bit majority of the XXH64 values (seed 42) of the 4-word shingles of a text.
-Distinct fingerprints alone are compared, so a group of copies of any size is one entry. Two
-fingerprints within the radius r agree wholly on at least one of r + 1 bands of their bits, so each
-band value is a block, and only fingerprints of a block are compared: all of them, as tiles of
+Distinct fingerprints alone are compared, so a group of copies of any size is one entry. Of r + 2 bands of
+the 64 bits, two fingerprints within the radius r agree wholly on at least two, so the values of each two bands
+(15 keys of about 21 bits at r = 4) are blocks, and only fingerprints of a block are compared: all of them, as tiles of
 numpy arrays under exclusive-or and bit counts, sorted by population count, a pair of tiles being
-skipped when their population counts differ by more than r. A block over BLOCK_ROWS is dealt out
-by pairs of its parts, each pair its own group, so no task holds more than two parts.
+skipped when their population counts differ by more than r. Blocks of one row go before they are dealt out, and a task takes
+its blocks in one pass. A block over BLOCK_ROWS is dealt out by pairs of its parts, so no task holds more than two parts at once.
 
-A group emits a star for each set of linked fingerprints, never all pairs; components follow from
-alternating star contraction on Spark.
+A block emits a star for each set of linked fingerprints, never all pairs; components follow from
+alternating star contraction on Spark. Nodes are (smallest doc_id, fingerprint), so the smallest node names its component.
 
 Defined results: null, empty and blank texts have fingerprint zero and link like any other;
 repeated rows give repeated results; rows with a null doc_id get a component but are never its
-name; other columns are ignored; no rows give no rows.
+name; other columns are ignored; no rows give no rows. A very long text is hashed whole, its bits are counted a part at a time.
 """
 
 from __future__ import annotations
@@ -21,19 +21,19 @@ from __future__ import annotations
 from itertools import combinations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vacancia.llm.common import checkpoint, connected_components, map_arrow, texts
+from vacancia.llm.common import checkpoint, connected_components, map_arrow, map_groups, texts
 
 SHINGLE_WORDS = 4
 SEED = 42
 RADIUS = 4
 TILE_ROWS = 2048
 BLOCK_ROWS = 65_536
+NAMELESS = (1 << 63) - 1  # stands for the doc_id of fingerprints that have none
 
 
 def shingle_hashes(text: str, words: int = SHINGLE_WORDS) -> np.ndarray:
@@ -61,21 +61,30 @@ def fingerprint(hashes: np.ndarray) -> int:
     return int(np.packbits(2 * counts > len(hashes), bitorder="little").view("<i8")[0])
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
+def fingerprints(docs: DataFrame, words: int = SHINGLE_WORDS) -> DataFrame:
     """(doc_id, fp long) of each row."""
 
     def make():
-        return lambda batch: [batch.column(0), pa.array([fingerprint(shingle_hashes(t)) for t in texts(batch.column(1))], pa.int64())]
+        return lambda batch: [batch.column(0), pa.array([fingerprint(shingle_hashes(t, words)) for t in texts(batch.column(1))], pa.int64())]
 
     return map_arrow(docs.select("doc_id", "text"), make, "doc_id long, fp long")
 
 
 def bands(radius: int) -> list[tuple[int, int]]:
-    """(shift, width) of radius + 1 bands that cover 64 bits."""
-    cuts = [round(64 * k / (radius + 1)) for k in range(radius + 2)]
+    """(shift, width) of radius + 2 bands that cover 64 bits."""
+    cuts = [round(64 * k / (radius + 2)) for k in range(radius + 3)]
     return [(a, b - a) for a, b in zip(cuts, cuts[1:])]
 
 
+def block_keys(fp: Column, radius: int) -> Column:
+    """An array of the keys of the blocks of a fingerprint: the number of two bands, and their values."""
+    keys = []
+    for number, ((a, n), (b, m)) in enumerate(combinations(bands(radius), 2)):
+        low, high = F.shiftrightunsigned(fp, a).bitwiseAND(F.lit((1 << n) - 1)), F.shiftrightunsigned(fp, b).bitwiseAND(F.lit((1 << m) - 1))
+        keys.append(F.lit(number << 48) + F.shiftleft(high, n) + low)
+    return F.array(*keys)
+
+
 def linked_stars(values: np.ndarray, part: np.ndarray | None = None, radius: int = RADIUS, tile_rows: int = TILE_ROWS) -> tuple[np.ndarray, np.ndarray]:
     """(value, least value linked to it through others here) of the distinct unsigned values with a link.
 
@@ -119,36 +128,37 @@ def linked_stars(values: np.ndarray, part: np.ndarray | None = None, radius: int
 
 
 def near_edges(fps: DataFrame, radius: int = RADIUS, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """(a, b) edges between distinct fingerprints (fp long) that span the same components as all links within the radius."""
-    banded = fps.select(
-        F.col("fp"),
-        F.explode(F.array(*[F.struct(F.lit(k).alias("band"), F.shiftrightunsigned("fp", shift).bitwiseAND(F.lit((1 << width) - 1)).alias("value")) for k, (shift, width) in enumerate(bands(radius))])).alias("block"),
-    ).select("fp", "block.band", "block.value")
-    big = banded.groupBy("band", "value").count().where(F.col("count") > block_rows).select(F.col("band").alias("big_band"), F.col("value").alias("big_value"), F.ceil(F.col("count") / block_rows).cast("int").alias("parts"))
-    dealt = banded.join(big, (F.col("band") == F.col("big_band")) & (F.col("value") == F.col("big_value")), "left").select("fp", "band", "value", F.coalesce("parts", F.lit(1)).alias("parts"))
-    dealt = dealt.withColumn("part", F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int"))
+    """(a, b) edges between rows of distinct (fp long, least long), as structs of both, that span the same components as all links within the radius."""
+    banded = fps.select("fp", "least", F.explode(block_keys(F.col("fp"), radius)).alias("block"))
+    parts = F.ceil(F.col("count") / block_rows).cast("int")
+    several = banded.groupBy("block").count().where("count > 1").select(F.col("block").alias("of"), parts.alias("parts"))
+    dealt = banded.join(several, F.col("block") == F.col("of")).withColumn("part", F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int"))
     # a part meets itself and each other part: (i, i) and (i, j), i < j
-    dealt = dealt.select("fp", "band", "value", "part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
-    dealt = dealt.select("fp", "band", "value", "part", F.least("part", "other").alias("first"), F.greatest("part", "other").alias("second"))
-
-    def compare(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        values = rows["fp"].to_numpy(np.int64).view(np.uint64)
-        part = None if key[2] == key[3] else (rows["part"] == key[3]).to_numpy()
-        a, b = linked_stars(values, part, radius)
-        return pd.DataFrame({"a": a.view(np.int64), "b": b.view(np.int64)})
-
-    return dealt.groupBy("band", "value", "first", "second").applyInPandas(compare, "a long, b long").where("a <> b")
-
-
-def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
+    dealt = dealt.select("fp", "least", "block", "part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
+    dealt = dealt.select("fp", "least", "block", "part", F.least("part", "other").alias("first"), F.greatest("part", "other").alias("second"))
+
+    def compare(rows: dict[str, np.ndarray]) -> tuple[np.ndarray, ...] | None:
+        values = rows["fp"].view(np.uint64)
+        second = int(rows["second"][0])
+        a, b = linked_stars(values, None if int(rows["first"][0]) == second else rows["part"] == second, radius)
+        apart = a != b
+        if not apart.any():
+            return None
+        a, b = a[apart], b[apart]
+        order = np.argsort(values)
+        least = lambda found: rows["least"][order[np.searchsorted(values, found, sorter=order)]]
+        return a.view(np.int64), least(a), b.view(np.int64), least(b)
+
+    found = map_groups(dealt, ["block", "first", "second"], compare, "fp long, least long, to_fp long, to_least long")
+    return found.select(F.struct("least", "fp").alias("a"), F.struct(F.col("to_least").alias("least"), F.col("to_fp").alias("fp")).alias("b"))
+
+
+def near_duplicates(docs: DataFrame, radius: int = RADIUS, words: int = SHINGLE_WORDS) -> DataFrame:
     """(doc_id, fingerprint, component_id) of each row."""
-    own = checkpoint(fingerprints(docs))
-    by_fp = own.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    found = connected_components(near_edges(by_fp.select("fp"), radius))
-    # the smallest doc_id of each fingerprint, then of each component of fingerprints
-    grouped = by_fp.join(found, by_fp.fp == found.node, "left").select("fp", "least", F.coalesce("component", "fp").alias("component"))
-    names = grouped.groupBy("component").agg(F.min("least").alias("component_id")).withColumnRenamed("component", "named")
-    by_fp = grouped.join(names, grouped.component == names.named).select(F.col("fp").alias("of"), "component_id")
+    own = checkpoint(fingerprints(docs, words))
+    by_fp = own.groupBy("fp").agg(F.coalesce(F.min("doc_id"), F.lit(NAMELESS)).alias("least"))
+    found = connected_components(near_edges(by_fp, radius)).select(F.col("node.fp").alias("node"), F.col("component.least").alias("component"))
+    by_fp = by_fp.join(found, by_fp.fp == found.node, "left").select(F.col("fp").alias("of"), F.nullif(F.coalesce("component", "least"), F.lit(NAMELESS)).alias("component_id"))
     joined = own.join(by_fp, own.fp == by_fp.of)
     return joined.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
