@@ -1,14 +1,17 @@
-"""The pipeline's near copies: texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or more.
+"""The pipeline's near copies: SimHash groups first, then all texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or more.
 
-Candidates share one of 32 bands of four minhashes: a pair at 0.8 shares none in 5 of 10^8 cases, a nearer one more rarely.
-Every link is verified on the two whole shingle sets. A bucket whose texts are of one component already needs no
-further pairs, so crowds of near copies are first joined by stars (a leader a bucket, one pair a text and round);
-then all pairs of different components of a bucket are compared, none left out: as tiles of the minhashes' bytes, of
-which a pair at 0.8 agrees on fewer than LEAST_EQUAL in 1 of 10^8 cases, and those that agree on more by their sets.
+Operator 6 compares the fingerprints of five-word shingles in its tiles and gives stars of close ones. What it can't see, as a pair at 0.8
+differs by about ten of 64 bits, comes from 32 bands of four minhashes: a pair at 0.8 shares none in 5 of 10^8 cases, a nearer one more
+rarely. Every link, of either kind, is verified on the two whole shingle sets, so no unlike pair that fingerprints confuse is joined.
+
+A bucket whose texts are of one component already needs no further pairs, so crowds of near copies are first joined by SimHash and by
+a star of each bucket; then all pairs of different components of a bucket are compared, none left out, at first in FIRST_BANDS bands, then
+in all others: as tiles of the minhashes' bytes, of which a pair at 0.8 agrees on fewer than LEAST_EQUAL in 1 of 10^8
+cases, and those that agree on more by their sets.
 
 Defined results: of each component the smallest doc_id stays, whole rows of it once; rows that share an id but
-hold different texts are texts of their own; texts without words are copies of one another; fewer than five words
-are one shingle; rows without an id stay; no rows give no rows.
+hold different texts are texts of their own; texts without words, null ones too, are copies of one another; fewer than five words
+are one shingle; rows without an id stay; other columns pass, whatever their names; no rows give no rows. A very long text is hashed whole.
 """
 
 from __future__ import annotations
@@ -16,21 +19,20 @@ from __future__ import annotations
 from itertools import combinations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vacancia.llm.common import checkpoint, connected_components, map_arrow, texts
-from vacancia.llm.simhash import shingle_hashes
+from vacancia.llm.common import checkpoint, connected_components, map_arrow, map_groups, texts
+from vacancia.llm.simhash import fingerprint, near_edges, shingle_hashes
 
 SHINGLE_WORDS = 5
 BANDS, BAND_ROWS = 32, 4
-STAR_ROUNDS = 2
+FIRST_BANDS = 6
 LEAST_EQUAL = 74  # of 128 bytes
 BLOCK_ROWS = 16_384
-#: Shingles that a task holds for the next pairs.
+#: Shingles of a part of a bucket that is dealt out.
 MOST_HELD = 4_000_000
 
 _R = np.random.default_rng(42)
@@ -62,102 +64,106 @@ def buckets(found: np.ndarray) -> tuple[list[int], bytes]:
 
 
 def signatures(docs: DataFrame) -> DataFrame:
-    """(doc_id, own, key, n, buckets, minhashes) of each row: a hash of the text, one of its shingle set, the set's size."""
+    """(doc_id, own, key, n, fp, buckets, minhashes) of each row: a hash of the text, one of its shingle set, the set's size, the SimHash."""
 
     def make():
         def step(batch: pa.RecordBatch):
-            sets = [shingles(t) for t in texts(batch.column(2))]
-            keys = [xxhash.xxh64_intdigest(s.tobytes(), 1) - (1 << 63) for s in sets]
-            return [batch.column(0), batch.column(1), keys, list(map(len, sets)), *zip(*map(buckets, sets))]
+            out = []
+            for text in texts(batch.column(2)):
+                hashes = shingle_hashes(text, SHINGLE_WORDS)
+                found = np.unique(hashes)
+                out.append((xxhash.xxh64_intdigest(found.tobytes(), 1) - (1 << 63), len(found), fingerprint(hashes), *buckets(found)))
+            return [batch.column(0), batch.column(1), *map(list, zip(*out))] if out else None
 
         return step
 
-    return map_arrow(docs.select("doc_id", F.xxhash64("text").alias("own"), "text"), make, "doc_id long, own long, key long, n int, buckets array<long>, minhashes binary")
+    return map_arrow(docs.select("doc_id", F.xxhash64("text").alias("own"), "text"), make, "doc_id long, own long, key long, n int, fp long, buckets array<long>, minhashes binary")
 
 
-def verified(pairs: DataFrame, held: DataFrame) -> DataFrame:
-    """The (a, b) pairs of keys whose texts, of (key, text), are near copies."""
-    both = pairs.join(held.select(F.col("key").alias("b"), F.col("text").alias("text_b")), "b").join(held.select(F.col("key").alias("a"), F.col("text").alias("text_a")), "a")
+def verified(pairs: DataFrame, whole: DataFrame) -> DataFrame:
+    """The (a, b) pairs of keys whose shingle sets, of (key, shingles), are near copies."""
+    both = pairs.join(whole.select(F.col("key").alias("b"), F.col("shingles").alias("of_b")), "b").join(whole.select(F.col("key").alias("a"), F.col("shingles").alias("of_a")), "a")
 
     def make():
-        held_sets: dict[int, np.ndarray] = {}
-        size = 0
-
-        def of_key(key: int, text: str | None) -> np.ndarray:
-            nonlocal size
-            if key not in held_sets:
-                if size > MOST_HELD:
-                    held_sets.clear()
-                    size = 0
-                held_sets[key] = shingles(text or "")
-                size += len(held_sets[key])
-            return held_sets[key]
-
         def step(batch: pa.RecordBatch):
-            keep = []
-            for i, (a, b) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())):
-                one = of_key(a, None if a in held_sets else batch.column(2)[i].as_py())
-                keep.append(near(one, of_key(b, None if b in held_sets else batch.column(3)[i].as_py())))
-            of = pa.array(keep, pa.bool_())
-            return [batch.column(0).filter(of), batch.column(1).filter(of)]
+            sets = ([np.frombuffer(x.as_buffer(), np.uint64) for x in batch.column(k)] for k in (2, 3))
+            keep = pa.array([near(one, other) for one, other in zip(*sets)], pa.bool_())
+            return [batch.column(0).filter(keep), batch.column(1).filter(keep)]
 
         return step
 
-    return map_arrow(both.select("a", "b", "text_a", "text_b"), make, "a long, b long")
+    return map_arrow(both.select("a", "b", "of_a", "of_b"), make, "a long, b long")
 
 
-def linked(rows: DataFrame, sets: DataFrame, held: DataFrame) -> DataFrame:
+def linked(rows: DataFrame, whole: DataFrame) -> DataFrame:
     """(a, b) edges that join the components within each bucket as all near copies of it do, by comparing all pairs."""
-
-    def hashes():
-        return lambda batch: [batch.column(0), [shingles(t).tobytes() for t in texts(batch.column(1))]]
-
-    wanted = rows.select("key").distinct()
-    whole = map_arrow(held.join(wanted, "key", "left_semi").select("key", "text"), hashes, "key long, shingles binary").join(sets.select("key", "minhashes"), "key")
     parts = F.ceil(F.greatest(F.count("*") / BLOCK_ROWS, F.sum("n") / MOST_HELD)).cast("int")
     big = rows.groupBy("bucket").agg(parts.alias("parts")).where("parts > 1")
     dealt = rows.join(big, "bucket", "left").withColumn("parts", F.coalesce("parts", F.lit(1))).withColumn("part", F.pmod(F.xxhash64("key"), F.col("parts")).cast("int"))
     # a part meets itself and each other part: (i, i) and (i, j), i < j
     dealt = dealt.select("key", "n", "of", "bucket", "part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
-    dealt = dealt.withColumn("low", F.least("part", "other")).withColumn("high", F.greatest("part", "other")).join(whole, "key")
-
-    def compare(group: tuple, part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values("n")
-        key, n, at = (part[c].to_numpy() for c in ("key", "n", "part"))
-        of = np.unique(part["of"].to_numpy(), return_inverse=True)[1]
-        bytes_ = np.frombuffer(b"".join(part["minhashes"]), np.uint8).reshape(len(key), -1)
-        found = [np.frombuffer(x, np.uint64) for x in part["shingles"]]
+    dealt = dealt.withColumn("low", F.least("part", "other")).withColumn("high", F.greatest("part", "other")).join(whole, "key").drop("other")
+
+    def compare(group: dict[str, np.ndarray]) -> tuple[np.ndarray, ...] | None:
+        order = np.argsort(group["n"], kind="stable")
+        key, n, at = (group[c][order] for c in ("key", "n", "part"))
+        of = np.unique(group["of"][order], return_inverse=True)[1]
+        bytes_ = np.frombuffer(b"".join(group["minhashes"][order]), np.uint8).reshape(len(key), -1)
+        found = [np.frombuffer(x, np.uint64) for x in group["shingles"][order]]
+        within = group["low"][0] == group["high"][0]
         edges = []
         for i in range(len(key) - 1):
             stop = np.searchsorted(n, n[i] * 5 // 4, "right")  # sizes that allow 0.8
-            j = i + 1 + np.flatnonzero((of[i + 1 : stop] != of[i]) & ((at[i + 1 : stop] != at[i]) | (group[1] == group[2])))
+            j = i + 1 + np.flatnonzero((of[i + 1 : stop] != of[i]) & (within | (at[i + 1 : stop] != at[i])))
             for other in j[np.count_nonzero(bytes_[j] == bytes_[i], axis=1) >= LEAST_EQUAL].tolist():
                 if of[other] != of[i] and near(found[i], found[other]):
                     edges.append((key[i], key[other]))
                     of[of == of[other]] = of[i]
-        return pd.DataFrame(edges, columns=["a", "b"], dtype="int64")
+        return tuple(np.array(edges, np.int64).T) if edges else None
+
+    return map_groups(dealt, ["bucket", "low", "high"], compare, "a long, b long").distinct()
+
 
-    return dealt.groupBy("bucket", "low", "high").applyInPandas(compare, "a long, b long").distinct()
+def simhash_pairs(sets: DataFrame) -> DataFrame:
+    """(a, b) pairs of keys, stars of the groups that operator 6 makes of their fingerprints."""
+    by_fp = sets.groupBy("fp").agg(F.min("key").alias("least"))
+    same = sets.select("key", F.col("fp").alias("of")).join(by_fp, F.col("of") == F.col("fp")).where("key <> least").select(F.col("least").alias("a"), F.col("key").alias("b"))
+    return same.union(near_edges(by_fp).select(F.col("a.least").alias("a"), F.col("b.least").alias("b")).distinct())
 
 
-def components(sets: DataFrame, held: DataFrame) -> DataFrame:
-    """(node, component) of the linked keys among distinct (key, n, buckets, minhashes)."""
-    rows = sets.select("key", "n", F.explode("buckets").alias("bucket"))
+def components(sets: DataFrame, named: DataFrame) -> DataFrame:
+    """(node, component) of the linked keys among distinct (key, n, fp, buckets, minhashes, first), with the texts of (doc_id, own, text)."""
+    rows = sets.select("key", "n", F.posexplode("buckets").alias("band", "bucket"))
     shared = rows.groupBy("bucket").count().where("count > 1").select("bucket")
     rows = checkpoint(rows.join(shared, "bucket", "left_semi"))
+    close = checkpoint(simhash_pairs(sets))
+
+    def shingle_sets():
+        def step(batch: pa.RecordBatch):
+            return [batch.column(0), [shingles(t).tobytes() for t in texts(batch.column(1))], batch.column(2)]
+
+        return step
+
+    # one text of each distinct shingle set that may have a partner
+    wanted = rows.select("key").union(close.select("a")).union(close.select("b")).distinct()
+    at = sets.join(wanted, "key", "left_semi").select("key", F.col("first.doc_id").alias("doc_id"), F.col("first.own").alias("own"), "minhashes")
+    held = named.join(at, ["doc_id", "own"]).select("key", "text", "minhashes")
+    whole = checkpoint(map_arrow(held, shingle_sets, "key long, shingles binary, minhashes binary").dropDuplicates(["key"]))
+
     fits = lambda a, b: F.least(a, b) * 5 >= F.greatest(a, b) * 4
-    edges = found = None
-    for turn in range(STAR_ROUNDS + 1):
-        named = rows.withColumn("of", F.col("key")) if found is None else rows.join(found, rows.key == found.node, "left").select("key", "n", "bucket", F.coalesce("component", "key").alias("of"))
-        rank = F.xxhash64("key", F.lit(turn))
-        mixed = named.groupBy("bucket").agg(F.min(F.struct(rank.alias("rank"), "key", "n", "of")).alias("first"), F.min("of").alias("low"), F.max("of").alias("high")).where("low <> high")
-        if turn < STAR_ROUNDS:
-            star = named.join(mixed, "bucket").where((F.col("of") != F.col("first.of")) & fits(F.col("n"), F.col("first.n")))
+    edges = checkpoint(verified(close, whole))
+    found = checkpoint(connected_components(edges))
+    for bands in (None, F.col("band") < FIRST_BANDS, F.col("band") >= FIRST_BANDS):
+        own = rows if bands is None else rows.where(bands)
+        of = own.join(found, own.key == found.node, "left").select("key", "n", "bucket", F.coalesce("component", "key").alias("of"))
+        mixed = of.groupBy("bucket").agg(F.min(F.struct(F.xxhash64("key").alias("rank"), "key", "n", "of")).alias("first"), F.min("of").alias("low"), F.max("of").alias("high")).where("low <> high")
+        if bands is None:
+            star = of.join(mixed, "bucket").where((F.col("of") != F.col("first.of")) & fits(F.col("n"), F.col("first.n")))
             pairs = star.groupBy(F.col("key").alias("b")).agg(F.min("first").alias("first")).select(F.col("first.key").alias("a"), "b")
-            new = verified(pairs, held)
+            new = verified(pairs, whole)
         else:
-            new = linked(named.join(mixed.select("bucket"), "bucket", "left_semi"), sets, held)
-        edges = checkpoint(new if edges is None else edges.union(new))
+            new = linked(of.join(mixed.select("bucket"), "bucket", "left_semi"), whole)
+        edges = checkpoint(edges.union(new))
         found = checkpoint(connected_components(edges))
     return found
 
@@ -166,14 +172,13 @@ def keep_one_of_each(docs: DataFrame) -> DataFrame:
     """One row of each group of near copies, with all columns; rows without an id stay."""
     named = docs.where("doc_id is not null")
     own = checkpoint(signatures(named))
-    sets = own.groupBy("key").agg(F.min(F.struct("doc_id", "own")).alias("first"), F.first("n").alias("n"), F.first("buckets").alias("buckets"), F.first("minhashes").alias("minhashes"))
-    # one text of each distinct shingle set
-    at = sets.select("key", F.col("first.doc_id").alias("doc_id"), F.col("first.own").alias("own"))
-    held = named.select("doc_id", F.xxhash64("text").alias("own"), "text").join(at, ["doc_id", "own"]).dropDuplicates(["key"]).select("key", "text")
-    found = components(sets, held)
-    stay = sets.join(found, sets.key == found.node, "left").groupBy(F.coalesce("component", "key").alias("of")).agg(F.min("first").alias("first")).select("first.doc_id", "first.own")
-    kept = named.withColumn("_own", F.xxhash64("text")).join(stay.select("doc_id", F.col("own").alias("_own")), ["doc_id", "_own"], "left_semi")
-    return kept.dropDuplicates(["doc_id", "_own"]).select(docs.columns).union(docs.where("doc_id is null"))
+    sets = own.groupBy("key").agg(F.min(F.struct("doc_id", "own")).alias("first"), *[F.first(c).alias(c) for c in ("n", "fp", "buckets", "minhashes")])
+    found = components(sets, named.select("doc_id", F.xxhash64("text").alias("own"), "text"))
+    stay = sets.join(found, sets.key == found.node, "left").groupBy(F.coalesce("component", "key").alias("of")).agg(F.min("first").alias("first"))
+    stay = stay.select(F.col("first.doc_id").alias("id that stays"), F.col("first.own").alias("text that stays"))
+    own_row = (F.col("doc_id") == F.col("id that stays")) & (F.xxhash64("text") == F.col("text that stays"))
+    kept = named.join(stay, own_row)
+    return kept.dropDuplicates(["id that stays", "text that stays"]).select(*[named[c] for c in docs.columns]).union(docs.where("doc_id is null"))
 
 
 def brute_force(rows: list[tuple[int, str | None]]) -> list[int]:

@@ -173,12 +173,3 @@ def brute_force(rows: list[tuple[int, str | None]], radius: int = RADIUS) -> lis
             component = [new if c == old else c for c in component]
     names = {c: min(r[0] for r, d in zip(rows, component) if d == c) for c in set(component)}
     return [(r[0], f"{f:016x}", names[c]) for r, f, c in zip(rows, fps, component)]
-
-
-def keep_one_of_each(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """The rows of the smallest doc_id of each component, one of each doc_id and fingerprint, with all columns; rows without an id stay."""
-    named = docs.where("doc_id is not null").withColumn("_own", F.xxhash64("text"))
-    of = fingerprints(named.select(F.col("_own").alias("doc_id"), "text")).select(F.col("doc_id").alias("_own"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("_fp")).distinct()
-    stay = near_duplicates(named, radius).where("doc_id = component_id").select("doc_id", F.col("fingerprint").alias("_fp")).distinct()
-    kept = named.join(of, "_own").join(stay, ["doc_id", "_fp"], "left_semi")
-    return kept.dropDuplicates(["doc_id", "_fp"]).select(docs.columns).union(docs.where("doc_id is null"))
