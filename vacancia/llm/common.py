@@ -104,18 +104,18 @@ def map_groups(df: DataFrame, keys: list[str], step: Callable[[dict[str, np.ndar
     return df.repartition(partitions, *keys).sortWithinPartitions(*keys).mapInArrow(run, schema)
 
 
-def bounded_sample(rows: DataFrame, group: str, most: Column, most_groups: int) -> DataFrame:
-    """Of (doc_id, group) rows, for each of the ``most_groups`` largest groups at most ``most`` rows, those of the least hash of the id.
+def bounded_sample(rows: DataFrame, group: str, most: Column) -> DataFrame:
+    """Of (row, group), row a hash that names a row, for each group at most ``most`` distinct rows, those that a second hash puts first.
 
-    The rows are first cut down to about twice as many by their hash, at a share that follows from the
-    group's size, so the group that the ranking brings together is of bounded size itself.
+    The rows are first cut down to about twice as many by that hash, at a share that follows from how many distinct ones
+    the group has, so what the ranking brings together is of bounded size itself, however often a row is repeated.
     """
     span = float(1 << 30)
-    sizes = rows.groupBy(F.col(group).alias("of")).count().orderBy(F.desc("count"), "of").limit(most_groups)
-    near = rows.join(F.broadcast(sizes), F.col(group) == F.col("of")).withColumn("hash", F.pmod(F.xxhash64("doc_id"), F.lit(int(span))))
-    near = near.where(F.col("hash") < F.lit(span) * (2 * most + 64) / F.col("count"))
-    ranked = near.withColumn("rank", F.row_number().over(Window.partitionBy(group).orderBy("hash", "doc_id")))
-    return ranked.where(F.col("rank") <= most).select("doc_id", group)
+    sizes = rows.groupBy(F.col(group).alias("of")).agg(F.approx_count_distinct("row").alias("count"))
+    near = rows.join(sizes, F.col(group) == F.col("of")).withColumn("hash", F.pmod(F.xxhash64("row"), F.lit(int(span))))
+    near = near.where(F.col("hash") < F.lit(span) * (2 * most + 64) / F.col("count")).dropDuplicates([group, "row"])
+    ranked = near.withColumn("rank", F.row_number().over(Window.partitionBy(group).orderBy("hash", "row")))
+    return ranked.where(F.col("rank") <= most).select("row", group)
 
 
 def connected_components(edges: DataFrame) -> DataFrame:

@@ -5,18 +5,20 @@ sublinear counts, unit length. Training: follow-the-regularised-leader with an e
 L1 part leaves most weights zero; then one temperature, fitted on labelled texts that training has
 not seen, calibrates the probabilities. The model is of fixed size (FEATURES x languages).
 
-The classifier, its document frequencies included, is fitted on a bounded sample: of each language
-the SAMPLE_PER_LANGUAGE labelled documents of the least hash, at most MOST_LANGUAGES languages.
+Document frequencies count the n-grams of all rows that may be learned from. The classifier is fitted on a bounded sample: of each
+language, however many there are, the SAMPLE_PER_LANGUAGE distinct rows of the least hash; a language takes 0.5 MB of the driver's memory.
 It learns from text and lang of documents whose crc32(doc_id as text) mod 4 is not 2, only.
 
 Defined results: a null text or one without a letter is `und` with score 0; repeated rows give
-repeated results; a null doc_id is held out of training; with nothing to learn from, every
-text is `und`; other columns pass the stage and are ignored by the query.
+repeated results and teach once; a null doc_id is held out of training; of languages with one probability the first in order of names
+is predicted; with nothing to learn from, every text is `und`; other columns pass the stage and are ignored by the query; no rows
+give no rows. A very long text is counted whole, a block of characters at a time.
 """
 
 from __future__ import annotations
 
 import sys
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -28,7 +30,6 @@ from vacancia.llm.common import bounded_sample, filter_rows, map_arrow, texts
 
 FEATURES = 1 << 15
 SAMPLE_PER_LANGUAGE = 800
-MOST_LANGUAGES = 200
 EPOCHS = 3
 ALPHA, BETA, L1, L2 = 0.5, 1.0, 0.02, 0.05
 UNKNOWN = "und"
@@ -103,14 +104,11 @@ class Model:
         return self.languages[int(p.argmax())], float(p.max() / p.sum())
 
 
-def train(rows: list[tuple[str, np.ndarray, np.ndarray]]) -> Model:
-    """A model from (language, features, counts) of each document, in a fixed order."""
+def train(rows: list[tuple[str, np.ndarray, np.ndarray]], seen: np.ndarray, documents: int) -> Model:
+    """A model from (language, features, counts) of each document, in a fixed order, and how many of all documents hold each feature."""
     languages = sorted({r[0] for r in rows})
     number = {x: i for i, x in enumerate(languages)}
-    seen = np.zeros(FEATURES)
-    for _, at, _ in rows:
-        seen[at] += 1
-    model = Model(languages, np.log((1 + len(rows)) / (1 + seen)) + 1, np.zeros((FEATURES + 1, max(len(languages), 1))), 1.0)
+    model = Model(languages, np.log((1 + documents) / (1 + seen)) + 1, np.zeros((FEATURES + 1, max(len(languages), 1))), 1.0)
     data = []
     for language, at, n in rows:
         values = (1 + np.log(n)) * model.idf[at]
@@ -156,10 +154,27 @@ def held_out(doc_id: str = "doc_id"):
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 4 == 2, F.lit(True))
 
 
+def document_frequencies(docs: DataFrame) -> tuple[np.ndarray, int]:
+    """How many texts hold each feature, and how many texts there are: each task adds its own up before they are dealt out."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(FEATURES + 1, np.int64)
+        for batch in batches:
+            for text in texts(batch.column(0)):
+                total[:-1] += counts(text) > 0
+                total[-1] += 1
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(total[at], pa.int64())], ["feature", "n"])
+
+    seen = np.zeros(FEATURES + 1, np.int64)
+    for r in docs.select("text").mapInArrow(run, "feature int, n long").groupBy("feature").agg(F.sum("n").alias("n")).collect():  # FEATURES + 1 rows at most
+        seen[r["feature"]] = r["n"]
+    return seen[:-1], int(seen[-1])
+
+
 def fit(docs: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE) -> Model:
-    known = docs.select("doc_id", "lang").where(~held_out() & F.col("lang").isNotNull())
-    # at most per_language x MOST_LANGUAGES ids
-    chosen = bounded_sample(known, "lang", F.lit(per_language), MOST_LANGUAGES).select("doc_id").distinct()
+    known = docs.where(~held_out() & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("lang", "text", F.xxhash64("doc_id", "text").alias("row"))
+    chosen = bounded_sample(known.select("row", "lang"), "lang", F.lit(per_language))
 
     def make():
         def step(batch: pa.RecordBatch):
@@ -173,12 +188,12 @@ def fit(docs: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE) -> Model:
 
         return step
 
-    labelled = docs.select("doc_id", "lang", "text").where(F.col("lang").isNotNull()).join(F.broadcast(chosen), "doc_id", "left_semi")
-    rows = map_arrow(labelled, make, "doc_id long, lang string, at binary, n binary").collect()
-    rows = sorted(rows, key=lambda r: (r[0], r[1], r[2]))
+    labelled = known.join(chosen, ["row", "lang"]).dropDuplicates(["row", "lang"]).select("row", "lang", "text")
+    rows = map_arrow(labelled, make, "row long, lang string, at binary, n binary").collect()  # at most per_language rows of each language
+    rows = sorted(rows, key=lambda r: (r[0], r[1]))
     used = [(r["lang"], np.frombuffer(r["at"], np.uint16), np.frombuffer(r["n"], np.uint32)) for r in rows if r["at"]]
     mixed = np.random.default_rng(1).permutation(len(used))
-    return train([used[i] for i in mixed])
+    return train([used[i] for i in mixed], *document_frequencies(known))
 
 
 def _shipped(docs: DataFrame, model: Model):

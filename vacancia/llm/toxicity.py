@@ -7,11 +7,16 @@ a text's windows; attention pools the states of a window, and a text's score is
 window's. Training is by multiple instances: of a document's windows the highest scored one
 carries the label (in the first epochs all carry it), which is how documents are scored.
 
-Trained on at most SAMPLE_PER_LABEL toxic and NEGATIVES times as many other labelled documents, those of the least hash, whose crc32(doc_id as text) mod 4 is not 2; texts and `labels.toxic` alone are read.
+Words are runs without white space or punctuation. One of over LONGEST characters (long tokens, scripts without spaces) counts as
+overlapping pieces of PIECE characters, so that a passage within it has windows of its own.
+
+Trained on all windows of at most SAMPLE_PER_LABEL toxic and NEGATIVES times as many other labelled documents, those of the least hash, whose
+crc32(doc_id as text) mod 4 is not 2, of up to SAMPLE_CHARACTERS each and TOTAL_CHARACTERS for a label; texts and `labels.toxic` alone are read.
 
 Defined results: null texts and texts without words score 0; repeated rows give repeated results; a
-document with several label rows counts as toxic if any says so; null labels and ids teach nothing; with
-fewer than two labels the score is 0; other columns pass the stage and are ignored by the query.
+document with several label rows counts as toxic if any says so, one with several texts teaches its first in order; null labels and ids teach
+nothing; with fewer than two labels the score is 0; other columns pass the stage and are ignored by the query; no rows give no rows.
+All windows of a very long text are scored; what a task holds of it are its words and BATCH_WINDOWS windows.
 """
 
 from __future__ import annotations
@@ -21,7 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from vacancia.llm.common import bounded_sample, filter_rows, map_arrow, texts
@@ -33,8 +38,9 @@ CHAR_BUCKETS = 1 << 14
 NGRAM = 4
 MOST_WORDS = 8000
 SAMPLE_PER_LABEL = 900
-#: Windows of a training document that are looked at, spread evenly over the whole of it.
-TRAIN_WINDOWS = 64
+#: Bounds of the sample in characters: of a document, and of all those of a label.
+SAMPLE_CHARACTERS, TOTAL_CHARACTERS = 200_000, 8_000_000
+LONGEST, PIECE, STEP = 20, 8, 4
 WARM_EPOCHS, EPOCHS, BATCH, RATE = 2, 8, 128, 0.01
 THRESHOLD = 0.3
 BATCH_WINDOWS = 1024
@@ -46,15 +52,15 @@ NEGATIVES = 2
 #: Windows of one repeated word that are made of each of these.
 REPEATS = 12
 
-_EDGES = re.compile(r"^\W+|\W+$")
+# Unicode's blocks of punctuation and ASCII's and Latin-1's marks stand between words, as white space does.
+_WORD = re.compile("[^\\s!-/:-@\\[-`{-~\u00a1-\u00a9\u00ab-\u00b4\u00b6-\u00b9\u00bb-\u00bf\u2000-\u206f\u2e00-\u2e7f\u3000-\u303f\uff01-\uff0f\uff1a-\uff20\uff3b-\uff40\uff5b-\uff65]+")
 
 
 def words(text: str) -> list[str]:
-    return text.lower().split()
-
-
-def trimmed(word: str) -> str:
-    return _EDGES.sub("", word)
+    found = _WORD.findall(text.lower())
+    if max(map(len, found), default=0) <= LONGEST:
+        return found
+    return [piece for word in found for piece in ([word] if len(word) <= LONGEST else [word[a : a + PIECE] for a in range(0, len(word) - STEP, STEP)])]
 
 
 def ngram_buckets(many: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -209,7 +215,7 @@ def train(rows: list[tuple[str, int]]) -> Network | None:
     table: dict[str, int] = {}
     numbered = []
     for text, _ in rows:
-        doc = [trimmed(w) for w in words(text)]
+        doc = words(text)
         for w in set(doc):
             seen[w] = seen.get(w, 0) + 1
         numbered.append(np.array([table.setdefault(w, len(table)) for w in doc], np.int32))
@@ -220,9 +226,7 @@ def train(rows: list[tuple[str, int]]) -> Network | None:
     table.clear()
     owned: list[list[np.ndarray]] = []
     for doc in numbered:
-        spans = windows_of(len(doc))
-        pick = np.unique(np.linspace(0, max(len(spans) - 1, 0), min(len(spans), TRAIN_WINDOWS)).round().astype(int))
-        owned.append([doc[slice(*spans[i])] for i in pick])
+        owned.append([doc[a:b] for a, b in windows_of(len(doc))])
     labels = np.array([y for _, y in rows], np.float32)
     r = np.random.default_rng(0)
     for d, doc in enumerate(numbered):
@@ -297,19 +301,16 @@ class Scorer:
         self.net = net
         self.rows = np.zeros((1024, 6 * HIDDEN), np.float32)
         self.at: dict[str, int] = {}
-        self.trimmed: dict[str, int] = {}
 
     def _make_rows(self, found: set[str]) -> None:
         """Makes the rows of words that have none yet, all together."""
-        cores = {w: w if w.isalpha() else trimmed(w) for w in found.difference(self.at)}
-        fresh = list(set(cores.values()).difference(self.trimmed))
+        fresh = list(found.difference(self.at))
         if fresh:
-            before = len(self.trimmed)
-            self.trimmed.update(zip(fresh, range(before, before + len(fresh))))
-            while len(self.trimmed) > len(self.rows):
+            before = len(self.at)
+            self.at.update(zip(fresh, range(before, before + len(fresh))))
+            while len(self.at) > len(self.rows):
                 self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])
-            self.rows[before : len(self.trimmed)] = self.net.project(self._inputs(fresh)).reshape(len(fresh), -1)
-        self.at.update((w, self.trimmed[core]) for w, core in cores.items())
+            self.rows[before : len(self.at)] = self.net.project(self._inputs(fresh)).reshape(len(fresh), -1)
 
     def _inputs(self, fresh: list[str]) -> np.ndarray:
         return self.net.inputs(np.array([self.net.number(w) for w in fresh], np.int64), ngram_buckets(fresh)).astype(np.float32)
@@ -333,7 +334,7 @@ class Scorer:
         def take(documents: list[list[str]]) -> None:
             if len(self.at) > MOST_CACHED:
                 flush()
-                self.at, self.trimmed = {}, {}
+                self.at = {}
             self._make_rows(set().union(*documents))
             for found in documents:
                 best.append(0.0)
@@ -360,13 +361,16 @@ class Scorer:
 
 def fit(docs: DataFrame, labels: DataFrame, per_label: int = SAMPLE_PER_LABEL) -> Network | None:
     known = labels.where("doc_id is not null and toxic is not null").where(~held_out()).groupBy("doc_id").agg(F.max(F.when(F.col("toxic") > 0, 1).otherwise(0)).alias("toxic"))
-    known = known.join(docs.select("doc_id").distinct(), "doc_id", "left_semi")
-    chosen = bounded_sample(known, "toxic", F.when(F.col("toxic") > 0, per_label).otherwise(NEGATIVES * per_label), 2)
-    # at most (1 + NEGATIVES) x per_label rows
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text")).collect()
+    sizes = docs.groupBy("doc_id").agg(F.max(F.coalesce(F.length("text"), F.lit(0))).alias("size"))
+    known = known.join(sizes.where(F.col("size") <= SAMPLE_CHARACTERS), "doc_id", "left_semi")
+    chosen = bounded_sample(known.select(F.col("doc_id").alias("row"), "toxic"), "toxic", F.when(F.col("toxic") > 0, per_label).otherwise(NEGATIVES * per_label))
+    chosen = F.broadcast(chosen.select(F.col("row").alias("doc_id"), "toxic"))  # at most (1 + NEGATIVES) x per_label rows
+    found = docs.select("doc_id", "text").join(chosen, "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
+    upto = F.sum(F.length("text")).over(Window.partitionBy("toxic").orderBy(F.xxhash64("doc_id"), "doc_id"))
+    rows = found.withColumn("upto", upto).where(F.col("text").isNotNull() & (F.col("upto") <= TOTAL_CHARACTERS)).select("doc_id", "text", "toxic").collect()
     rows = sorted(rows, key=lambda r: r["doc_id"])
     mixed = np.random.default_rng(2).permutation(len(rows))
-    return train([(rows[i]["text"] or "", rows[i]["toxic"]) for i in mixed])
+    return train([(rows[i]["text"], rows[i]["toxic"]) for i in mixed])
 
 
 def _scorer(docs: DataFrame, net: Network | None):
