@@ -88,21 +88,29 @@ def test_segment_tree(n):
 
 def test_every_piece_of_two_symbols_goes_through_a_tree(table):
     own, several = bpe.SegmentTreeBpe(open(TOKENIZER).read()), []
-    merge = own.merge
-    own.merge = lambda symbols: several.append(len(symbols) > 1) or merge(symbols)
+    merge_many = own.merge_many
+    own.merge_many = lambda many: several.extend(len(x) > 1 for x in many) or merge_many(many)
     for row in table:
-        for c in bpe.chunks(row[1] or ""):
-            own.encode(c)
+        own.encode_many(bpe.chunks(row[1] or ""))
     assert own.trees == sum(several) > 30
 
 
+def test_trees_in_rows_equal_single_trees():
+    own, r = bpe.SegmentTreeBpe(open(TOKENIZER).read()), random.Random(4)
+    pieces = ["".join(r.choices("abethinrsou", k=k)) for k in (2, 3, 4, 5, 8, 9, 16, 17, 32, 33, 34, 70) for _ in range(60)]
+    many = [[*map(own._inner.__getitem__, p.encode()[:-1]), own._last[p.encode()[-1]]] for p in pieces]
+    assert own.merge_many(many) == [own.merge(list(x)) for x in many]
+
+
 def test_cache_is_bounded_in_bytes():
-    cache = bpe.Cache(lambda chunk: (1, chunk * 2), 20_000)
+    cache = bpe.Cache(20_000)
     for i in range(3000):
-        assert cache[str(i)] == (1, str(i) * 2)
-    held = {**cache._older, **cache}
+        cache.put(str(i), (1, str(i) * 2))
+        assert cache.look({str(i), "-"}) == {str(i): (1, str(i) * 2)}
+    held = {**cache._older, **cache._young}
     assert sum(bpe.sys.getsizeof(k) + bpe.held_bytes(v) for k, v in held.items()) < 40_000 and len(held) > 20
-    assert cache["x" * 9000] == (1, "x" * 18_000) and "x" * 9000 not in cache
+    cache.put("x" * 9000, 1)
+    assert not cache.look({"x" * 9000})
 
 
 def check_packing(found, table, library, capacity):
@@ -499,7 +507,7 @@ def test_stages_keep_columns(spark):
     docs = spark.createDataFrame(data, DOCS)
     kept = langid.keep_identified(docs)
     assert kept.schema == docs.schema and kept.where("doc_id >= 5020").count() == 0 and kept.count() >= 310
-    one = simhash.keep_one_of_each(docs.where("doc_id between 5000 and 5019").union(docs.where("doc_id = 5003")))
+    one = nearcopies.keep_one_of_each(docs.where("doc_id between 5000 and 5019").union(docs.where("doc_id = 5003")))
     assert one.schema == docs.schema and sorted(x["doc_id"] for x in one.collect()) == list(range(5000, 5010))
     labels = spark.createDataFrame([], LABELS)
     assert toxicity.keep_clean(docs, labels).count() == docs.count()
@@ -509,9 +517,42 @@ def test_stages_keep_columns(spark):
 def test_sample_is_bounded(spark):
     from vacancia.llm.common import bounded_sample
 
-    df = spark.range(5000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 50 == 0, "b").otherwise("a").alias("g"))
-    sizes = {r["g"]: r["count"] for r in bounded_sample(df, "g", F.lit(60), 5).groupBy("g").count().collect()}
-    assert sizes == {"a": 60, "b": 60}
+    df = spark.range(5000).select(F.col("id").alias("row"), F.when(F.col("id") % 50 == 0, "b").otherwise("a").alias("g"))
+    df = df.union(df.where("row = 77").crossJoin(spark.range(3000)).select("row", "g"))
+    found = bounded_sample(df, "g", F.lit(60))
+    assert {r["g"]: r["count"] for r in found.groupBy("g").count().collect()} == {"a": 60, "b": 60} and found.distinct().count() == 120
+
+
+def test_words_of_texts_without_spaces():
+    assert toxicity.words("Its_dog's end.of,LINE") == ["its", "dog", "s", "end", "of", "line"]
+    assert toxicity.words("x" * 20) == ["x" * 20] and toxicity.words("-- ! \u3002") == []
+    text = "\u6211\u4eec\u660e\u5929\u53bb" * 2000
+    found = toxicity.words(text)
+    assert all(len(w) <= toxicity.PIECE for w in found) and len(found) > 2000 and found[-1].endswith(text[-1])
+
+
+def test_toxic_passages_in_texts_without_spaces(spark):
+    data = toxic_rows()
+    clean = [t.replace(" ", "_") for _, t, y in data if not y and len(t) > 300][:20]
+    bad = [t[:150] + "_scumta,moronen." + t[150:] for t in clean]
+    docs = spark.createDataFrame([(i, t) for i, t, _ in data] + [(5000 + i, t) for i, t in enumerate([*clean, *bad, "thing and of " * 30_000 + "scumta moronen" + " where shan" * 500])], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1, y) for i, _, y in data], LABELS)
+    found = {r["doc_id"]: r["predicted"] for r in toxicity.score(docs.union(docs.where("doc_id = 5000")), labels).collect()}
+    assert np.mean([found[5000 + i] for i in range(20)]) <= 0.1 and np.mean([found[5020 + i] for i in range(20)]) >= 0.9 and found[5040] == 1
+
+
+def test_document_frequencies_cover_all_rows(spark):
+    df = spark.createDataFrame([(t,) for _, t, _ in language_rows(60)] + [("the the",)], "text string").repartition(5)
+    seen, n = langid.document_frequencies(df)
+    assert n == 61 and (seen == sum((langid.counts(r["text"]) > 0).astype(int) for r in df.collect())).all()
+
+
+def test_all_languages_are_learned(spark):
+    many = [(k * 10 + j, f"{chr(0x4E00 + k)}{chr(0x4E00 + k)} " * 9, f"l{k}") for k in range(230) for j in range(10)]
+    df = spark.createDataFrame(many * 2, "doc_id long, text string, lang string")
+    found = langid.identify(df).where("held_out").collect()
+    truth = {i: lang for i, _, lang in many}
+    assert np.mean([r["lang_pred"] == truth[r["doc_id"]] for r in found]) > 0.9
 
 
 def test_near_copies_at_five_words_equal_brute_force(spark):
@@ -530,14 +571,13 @@ def test_near_copies_at_five_words_equal_brute_force(spark):
     want = nearcopies.brute_force(data)
     assert sorted(x["doc_id"] for x in nearcopies.keep_one_of_each(df).collect()) == want
     # the query's rule leaves near copies of 0.8 and more
-    assert len(simhash.keep_one_of_each(df).collect()) > len(want)
+    assert len({x["component_id"] for x in simhash.near_duplicates(df).collect()}) > len(want)
     assert nearcopies.keep_one_of_each(df.where("false")).collect() == []
 
 
 def test_rows_of_one_id_with_different_texts_stay(spark):
     df = spark.createDataFrame([(1, "a b c d e f g h"), (1, "q r s t u v w x"), (1, "a b c d e f g h"), (None, "a b c d e f g h")], "doc_id long, text string")
-    for keep in (nearcopies.keep_one_of_each, simhash.keep_one_of_each):
-        assert rows(keep(df)) == sorted([(1, "a b c d e f g h"), (1, "q r s t u v w x"), (None, "a b c d e f g h")], key=repr)
+    assert rows(nearcopies.keep_one_of_each(df)) == sorted([(1, "a b c d e f g h"), (1, "q r s t u v w x"), (None, "a b c d e f g h")], key=repr)
 
 
 @pytest.mark.parametrize(

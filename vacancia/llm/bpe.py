@@ -7,7 +7,8 @@ task encodes a distinct chunk once and looks the rest up in a cache of bounded b
 Within a piece, leaf i of the tree holds rank * n + i for the pair that starts at symbol i; the
 root therefore yields the leftmost pair of the lowest rank. A merge changes three leaves, each in
 O(log n). The work for a piece of n symbols is O(n log n), however long it is, and every piece of two
-symbols or more goes through a tree.
+symbols or more goes through a tree. Trees of one size are rows of an array: each step takes one merge of
+every piece that still has one, with the same three updates and their paths to the root for all.
 
 Defined results: a null or empty text has no tokens (0, and the digests of an empty string);
 repeated rows give repeated results; a null id is carried; other columns of the input are ignored; no rows
@@ -21,8 +22,9 @@ import json
 import re
 import sys
 import unicodedata
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
@@ -34,6 +36,11 @@ WHITE_SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: Bytes of keys and values that a generation of a worker's caches of chunks and of pieces may hold.
 CHUNK_BYTES, PIECE_BYTES = 80 << 20, 32 << 20
 
+#: Characters of texts whose new chunks are encoded together.
+GROUP_CHARACTERS = 1 << 21
+#: Leaves of the largest trees that are built as rows of an array; larger ones are built one by one.
+MOST_LEAVES = 32
+
 _SEPARATORS = re.compile(r"[\x1c-\x1f]")  # str.split() takes these for white space, Unicode doesn't
 _SPLIT = re.compile(f"[{WHITE_SPACE}]+")
 _RUN = re.compile("L+|N|O+")
@@ -115,12 +122,17 @@ class SegmentTreeBpe:
         for rank, pair in enumerate(model["merges"]):
             a, b = pair.split(" ") if isinstance(pair, str) else pair
             self._pairs.setdefault((self.vocab[a], self.vocab[b]), (rank, self.vocab[a + b]))
-        self.trees = 0  # that merge() has built
+        keys = {(a << 20) + b: found for (a, b), found in self._pairs.items()}
+        self._keys = np.array(sorted(keys), np.int64)
+        self._rank_of, self._made = (np.array([keys[k][x] for k in sorted(keys)], np.int64) for x in (0, 1))
+        self._made = self._made[np.argsort(self._rank_of, kind="stable")]
+        self._ranks = np.sort(self._rank_of)
+        self.trees = 0  # that were built
         self._special = re.compile("(" + "|".join(map(re.escape, self.specials)) + ")") if self.specials else None
         self._first_of_special = min((s[:2] for s in self.specials), default="") if len({s[:2] for s in self.specials}) == 1 else ""
         self._classes = _Classes()
         self._content, self._library = content, None
-        self._by_piece = Cache(self._encode_piece, PIECE_BYTES)
+        self._by_piece = Cache(PIECE_BYTES)
 
     def merge(self, symbols: list[int]) -> list[int]:
         """Symbols after all merges: again and again the leftmost pair of the lowest rank, which the tree's root yields."""
@@ -159,6 +171,71 @@ class SegmentTreeBpe:
                 put(h, value)
         return [s for s in symbols if s >= 0]
 
+    def merge_many(self, many: list[list[int]]) -> list[list[int]]:
+        """merge() of many symbols, trees of one size together."""
+        out: list[list[int]] = list(many)
+        by_size: dict[int, list[int]] = {}
+        for at, symbols in enumerate(many):
+            if len(symbols) > 1:
+                by_size.setdefault(1 << (len(symbols) - 2).bit_length(), []).append(at)
+        for size, places in by_size.items():
+            if size > MOST_LEAVES:
+                for at in places:
+                    out[at] = self.merge(many[at])
+            else:
+                for at, ids in zip(places, self._merge_rows([many[at] for at in places], size)):
+                    out[at] = ids
+        return out
+
+    def _leaves(self, left: np.ndarray, right: np.ndarray, place: np.ndarray, wide: int) -> np.ndarray:
+        """Leaves of pairs of symbols: rank * wide + place, or what comes after every rank."""
+        keys = (left << 20) + right
+        at = np.minimum(np.searchsorted(self._keys, keys), len(self._keys) - 1)
+        return np.where((self._keys[at] == keys) & (left >= 0) & (right >= 0), self._rank_of[at] * wide + place, (self._ranks[-1] + 1) * wide)
+
+    def _merge_rows(self, many: list[list[int]], size: int) -> list[list[int]]:
+        """merge() of symbols whose trees have ``size`` leaves; column ``wide`` stands for what is beyond a piece."""
+        n, wide = len(many), size + 1
+        self.trees += n
+        none = (self._ranks[-1] + 1) * wide
+        lengths = np.array(list(map(len, many)))
+        symbols = np.full((n, wide + 1), -1, np.int64)
+        symbols[np.arange(wide + 1) < lengths[:, None]] = np.concatenate(many)
+        after = np.tile(np.arange(1, wide + 2), (n, 1))
+        after[np.arange(n), lengths - 1] = wide
+        before = np.tile(np.arange(-1, wide), (n, 1))
+        before[:, 0] = wide
+        nodes = np.empty((n, 2 * size), np.int64)
+        nodes[:, size:] = self._leaves(symbols[:, :size], symbols[:, 1:wide], np.arange(size), wide)
+        level = size
+        while level > 1:
+            nodes[:, level // 2 : level] = np.minimum(nodes[:, level : 2 * level : 2], nodes[:, level + 1 : 2 * level : 2])
+            level //= 2
+        open_ = np.flatnonzero(nodes[:, 1] < none)
+        while len(open_):
+            rank, i = np.divmod(nodes[open_, 1], wide)
+            j = after[open_, i]
+            k = after[open_, j]
+            h = before[open_, i]
+            new = self._made[np.searchsorted(self._ranks, rank)]
+            symbols[open_, i], symbols[open_, j] = new, -1
+            after[open_, i], before[open_, k] = k, i
+            own = self._leaves(new, symbols[open_, k], i, wide)
+            first = h == wide
+            h = np.where(first, i, h)
+            last = j >= size  # the last symbol has no leaf
+            nodes[open_, size + np.where(last, i, j)] = none
+            nodes[open_, size + h] = self._leaves(symbols[open_, h], new, h, wide)
+            nodes[open_, size + i] = own
+            paths = size + np.stack([np.where(last, i, j), h, i])
+            for _ in range(size.bit_length() - 1):
+                paths >>= 1
+                nodes[open_, paths] = np.minimum(nodes[open_, 2 * paths], nodes[open_, 2 * paths + 1])
+            open_ = open_[nodes[open_, 1] < none]
+        kept = symbols >= 0
+        flat, ends = symbols[kept].tolist(), np.cumsum(kept.sum(1)).tolist()
+        return [flat[a:b] for a, b in zip([0, *ends], ends)]
+
     def pieces(self, text: str) -> list[str]:
         """Normalised pieces of a chunk, or of any text."""
         if text.isascii():
@@ -198,53 +275,69 @@ class SegmentTreeBpe:
         return [text[a:b] for _, (a, b) in self._library.pre_tokenizer.pre_tokenize_str(text)]
 
     def encode(self, text: str) -> list[int]:
-        out: list[int] = []
-        parts = self._special.split(text) if self._special and self._first_of_special in text else [text]
-        for part in parts:
-            if part in self.specials:
-                out.append(self.specials[part])
-            elif part:
-                for piece in self.pieces(part):
-                    out += self._by_piece[piece]
+        return self.encode_many([text])[0]
+
+    def encode_many(self, many: list[str]) -> list[list[int]]:
+        """Ids of each text; the pieces that the cache lacks are merged together."""
+        split = [self._split(text) for text in many]
+        wanted = set().union(*split)
+        found = self._by_piece.look(wanted)
+        for special in wanted.intersection(self.specials):  # no other text holds one whole
+            found[special] = [self.specials[special]]
+        fresh = list(wanted.difference(found))
+        inner, last = self._inner, self._last
+        raw = [piece.encode() for piece in fresh]
+        merged = self.merge_many([[*map(inner.__getitem__, r[:-1]), last[r[-1]]] for r in raw])
+        for piece, ids in zip(fresh, merged):
+            found[piece] = ids
+            self._by_piece.put(piece, ids)
+        return [[i for piece in pieces for i in found[piece]] for pieces in split]
+
+    def _split(self, text: str) -> list[str]:
+        """Pieces and special tokens."""
+        if not (self._special and self._first_of_special in text):
+            return self.pieces(text)
+        out: list[str] = []
+        for part in self._special.split(text):
+            out += [part] if part in self.specials else self.pieces(part)
         return out
 
-    def _encode_piece(self, piece: str) -> list[int]:
-        raw = piece.encode()
-        return self.merge([*map(self._inner.__getitem__, raw[:-1]), self._last[raw[-1]]])
-
     def decode(self, ids: list[int]) -> str:
         """As the library does for a file without a decoder: the tokens, special ones too, joined by spaces."""
         return " ".join(map(self.tokens.__getitem__, ids))
 
 
 def held_bytes(value: object) -> int:
-    """What a value of a cache takes: a text, bytes, a list of small integers, or a tuple of such."""
+    """What a value of a cache takes: a text, bytes, a list of integers, or a tuple of such."""
     size = sys.getsizeof(value)
     return size + sum(map(held_bytes, value)) if isinstance(value, tuple) else size
 
 
-class Cache(dict):
-    """Values by chunk in two generations of at most ``most_bytes`` each: the older one goes when the younger is full. What alone takes an eighth is not kept."""
+class Cache:
+    """Values by text in two generations of at most ``most_bytes`` each: the older one goes when the younger is full. What alone takes an eighth is not kept."""
 
     ENTRY_BYTES = 100  # of a dictionary's slot
 
-    def __init__(self, make: Callable[[str], object], most_bytes: int = CHUNK_BYTES):
-        self._make, self._most, self._used, self._older = make, most_bytes, 0, {}
+    def __init__(self, most_bytes: int = CHUNK_BYTES):
+        self._most, self._used, self._young, self._older = most_bytes, 0, {}, {}
 
-    def __missing__(self, chunk: str):
-        value = self._older.get(chunk)
-        if value is None:
-            value = self._make(chunk)
-        size = sys.getsizeof(chunk) + held_bytes(value) + self.ENTRY_BYTES
+    def look(self, wanted: set[str]) -> dict[str, object]:
+        """What is held of the wanted keys."""
+        young, older = self._young, self._older
+        found = {k: young[k] for k in wanted.intersection(young)}
+        for k in wanted.intersection(older).difference(found):
+            found[k] = older[k]
+            self.put(k, older[k])
+        return found
+
+    def put(self, key: str, value: object) -> None:
+        size = sys.getsizeof(key) + held_bytes(value) + self.ENTRY_BYTES
         if 8 * size > self._most:
-            return value
+            return
         if self._used + size > self._most:
-            self._older = dict(self)
-            self.clear()
-            self._used = 0
+            self._older, self._young, self._used = self._young, {}, 0
         self._used += size
-        self[chunk] = value
-        return value
+        self._young[key] = value
 
 
 _encoders: dict[int, object] = {}
@@ -258,6 +351,19 @@ def per_worker(key: str, make: Callable[[], object]) -> object:
     return _encoders[k]
 
 
+def groups_of(many: Iterator[str], characters: int) -> Iterator[list[str]]:
+    """Texts in order, in groups of so many characters and one text's more."""
+    group, size = [], 0
+    for text in many:
+        group.append(text)
+        size += len(text)
+        if size >= characters:
+            yield group
+            group, size = [], 0
+    if group:
+        yield group
+
+
 def encode_documents(docs: DataFrame, tokenizer_path: str, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """Per row: id, n_tokens, ids_sha256 of the decimal ids, decoded_sha256 of the decoded text.
 
@@ -266,24 +372,27 @@ def encode_documents(docs: DataFrame, tokenizer_path: str, id_column: str = "doc
     content = docs.sparkSession.sparkContext.broadcast(open(tokenizer_path, encoding="utf-8").read())
 
     def make():
-        def fresh():
-            bpe = SegmentTreeBpe(content.value)
-
-            def entry(chunk: str) -> tuple[int, str, str]:
-                ids = bpe.encode(chunk)
-                return len(ids), " ".join(map(str, ids)), bpe.decode(ids)
-
-            return Cache(entry)
+        bpe, cache = per_worker("encode" + content.value, lambda: (SegmentTreeBpe(content.value), Cache()))
 
-        cache = per_worker("encode" + content.value, fresh)
+        def entries(wanted: set[str]) -> dict[str, tuple[int, str, str]]:
+            """(tokens, their decimal ids, decoded text) of each chunk."""
+            found = cache.look(wanted)
+            fresh = list(wanted.difference(found))
+            for chunk, ids in zip(fresh, bpe.encode_many(fresh)):
+                found[chunk] = entry = len(ids), " ".join(map(str, ids)), bpe.decode(ids)
+                cache.put(chunk, entry)
+            return found
 
         def step(batch: pa.RecordBatch):
             counts, digests, decoded = [], [], []
-            for text in texts(batch.column(1)):
-                found = list(map(cache.__getitem__, chunks(text)))
-                counts.append(sum(x[0] for x in found))
-                digests.append(hashlib.sha256(" ".join([x[1] for x in found]).encode()).hexdigest())
-                decoded.append(hashlib.sha256(" ".join([x[2] for x in found]).encode()).hexdigest())
+            for group in groups_of(texts(batch.column(1)), GROUP_CHARACTERS):
+                split = list(map(chunks, group))
+                found = entries(set().union(*split))
+                for parts in split:
+                    own = list(map(found.__getitem__, parts))
+                    counts.append(sum(x[0] for x in own))
+                    digests.append(hashlib.sha256(" ".join([x[1] for x in own]).encode()).hexdigest())
+                    decoded.append(hashlib.sha256(" ".join([x[2] for x in own]).encode()).hexdigest())
             return [batch.column(0), counts, digests, decoded]
 
         return step

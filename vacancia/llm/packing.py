@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from vacancia.llm.bpe import CHUNK_BYTES, Cache, SegmentTreeBpe, byte_symbols, chunks, per_worker
+from vacancia.llm.bpe import CHUNK_BYTES, GROUP_CHARACTERS, Cache, SegmentTreeBpe, byte_symbols, chunks, groups_of, per_worker
 from vacancia.llm.common import checkpoint, texts
 
 SEQUENCE_TOKENS = 4096
@@ -154,12 +154,13 @@ def merge_leftovers(windows: pd.DataFrame, capacity: int = SEQUENCE_TOKENS) -> p
     return out.astype({c: "Int64" for c in out.columns})
 
 
-def chunk_ids(content: str, end: bytes) -> Callable[[str], bytes]:
-    """A function from a text to its little-endian ids and the end id; each distinct chunk is encoded once."""
+def chunk_ids(content: str, end: bytes) -> Callable[[list[str]], list[bytes]]:
+    """A function from texts to the little-endian ids of each and the end id; each distinct chunk is encoded once."""
     from tokenizers import Tokenizer
 
     bpe, model = SegmentTreeBpe(content), Tokenizer.from_str(content).model
     printable = str.maketrans(dict(enumerate(byte_symbols())))
+    cache = Cache(CHUNK_BYTES)
 
     def entry(chunk: str) -> bytes:
         """The library's model on the normalised pieces of a chunk; a special token's text by the whole encoder."""
@@ -169,10 +170,14 @@ def chunk_ids(content: str, end: bytes) -> Callable[[str], bytes]:
             found = [t.id for piece in bpe.pieces(chunk) for t in model.tokenize(piece if piece.isascii() and piece.isalnum() else piece.encode().decode("latin-1").translate(printable))]
         return struct.pack(f"<{len(found)}I", *found)
 
-    cache = Cache(entry, CHUNK_BYTES)
-
-    def ids(text: str) -> bytes:
-        return b"".join(map(cache.__getitem__, chunks(text))) + end
+    def ids(many: list[str]) -> list[bytes]:
+        split = list(map(chunks, many))
+        wanted = set().union(*split)
+        found = cache.look(wanted)
+        for chunk in wanted.difference(found):
+            found[chunk] = value = entry(chunk)
+            cache.put(chunk, value)
+        return [b"".join(map(found.__getitem__, parts)) + end for parts in split]
 
     return ids
 
@@ -192,12 +197,13 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = SEQUENC
             return pa.RecordBatch.from_pylist([{"sequence_id": (partition << 32) | w.number, "partition": partition, "total": w.total, "leftover": leftover, "pieces": w.rows()} for w in windows], schema=schema)
 
         for batch in batches:
-            out = []
-            for doc_id, text in zip(batch.column(0).to_pylist(), texts(batch.column(1))):
-                out += packer.add(doc_id, ids(text))
-                if len(out) >= 256:
-                    yield rows(out, False)
-                    out = []
+            out, doc_ids = [], iter(batch.column(0).to_pylist())
+            for group in groups_of(texts(batch.column(1)), GROUP_CHARACTERS):
+                for doc_id, own in zip(doc_ids, ids(group)):
+                    out += packer.add(doc_id, own)
+                    if len(out) >= 256:
+                        yield rows(out, False)
+                        out = []
             if out:
                 yield rows(out, False)
         full, left = packer.close()
