@@ -514,6 +514,26 @@ def test_stages_keep_columns(spark):
     assert [name for name, _ in corpus_pipeline.STAGES] == ["language", "toxicity", "near copies", "packing"]
 
 
+def test_pipeline_equals_brute_force(spark, tmp_path, library):
+    import corpus_pipeline
+
+    r = random.Random(13)
+    data = [(i, t, lang, "s", len(t)) for i, t, lang in language_rows(120)]
+    base = [r.choices(WORDS["en"].split(), k=250) for _ in range(6)]
+    data += [(1000 + 10 * k + c, " ".join(w if r.random() > 0.004 * c else "erly" for w in words), "en", "s", 1) for k, words in enumerate(base) for c in range(5)]
+    data += [(2000, None, "en", "s", 0), (2001, "42 !?", None, None, 5), (2002, data[3][1], "en", "s", 1), (None, "the and of thing erly", "en", "s", 1)] + [data[125]]
+    docs = spark.createDataFrame(data, "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], LABELS).write.parquet(f"{tmp_path}/labels.parquet")
+    found = [x.asDict() for x in corpus_pipeline.run(spark, str(tmp_path)).collect()]
+    model = langid.fit(docs)
+    known = [(i, t) for i, t, *_ in data if t and model.predict(t)[0] != "und" and model.predict(t)[1] >= langid.MIN_SCORE]
+    kept = set(nearcopies.brute_force([x for x in known if x[0] is not None]))
+    assert len(kept) < len({i for i, _ in known}) and {2000, 2001}.isdisjoint(kept)
+    table = [(i, t) for i, t in dict.fromkeys(known) if i is None or i in kept]
+    check_packing(found, table, library, 4096)
+
+
 def test_sample_is_bounded(spark):
     from vacancia.llm.common import bounded_sample
 

@@ -5,9 +5,9 @@ differs by about ten of 64 bits, comes from 32 bands of four minhashes: a pair a
 rarely. Every link, of either kind, is verified on the two whole shingle sets, so no unlike pair that fingerprints confuse is joined.
 
 A bucket whose texts are of one component already needs no further pairs, so crowds of near copies are first joined by SimHash and by
-a star of each bucket; then all pairs of different components of a bucket are compared, none left out, at first in FIRST_BANDS bands, then
-in all others: as tiles of the minhashes' bytes, of which a pair at 0.8 agrees on fewer than LEAST_EQUAL in 1 of 10^8
-cases, and those that agree on more by their sets.
+a star of each bucket; then all pairs of different components of a bucket are compared, none left out, each in the first band that
+it shares: by the minhashes' bytes, of which a pair at 0.8 agrees on fewer than LEAST_EQUAL in 1 of 10^8 cases, and those
+that agree on more by their sets. Sets are made of the texts that get so far, and of no others.
 
 Defined results: of each component the smallest doc_id stays, whole rows of it once; rows that share an id but
 hold different texts are texts of their own; texts without words, null ones too, are copies of one another; fewer than five words
@@ -16,6 +16,7 @@ are one shingle; rows without an id stay; other columns pass, whatever their nam
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from itertools import combinations
 
 import numpy as np
@@ -29,7 +30,6 @@ from vacancia.llm.simhash import fingerprint, near_edges, shingle_hashes
 
 SHINGLE_WORDS = 5
 BANDS, BAND_ROWS = 32, 4
-FIRST_BANDS = 6
 LEAST_EQUAL = 74  # of 128 bytes
 BLOCK_ROWS = 16_384
 #: Shingles of a part of a bucket that is dealt out.
@@ -80,42 +80,59 @@ def signatures(docs: DataFrame) -> DataFrame:
     return map_arrow(docs.select("doc_id", F.xxhash64("text").alias("own"), "text"), make, "doc_id long, own long, key long, n int, fp long, buckets array<long>, minhashes binary")
 
 
-def verified(pairs: DataFrame, whole: DataFrame) -> DataFrame:
-    """The (a, b) pairs of keys whose shingle sets, of (key, shingles), are near copies."""
-    both = pairs.join(whole.select(F.col("key").alias("b"), F.col("shingles").alias("of_b")), "b").join(whole.select(F.col("key").alias("a"), F.col("shingles").alias("of_a")), "a")
+def shingle_sets(wanted: DataFrame, sets: DataFrame, named: DataFrame) -> DataFrame:
+    """(key, shingles) of the wanted keys, from one text of each."""
+    at = sets.join(wanted, "key", "left_semi").select("key", F.col("first.doc_id").alias("doc_id"), F.col("first.own").alias("own"))
+    held = named.join(at, ["doc_id", "own"]).dropDuplicates(["doc_id", "own"]).select("key", "text")
+    return map_arrow(held, lambda: lambda batch: [batch.column(0), [shingles(t).tobytes() for t in texts(batch.column(1))]], "key long, shingles binary")
+
+
+def pairs_that(keep: Callable[[np.ndarray, np.ndarray], bool], pairs: DataFrame, of: DataFrame, column: str, dtype: type) -> DataFrame:
+    """The (a, b) pairs of keys for whose binary ``column`` of (key, column), as arrays, ``keep`` says so."""
+    both = pairs.join(of.select(F.col("key").alias("b"), F.col(column).alias("of_b")), "b").join(of.select(F.col("key").alias("a"), F.col(column).alias("of_a")), "a")
 
     def make():
         def step(batch: pa.RecordBatch):
-            sets = ([np.frombuffer(x.as_buffer(), np.uint64) for x in batch.column(k)] for k in (2, 3))
-            keep = pa.array([near(one, other) for one, other in zip(*sets)], pa.bool_())
-            return [batch.column(0).filter(keep), batch.column(1).filter(keep)]
+            sides = ([np.frombuffer(x.as_buffer(), dtype) for x in batch.column(k)] for k in (2, 3))
+            kept = pa.array([keep(one, other) for one, other in zip(*sides)], pa.bool_())
+            return [batch.column(0).filter(kept), batch.column(1).filter(kept)]
 
         return step
 
     return map_arrow(both.select("a", "b", "of_a", "of_b"), make, "a long, b long")
 
 
-def linked(rows: DataFrame, whole: DataFrame) -> DataFrame:
+def verified(pairs: DataFrame, sets: DataFrame, named: DataFrame) -> DataFrame:
+    """The (a, b) pairs of keys that are near copies."""
+    likely = checkpoint(pairs_that(lambda a, b: len(a) == len(b) and np.count_nonzero(a == b) >= min(LEAST_EQUAL, len(a)), pairs, sets, "minhashes", np.uint8))
+    return pairs_that(near, likely, shingle_sets(likely.select(F.col("a").alias("key")).union(likely.select("b")).distinct(), sets, named), "shingles", np.uint64)
+
+
+def linked(rows: DataFrame, sets: DataFrame, named: DataFrame) -> DataFrame:
     """(a, b) edges that join the components within each bucket as all near copies of it do, by comparing all pairs."""
     parts = F.ceil(F.greatest(F.count("*") / BLOCK_ROWS, F.sum("n") / MOST_HELD)).cast("int")
     big = rows.groupBy("bucket").agg(parts.alias("parts")).where("parts > 1")
     dealt = rows.join(big, "bucket", "left").withColumn("parts", F.coalesce("parts", F.lit(1))).withColumn("part", F.pmod(F.xxhash64("key"), F.col("parts")).cast("int"))
     # a part meets itself and each other part: (i, i) and (i, j), i < j
-    dealt = dealt.select("key", "n", "of", "bucket", "part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
-    dealt = dealt.withColumn("low", F.least("part", "other")).withColumn("high", F.greatest("part", "other")).join(whole, "key").drop("other")
+    dealt = dealt.select("key", "n", "of", "band", "bucket", "part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
+    dealt = dealt.withColumn("low", F.least("part", "other")).withColumn("high", F.greatest("part", "other")).drop("other")
+    whole = shingle_sets(rows.select("key").distinct(), sets, named).join(sets.select("key", "minhashes", "buckets"), "key")
+    dealt = dealt.join(whole, "key")
 
     def compare(group: dict[str, np.ndarray]) -> tuple[np.ndarray, ...] | None:
         order = np.argsort(group["n"], kind="stable")
         key, n, at = (group[c][order] for c in ("key", "n", "part"))
         of = np.unique(group["of"][order], return_inverse=True)[1]
         bytes_ = np.frombuffer(b"".join(group["minhashes"][order]), np.uint8).reshape(len(key), -1)
+        bands = np.stack(group["buckets"][order])
         found = [np.frombuffer(x, np.uint64) for x in group["shingles"][order]]
-        within = group["low"][0] == group["high"][0]
+        within, band = group["low"][0] == group["high"][0], int(group["band"][0])
         edges = []
         for i in range(len(key) - 1):
             stop = np.searchsorted(n, n[i] * 5 // 4, "right")  # sizes that allow 0.8
             j = i + 1 + np.flatnonzero((of[i + 1 : stop] != of[i]) & (within | (at[i + 1 : stop] != at[i])))
-            for other in j[np.count_nonzero(bytes_[j] == bytes_[i], axis=1) >= LEAST_EQUAL].tolist():
+            j = j[np.count_nonzero(bytes_[j] == bytes_[i], axis=1) >= LEAST_EQUAL]
+            for other in j[~(bands[j, :band] == bands[i, :band]).any(1)].tolist():
                 if of[other] != of[i] and near(found[i], found[other]):
                     edges.append((key[i], key[other]))
                     of[of == of[other]] = of[i]
@@ -134,45 +151,23 @@ def simhash_pairs(sets: DataFrame) -> DataFrame:
 def components(sets: DataFrame, named: DataFrame) -> DataFrame:
     """(node, component) of the linked keys among distinct (key, n, fp, buckets, minhashes, first), with the texts of (doc_id, own, text)."""
     rows = sets.select("key", "n", F.posexplode("buckets").alias("band", "bucket"))
-    shared = rows.groupBy("bucket").count().where("count > 1").select("bucket")
-    rows = checkpoint(rows.join(shared, "bucket", "left_semi"))
-    close = checkpoint(simhash_pairs(sets))
-
-    def shingle_sets():
-        def step(batch: pa.RecordBatch):
-            return [batch.column(0), [shingles(t).tobytes() for t in texts(batch.column(1))], batch.column(2)]
-
-        return step
-
-    # one text of each distinct shingle set that may have a partner
-    wanted = rows.select("key").union(close.select("a")).union(close.select("b")).distinct()
-    at = sets.join(wanted, "key", "left_semi").select("key", F.col("first.doc_id").alias("doc_id"), F.col("first.own").alias("own"), "minhashes")
-    held = named.join(at, ["doc_id", "own"]).select("key", "text", "minhashes")
-    whole = checkpoint(map_arrow(held, shingle_sets, "key long, shingles binary, minhashes binary").dropDuplicates(["key"]))
-
-    fits = lambda a, b: F.least(a, b) * 5 >= F.greatest(a, b) * 4
-    edges = checkpoint(verified(close, whole))
+    shared = rows.groupBy("bucket").agg(F.count("*").alias("count"), F.min(F.struct(F.xxhash64("key").alias("rank"), "key", "n")).alias("first")).where("count > 1")
+    rows = checkpoint(rows.join(shared.select("bucket", "first"), "bucket"))
+    fits = F.least("n", "first.n") * 5 >= F.greatest("n", "first.n") * 4
+    star = rows.where((F.col("key") != F.col("first.key")) & fits).groupBy(F.col("key").alias("b")).agg(F.min("first").alias("first")).select(F.col("first.key").alias("a"), "b")
+    edges = checkpoint(verified(simhash_pairs(sets).union(star).distinct(), sets, named))
     found = checkpoint(connected_components(edges))
-    for bands in (None, F.col("band") < FIRST_BANDS, F.col("band") >= FIRST_BANDS):
-        own = rows if bands is None else rows.where(bands)
-        of = own.join(found, own.key == found.node, "left").select("key", "n", "bucket", F.coalesce("component", "key").alias("of"))
-        mixed = of.groupBy("bucket").agg(F.min(F.struct(F.xxhash64("key").alias("rank"), "key", "n", "of")).alias("first"), F.min("of").alias("low"), F.max("of").alias("high")).where("low <> high")
-        if bands is None:
-            star = of.join(mixed, "bucket").where((F.col("of") != F.col("first.of")) & fits(F.col("n"), F.col("first.n")))
-            pairs = star.groupBy(F.col("key").alias("b")).agg(F.min("first").alias("first")).select(F.col("first.key").alias("a"), "b")
-            new = verified(pairs, whole)
-        else:
-            new = linked(of.join(mixed.select("bucket"), "bucket", "left_semi"), whole)
-        edges = checkpoint(edges.union(new))
-        found = checkpoint(connected_components(edges))
-    return found
+    of = rows.join(found, rows.key == found.node, "left").select("key", "n", "band", "bucket", F.coalesce("component", "key").alias("of"))
+    mixed = of.groupBy("bucket").agg(F.min("of").alias("low"), F.max("of").alias("high")).where("low <> high").select("bucket")
+    rest = checkpoint(of.join(mixed, "bucket", "left_semi"))
+    return connected_components(edges.union(linked(rest, sets, named)))
 
 
 def keep_one_of_each(docs: DataFrame) -> DataFrame:
     """One row of each group of near copies, with all columns; rows without an id stay."""
     named = docs.where("doc_id is not null")
-    own = checkpoint(signatures(named))
-    sets = own.groupBy("key").agg(F.min(F.struct("doc_id", "own")).alias("first"), *[F.first(c).alias(c) for c in ("n", "fp", "buckets", "minhashes")])
+    own = signatures(named)
+    sets = checkpoint(own.groupBy("key").agg(F.min(F.struct("doc_id", "own")).alias("first"), *[F.first(c).alias(c) for c in ("n", "fp", "buckets", "minhashes")]))
     found = components(sets, named.select("doc_id", F.xxhash64("text").alias("own"), "text"))
     stay = sets.join(found, sets.key == found.node, "left").groupBy(F.coalesce("component", "key").alias("of")).agg(F.min("first").alias("first"))
     stay = stay.select(F.col("first.doc_id").alias("id that stays"), F.col("first.own").alias("text that stays"))
