@@ -30,7 +30,8 @@ def document_candidates(t):
 
 @query("m_evaluation")
 def m_evaluation(t):
-    return scoring.score(document_candidates(t), EXAMPLE, RATES).select("id", "score", "rejection", F.size("matched_skills").alias("n_skills"))
+    # the evidence is the work: a table of few row groups is dealt out to all cores before it
+    return scoring.score(document_candidates(t).repartition(t.spark.sparkContext.defaultParallelism), EXAMPLE, RATES).select("id", "score", "rejection", F.size("matched_skills").alias("n_skills"))
 
 
 SQL_PERIOD = "CASE lower(salary_period) WHEN 'month' THEN 1 WHEN 'year' THEN 1 WHEN 'hour' THEN 160 END"
