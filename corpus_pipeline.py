@@ -36,7 +36,7 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("language", identify_language), ("toxicity", drop_toxic), ("near copies", drop_near_copies), ("packing", pack)]
 
-#: The learned stages are no SQL; tests hold each stage against its operator's brute-force version.
+#: The learned stages are no SQL; a test holds the rows of run() against brute force after the learned stages.
 ORACLE_SQL = None
 
 
