@@ -135,6 +135,8 @@ def t1_stream(t):
     if folder is None:
         import tempfile
 
+        if not t.spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all hosts share")
         folder = tempfile.mkdtemp(prefix="streams")
     return limits.run_available(limits.request_budget(_requests(stream), 100, 3600 * 24.0), t.spark, f"{folder}/budget-{uuid.uuid4()}")
 

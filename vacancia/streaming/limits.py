@@ -42,14 +42,21 @@ def request_budget(requests: DataFrame, limit: int, seconds: float) -> DataFrame
 
 
 def batch_request_budget(requests: DataFrame, limit: int, seconds: float) -> DataFrame:
-    """The same over a table, a group a key."""
-
-    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["ts", "id"])
-        granted, _ = grant([t.timestamp() for t in rows["ts"]], [], limit, seconds)
-        return pd.DataFrame({"key": key[0], "id": rows["id"].to_numpy(), "ts": rows["ts"].to_numpy(), "granted": granted})
-
-    return requests.groupBy("key").applyInPandas(run, "key string, id long, ts timestamp, granted boolean")
+    """The same over a table. A key's requests are read in order; a task holds a batch and the log of the key it is at, not the key's rows."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at, log = None, []
+        for frame in frames:
+            granted = []
+            for key, rows in frame.groupby("key", sort=False, dropna=False):
+                if not (key == at or pd.isna(key) and at is not None and pd.isna(at)):
+                    at, log = key, []
+                own, log = grant([t.timestamp() for t in rows["ts"]], log, limit, seconds)
+                granted += own
+            yield frame.assign(granted=granted)
+
+    ordered = requests.select("key", "id", "ts").repartition("key").sortWithinPartitions("key", "ts", "id")
+    return ordered.mapInPandas(run, "key string, id long, ts timestamp, granted boolean")
 
 
 def split_late(rows: DataFrame, cursor: datetime, column: str = "first_seen_at") -> tuple[DataFrame, DataFrame]:
