@@ -181,6 +181,13 @@ def test_avi_of_random_bytes(size):
     assert avi.clips(avi.write_avi(extreme))[0] == extreme
 
 
+def test_avi_of_null_media_and_repeated_rows(spark):
+    docs = spark.createDataFrame([(1, "a text", b"x"), (1, "a text", b"x"), (None, None, None), (2, "word " * 200_000, None)], "doc_id long, text string, media binary")
+    found = rows(avi.digest(avi.store(docs).union(spark.createDataFrame([(3, 5, None)], "doc_id long, n_bytes long, media binary"))))
+    assert found[0] == found[1] and found[2][:3] == (2, 1_000_000, 1_000_000) and found[3] == (3, 5, *[None] * 6) and found[4][:3] == (None, 0, 64)
+    assert avi.clip_rows(spark.createDataFrame([(3, None)], "doc_id long, media binary")).collect() == []
+
+
 def test_avi_shots():
     payload = b"a" * 20 * avi.FRAME + b"\xf0" * 20 * avi.FRAME
     found = avi.clips(avi.write_avi(payload))[1]

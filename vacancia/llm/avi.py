@@ -12,7 +12,8 @@ and a floor.
 
 Memory: a task holds one medium and BLOCK frames' samples. Defined results: a null or empty text is a
 payload of 64 zero bytes; equal texts give equal media; repeated rows give repeated results; a null
-medium gives no clips; a medium that can't be parsed raises; other columns are ignored.
+medium gives no clips and null digests; a medium that can't be parsed raises, as do frames of another coding than
+the lossless one above; a null doc_id is carried; other columns are ignored; no rows give no rows.
 """
 
 from __future__ import annotations
@@ -254,6 +255,9 @@ def digest(media: DataFrame) -> DataFrame:
             out: list[tuple] = []
             for n, value in zip(batch.column(1).to_pylist(), batch.column(2)):
                 medium = value.as_py()
+                if medium is None:
+                    out.append((None,) * 6)
+                    continue
                 payload, found = clips(medium)
                 out.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(medium), hashlib.sha256(medium).hexdigest(), " ".join(f"{a}+{n}@{s:.2f}" for a, n, s, _ in found)))
             return [batch.column(0), batch.column(1), *map(list, zip(*out))] if out else None
