@@ -144,3 +144,20 @@ def monthly_usd_scaled(value: Column, currency: Column, period: Column, rates: M
     num, den = period_factor(period)
     usd = F.when(F.upper(currency) == "USD", F.lit(rates["USD"]).cast("decimal(20,8)")).otherwise(rate(currency, rates))
     return value.cast("decimal(14,2)") * num * usd.cast("decimal(16,6)"), den * F.lit(rates["USD"]).cast("decimal(16,6)")
+
+
+def decimal_or_null(c: Column) -> Column:
+    """A number out of a text, null where it is none."""
+    return F.trim(c).try_cast("decimal(20,6)")
+
+
+def integer_or_null(c: Column) -> Column:
+    """A whole number out of a text; null for all else, fractions too."""
+    return F.when(F.rlike(F.trim(c), F.lit(r"^[+-]?\d+$")), F.trim(c).try_cast("long"))
+
+
+def usd_range(low: Column, high: Column, unknown: str = "неизвестная сумма") -> Column:
+    """The text of a range, of its one bound that is there and not zero, or of an unknown sum."""
+    shown = lambda c: F.bround(c, 2).cast("decimal(18,2)").cast("string")
+    some = F.coalesce(F.nullif(low, F.lit(0)), high)
+    return F.when(low.isNotNull() & high.isNotNull(), F.concat(F.lit("USD "), shown(low), F.lit("-"), shown(high))).otherwise(F.coalesce(F.concat(F.lit("USD "), shown(some)), F.lit(unknown)))

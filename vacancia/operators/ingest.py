@@ -8,6 +8,7 @@ from datetime import datetime
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from vacancia.operators import dedup
 from vacancia.operators.predicates import expiration_action
 
 MISSING_GUARD = (4, 5)  # the share of missing listings above which nothing is deactivated, as a fraction
@@ -38,8 +39,11 @@ def insert_absent(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def surrogate_ids(rows: DataFrame, start: int, *order: str) -> DataFrame:
-    """Consecutive ids after ``start`` in a stated order. Ranges are numbered in parallel; only their sizes are summed up."""
-    placed = rows.repartitionByRange(*[F.col(c) for c in order]).withColumn("_range", F.spark_partition_id())
+    """Consecutive ids after ``start`` in a stated order. Ranges are numbered in parallel; only their sizes are summed up.
+
+    Bounds of ranges come from a sample, so the rows with their ranges are cut off by a checkpoint before both uses.
+    """
+    placed = rows.repartitionByRange(*[F.col(c) for c in order]).withColumn("_range", F.spark_partition_id()).checkpoint()
     within = placed.withColumn("_n", F.row_number().over(Window.partitionBy("_range").orderBy(*order)))
     sizes = within.groupBy("_range").agg(F.count("*").alias("_size"))
     before = sizes.withColumn("_before", F.sum("_size").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)))
@@ -47,20 +51,35 @@ def surrogate_ids(rows: DataFrame, start: int, *order: str) -> DataFrame:
 
 
 def outcomes(incoming: DataFrame, listings: DataFrame, opportunities: DataFrame) -> DataFrame:
-    """created, duplicate, unchanged or updated for each incoming listing.
+    """created, duplicate, unchanged or updated for each incoming listing, with the opportunity it belongs to.
 
-    Incoming has source_id, external_id, content_hash, canonical_key; listings the first three and opportunity_id;
-    opportunities id and canonical_key. A duplicate is one that a listing of another source already stands for.
+    Incoming has source_id, external_id, content_hash, canonical_key and what `dedup.confident` compares; listings the
+    first three, is_active and opportunity_id; opportunities id, kind, canonical_key and what is compared. A new
+    listing of a job is a duplicate of the first opportunity of its key that passes the pair test and has an active
+    listing of another source.
     """
     known = listings.select("source_id", "external_id", F.col("content_hash").alias("known_hash"), F.col("opportunity_id").alias("known_opportunity"))
     keyed = incoming.join(known, ["source_id", "external_id"], "left")
-    owners = listings.join(opportunities.select(F.col("id").alias("opportunity_id"), "canonical_key"), "opportunity_id").select("canonical_key", F.col("source_id").alias("owner"), "opportunity_id")
-    # of the sources of a key, two suffice to say whether another source than one's own has it
-    first = owners.groupBy("canonical_key").agg(F.min("owner").alias("low"), F.max("owner").alias("high"), F.min("opportunity_id").alias("candidate"))
-    joined = keyed.join(first, "canonical_key", "left")
-    foreign = F.col("low").isNotNull() & ((F.col("low") != F.col("source_id")) | (F.col("high") != F.col("source_id")))
-    outcome = F.when(F.col("known_hash").isNull(), F.when(foreign, "duplicate").otherwise("created")).when(F.col("known_hash") == F.col("content_hash"), "unchanged").otherwise("updated")
-    return joined.select("source_id", "external_id", outcome.alias("outcome"), F.coalesce("known_opportunity", F.when(foreign, F.col("candidate"))).alias("opportunity_id"))
+    first = cross_source(keyed.where("known_hash is null").drop("known_hash", "known_opportunity"), listings, opportunities)
+    joined = keyed.join(first, ["source_id", "external_id"], "left")
+    outcome = F.when(F.col("known_hash").isNull(), F.when(F.col("candidate").isNotNull(), "duplicate").otherwise("created")).when(F.col("known_hash") == F.col("content_hash"), "unchanged").otherwise("updated")
+    return joined.select("source_id", "external_id", outcome.alias("outcome"), F.coalesce("known_opportunity", "candidate").alias("opportunity_id"))
+
+
+def cross_source(incoming: DataFrame, listings: DataFrame, opportunities: DataFrame) -> DataFrame:
+    """(source_id, external_id, candidate) of incoming jobs that an opportunity of another source already stands for."""
+    parts = ["title_key", "company_key", "location_key", "work_mode"]
+    compared = ["canonical_key", *parts, "week", "published_at", "length", "terms", "salary_min", "salary_max", "salary_currency", "salary_period"]
+    ready = lambda rows: dedup.comparable(dedup.keyed(rows.where("kind = 'employment'"))).withColumn("week", dedup.week())
+    # of the active sources of an opportunity, two suffice to say whether another source than one's own has it
+    owners = listings.where("is_active").groupBy("opportunity_id").agg(F.min("source_id").alias("low"), F.max("source_id").alias("high"))
+    old = ready(opportunities).select("id", *compared).join(owners, F.col("id") == F.col("opportunity_id")).withColumn("near", dedup.near_weeks()).alias("y")
+    new = ready(incoming).select("source_id", "external_id", *compared).alias("x")
+    same = F.col("x.week") == F.col("y.near")
+    for c in ("canonical_key", *parts):
+        same = same & (F.col(f"x.{c}") == F.col(f"y.{c}"))
+    foreign = (F.col("y.low") != F.col("x.source_id")) | (F.col("y.high") != F.col("x.source_id"))
+    return new.join(old, same).where(foreign & dedup.confident("x", "y")).groupBy("x.source_id", "x.external_id").agg(F.min("y.id").alias("candidate"))
 
 
 def reconcile(listings: DataFrame, seen: DataFrame, reason: str = "missing") -> DataFrame:

@@ -7,6 +7,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from vacancia.functions.text import canonical_key
 from vacancia.operators.predicates import active_listing, page_bounds
 
 Hosts = Mapping[str, tuple[str, ...]]
@@ -72,7 +73,24 @@ def page_with_links(rows: DataFrame, sort: str, limit: int, offset: int, listing
 
 
 def refresh_canonical(opportunities: DataFrame, listings: DataFrame, sources: DataFrame) -> DataFrame:
-    """Each opportunity with its canonical listing, `stale` where none is left."""
-    top = best_canonical(listings, sources).select("opportunity_id", F.col("id").alias("canonical_listing_id"), F.col("quality_score").alias("canonical_quality"))
+    """Each opportunity with its canonical listing, `stale` where none is left.
+
+    Where listings hold a `snapshot` struct of normalised fields, those of the canonical listing replace the
+    opportunity's, nulls too, and its canonical key is made again; a stale opportunity keeps what it had.
+    """
+    # chosen by narrow rows; only the chosen listings' snapshots are joined
+    top = best_canonical(listings.select("id", "opportunity_id", "source_id", "quality_score", "is_active", "normalized"), sources)
+    top = top.select("opportunity_id", F.col("id").alias("canonical_listing_id"), F.col("quality_score").alias("canonical_quality"))
+    copied = []
+    if "snapshot" in listings.columns:
+        inner = listings.schema["snapshot"].dataType.fieldNames()
+        copied = [c for c in opportunities.columns if c in inner and c != "id"]
+        top = top.join(listings.select(F.col("id").alias("canonical_listing_id"), "snapshot"), "canonical_listing_id").dropDuplicates(["opportunity_id"])
     joined = opportunities.join(top, opportunities.id == top.opportunity_id, "left").drop("opportunity_id")
-    return joined.withColumn("status", F.when(F.col("canonical_listing_id").isNull(), "stale").otherwise("active"))
+    left = F.col("canonical_listing_id").isNotNull()
+    fields = {c: F.when(left, F.col(f"snapshot.{c}")).otherwise(F.col(c)) for c in copied}
+    out = joined.withColumns(fields | {"status": F.when(left, "active").otherwise("stale")})
+    if copied and "canonical_key" in opportunities.columns:
+        key = canonical_key(F.col("company"), F.col("title"), F.col("location_text"), F.col("work_mode"))
+        out = out.withColumn("canonical_key", F.when(left, key).otherwise(F.col("canonical_key")))
+    return out.drop("snapshot")

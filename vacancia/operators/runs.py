@@ -107,3 +107,45 @@ def outcome_counts(outcomes: DataFrame) -> DataFrame:
     counted = [F.count_if(F.col("outcome") == o).alias(o) for o in ("created", "updated", "unchanged", "duplicate", "failed")]
     done = outcomes.groupBy("source_id").agg(F.count("*").alias("discovered"), *counted)
     return done.withColumn("status", F.when(F.col("failed") == F.col("discovered"), "failed").when(F.col("failed") > 0, "partial").otherwise("succeeded"))
+
+
+def health_worklist(sources: DataFrame, runs: DataFrame) -> DataFrame:
+    """(source_id, run_id) of the newest finished run of each enabled source that has one."""
+    last = newest(runs.where("finished_at is not null"), 1).select("source_id", F.col("id").alias("run_id"))
+    return sources.where("enabled").select(F.col("id").alias("source_id")).join(last, "source_id")
+
+
+# The most children and ids that a report shows.
+MOST_CHILDREN, MOST_IDS = 16, 10
+
+
+def _sample(rows: DataFrame, keys: list[str], value: Column, most: int, name: str) -> DataFrame:
+    """The smallest values of each key in order, at most so many: rows are ranked, so no more are ever gathered."""
+    ranked = rows.select(*keys, value.alias("_v")).withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy("_v"))).where(F.col("_n") <= most)
+    return ranked.groupBy(*keys).agg(F.sort_array(F.collect_list("_v")).alias(name))
+
+
+def consistency_report(reads: DataFrame, missing: DataFrame) -> DataFrame:
+    """A bounded report of each parent feed with missing ids.
+
+    Reads have parent, child, outcome (of the first read; null without one), recheck (its outcome; null if none was
+    tried) and scheduled; missing has parent, id and remaining, ids once each. Counts cover all; samples show ten
+    ids, and sixteen children: those tried again first, then those not processed, then by name.
+    """
+    done = lambda c: F.coalesce(F.col(c) == "processed", F.lit(False))
+    ids = missing.groupBy("parent").agg(F.count("*").alias("missing_count"), F.count_if("remaining").alias("remaining_missing_count"))
+    feeds = reads.groupBy("parent").agg(
+        F.count("*").alias("children_count"), F.count_if(done("outcome")).alias("initial_children_processed"), F.count_if("scheduled").alias("rechecks_scheduled"),
+        F.count("recheck").alias("rechecks_attempted"), F.count_if(done("recheck")).alias("rechecks_processed"),
+    )
+    child = F.struct(F.col("recheck").isNull().alias("untried"), done("outcome").alias("processed"), "child", "outcome", "recheck", "scheduled")
+    shown = _sample(reads, ["parent"], child, MOST_CHILDREN, "children").withColumn("children", F.transform("children", lambda c: F.struct(c["child"].alias("child"), c["outcome"].alias("outcome"), c["scheduled"].alias("scheduled"), c["recheck"].alias("recheck"))))
+    none = lambda c, kind: F.coalesce(F.col(c), F.array().cast(kind)).alias(c)
+    out = ids.join(feeds, "parent", "left").join(shown, "parent", "left").join(_sample(missing, ["parent"], F.col("id"), MOST_IDS, "missing_ids"), "parent", "left")
+    out = out.join(_sample(missing.where("remaining"), ["parent"], F.col("id"), MOST_IDS, "remaining_missing_ids"), "parent", "left")
+    counts = [F.coalesce(c, F.lit(0)).alias(c) for c in ("children_count", "initial_children_processed", "rechecks_scheduled", "rechecks_attempted", "rechecks_processed")]
+    kind = f"array<{missing.schema['id'].dataType.simpleString()}>"
+    return out.select(
+        "parent", "missing_count", none("missing_ids", kind), F.greatest(F.lit(0), F.col("missing_count") - MOST_IDS).alias("missing_ids_omitted"), "remaining_missing_count", none("remaining_missing_ids", kind), *counts,
+        F.greatest(F.lit(0), F.coalesce("children_count", F.lit(0)) - MOST_CHILDREN).alias("children_omitted"), none("children", shown.schema["children"].dataType.simpleString()),
+    )

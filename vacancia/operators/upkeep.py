@@ -113,3 +113,17 @@ def rechecks(children: DataFrame, most: int) -> DataFrame:
     first = children.withColumn("turn", turn)
     own = first.withColumn("rank", F.row_number().over(Window.partitionBy("child").orderBy("turn", "parent"))).where("rank = 1")
     return own.orderBy("turn", "parent").limit(most).select("parent", "child")
+
+
+def begin_cycles(cursors: DataFrame, started: DataFrame) -> DataFrame:
+    """Cursors (profile_id, channel, minimum_first_seen_at) with those of cycles that start for the first time; known ones stay."""
+    return cursors.unionByName(started.join(cursors.select("profile_id", "channel"), ["profile_id", "channel"], "left_anti"))
+
+
+def complete_cycles(cursors: DataFrame, completed: DataFrame) -> DataFrame:
+    """Cursors moved to the starts of the cycles that ended; an ended cycle without a cursor fails the job."""
+    keys = ["profile_id", "channel"]
+    ended = completed.select(*keys, F.col("minimum_first_seen_at").alias("_at"))
+    joined = cursors.join(ended, keys, "full_outer")
+    lost = F.raise_error(F.lit("a completed cycle has no cursor")).cast("timestamp")
+    return joined.select(*keys, F.when(F.col("minimum_first_seen_at").isNull(), lost).otherwise(F.coalesce("_at", "minimum_first_seen_at")).alias("minimum_first_seen_at"))

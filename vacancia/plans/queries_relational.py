@@ -178,6 +178,13 @@ def l2(t):
     return listings.refresh_canonical(t.opportunities, t.listings, t.sources).select("id", "status", "canonical_listing_id")
 
 
+@query("l2_canonical_fields", "WITH b AS (SELECT opportunity_id, arg_max(l.id, (quality_score, -l.id)) AS lid FROM listings l JOIN sources s ON s.id = source_id WHERE is_active AND enabled AND normalized GROUP BY opportunity_id) SELECT o.id, CASE WHEN lid IS NULL THEN o.title ELSE concat('job ', lid) END AS title, CASE WHEN lid IS NULL THEN company END AS company, CASE WHEN lid IS NULL THEN salary_max ELSE CAST(lid % 1000 AS DECIMAL(14,2)) END AS salary_max, CASE WHEN lid IS NULL THEN 'old' ELSE sha256(concat('|job ', lid, '|kyiv|remote')) END AS canonical_key FROM opportunities o LEFT JOIN b ON b.opportunity_id = o.id")
+def l2_fields(t):
+    snapshot = F.struct(F.concat(F.lit("job "), F.col("id").cast("string")).alias("title"), F.lit(None).cast("string").alias("company"), F.lit("Kyiv").alias("location_text"), F.lit("remote").alias("work_mode"), (F.col("id") % 1000).cast("decimal(14,2)").alias("salary_max"))
+    rows = t.opportunities.withColumn("canonical_key", F.lit("old"))
+    return listings.refresh_canonical(rows, t.listings.withColumn("snapshot", snapshot), t.sources).select("id", "title", "company", "salary_max", "canonical_key")
+
+
 @query("j5_sources_report", "SELECT s.id, name, enabled, r.id AS run_id, status, started_at, CASE WHEN limit_reached THEN 'limit_reached' WHEN detail_failure_count > 0 THEN 'detail_failures' WHEN discovered_count = 0 THEN 'empty' END AS warning, CASE WHEN coalesce(last_error, '') <> '' THEN 'Source reported an issue. Details are available internally.' END AS error FROM sources s LEFT JOIN (SELECT * FROM runs QUALIFY row_number() OVER (PARTITION BY source_id ORDER BY started_at DESC, id DESC) = 1) AS r ON r.source_id = s.id")
 def j5(t):
     return runs.sources_report(t.sources, t.runs)
@@ -189,9 +196,9 @@ def j6(t):
     return rows.agg(F.count("*").alias("n"), F.count("disposition").alias("with_state"))
 
 
-@query("j7_run_source", "SELECT r.id, name, status FROM runs r JOIN sources s ON s.id = r.source_id WHERE r.id % 100 = 7")
+@query("j7_run_source", "SELECT r.id, name, status FROM runs r JOIN sources s ON s.id = r.source_id")
 def j7(t):
-    return t.runs.where("id % 100 = 7").join(t.sources.select(F.col("id").alias("source_id"), "name"), "source_id").select("id", "name", "status")
+    return t.runs.join(t.sources.select(F.col("id").alias("source_id"), "name"), "source_id").select("id", "name", "status")
 
 
 @query("j7_run_source_all", "SELECT r.id, name, status FROM runs r JOIN sources s ON s.id = r.source_id")
@@ -346,20 +353,27 @@ def k2(t):
 SQL_KEY = "(SELECT min(id) AS lid, source_id, external_id, arg_min(opportunity_id, (id, version, is_active)) AS opportunity_id, arg_min(version, (id, version, is_active)) AS version, arg_min(is_active, (id, version, is_active)) AS is_active FROM listings GROUP BY source_id, external_id)"
 
 
+# Jobs published within twenty days of each other, with descriptions long enough to compare.
+PROSE = "we look for people who build, test, run and mend services with care for their users"
+
+
 @query(
     "k3_ingest_outcomes",
-    f"""WITH l AS {SQL_KEY}, known AS (SELECT * FROM l WHERE is_active), o AS (SELECT id, concat(company, '|', title) AS k FROM opportunities), inc AS (SELECT l.*, k FROM l JOIN o ON o.id = l.opportunity_id),
-own AS (SELECT k, min(source_id) AS low, max(source_id) AS high FROM known JOIN o ON o.id = known.opportunity_id GROUP BY k)
-SELECT inc.source_id, inc.external_id, CASE WHEN known.lid IS NULL THEN CASE WHEN own.low IS NOT NULL AND (own.low <> inc.source_id OR own.high <> inc.source_id) THEN 'duplicate' ELSE 'created' END WHEN inc.version > 25 THEN 'updated' ELSE 'unchanged' END AS outcome
-FROM inc LEFT JOIN known ON known.lid = inc.lid LEFT JOIN own ON own.k = inc.k""",
+    f"""WITH l AS {SQL_KEY}, known AS (SELECT * FROM l WHERE is_active), o AS (SELECT *, concat(company, '|', title) AS k, id % 20 AS day FROM opportunities), inc AS (SELECT l.lid, l.source_id AS src, l.external_id AS ext, l.version, o.* FROM l JOIN o ON o.id = l.opportunity_id),
+job AS (SELECT * FROM o WHERE kind = 'employment' AND company IS NOT NULL AND location_text IS NOT NULL AND work_mode <> 'unknown'), dup AS (SELECT src, ext, min(y.id) AS candidate FROM inc x JOIN job y ON x.k = y.k AND x.location_text = y.location_text AND x.work_mode = y.work_mode WHERE x.kind = 'employment' AND abs(x.day - y.day) <= 7
+AND coalesce(lower(x.salary_currency) = lower(y.salary_currency), true) AND coalesce(lower(x.salary_period) = lower(y.salary_period), true) AND NOT coalesce(x.salary_min > y.salary_max, false) AND NOT coalesce(y.salary_min > x.salary_max, false)
+AND EXISTS (SELECT 1 FROM known WHERE known.opportunity_id = y.id AND known.source_id <> x.src) GROUP BY src, ext)
+SELECT inc.src AS source_id, inc.ext AS external_id, CASE WHEN known.lid IS NULL THEN CASE WHEN candidate IS NOT NULL THEN 'duplicate' ELSE 'created' END WHEN inc.version > 25 THEN 'updated' ELSE 'unchanged' END AS outcome, CASE WHEN known.lid IS NULL THEN candidate ELSE known.opportunity_id END AS opportunity_id
+FROM inc LEFT JOIN known ON known.lid = inc.lid LEFT JOIN dup ON dup.src = inc.src AND dup.ext = inc.ext""",
 )
 def k3(t):
     first = t.listings.groupBy("source_id", "external_id").agg(F.min_by(F.struct("opportunity_id", "version", "is_active"), F.struct("id", "version", "is_active")).alias("l")).select("source_id", "external_id", "l.*")
-    keyed = t.opportunities.select("id", F.when(F.col("company").isNull(), F.concat(F.lit("|"), "title")).otherwise(F.concat("company", F.lit("|"), "title")).alias("canonical_key"))
+    key = F.when(F.col("company").isNull(), F.concat(F.lit("|"), "title")).otherwise(F.concat("company", F.lit("|"), "title"))
+    jobs = t.opportunities.withColumns({"canonical_key": key, "description": F.lit(PROSE), "published_at": F.lit(datetime(2024, 1, 1)) + F.make_dt_interval((F.col("id") % 20).cast("int"))})
     version = F.col("version").cast("int").cast("string")
-    incoming = first.join(keyed.withColumnRenamed("id", "opportunity_id"), "opportunity_id").select("source_id", "external_id", F.when(F.col("version") > 25, F.lit("new")).otherwise(version).alias("content_hash"), "canonical_key")
-    known = first.where("is_active").select("source_id", "external_id", version.alias("content_hash"), "opportunity_id")
-    return ingest.outcomes(incoming, known, keyed).select("source_id", "external_id", "outcome")
+    incoming = first.join(jobs.withColumnRenamed("id", "opportunity_id"), "opportunity_id").drop("opportunity_id").withColumn("content_hash", F.when(F.col("version") > 25, F.lit("new")).otherwise(version))
+    known = first.where("is_active").select("source_id", "external_id", version.alias("content_hash"), "opportunity_id", "is_active")
+    return ingest.outcomes(incoming, known, jobs)
 
 
 @query("l3_deactivate_missing", "WITH seen AS (SELECT DISTINCT source_id, external_id FROM listings WHERE normalized OR source_id % 2 = 0), act AS (SELECT l.source_id, count(*) AS a, count(*) FILTER (s.external_id IS NULL) AS m FROM listings l LEFT JOIN seen s ON s.source_id = l.source_id AND s.external_id = l.external_id WHERE is_active GROUP BY l.source_id), g AS (SELECT source_id, m > 0 AND (m * 5 > a * 4 OR NOT EXISTS (SELECT 1 FROM seen WHERE seen.source_id = act.source_id)) AS blocked FROM act) SELECT l.id, CASE WHEN is_active AND s.external_id IS NULL AND NOT coalesce(blocked, true) THEN false WHEN s.external_id IS NOT NULL THEN true ELSE is_active END AS is_active FROM listings l LEFT JOIN g ON g.source_id = l.source_id LEFT JOIN seen s ON s.source_id = l.source_id AND s.external_id = l.external_id")

@@ -25,9 +25,9 @@ def s5(t):
     return feeds.overlay(now, old, ["brand"]).select("external_id", "brand", "description")
 
 
-@query("s6_detail_due", "SELECT external_id, priority FROM (SELECT l_orderkey AS external_id, l_partkey, CASE WHEN checked IS NULL THEN 0 WHEN l_shipdate + INTERVAL '3' DAY > checked THEN 1 WHEN checked < TIMESTAMP '1996-01-01' - INTERVAL '24' HOUR THEN 2 END AS priority, checked FROM (SELECT *, CASE WHEN l_partkey % 5 <> 0 THEN l_shipdate + to_days(CAST(l_linenumber AS INT)) END AS checked FROM lineitem WHERE l_linenumber = 5 AND l_partkey % 50 = 7 OR l_orderkey = 3) AS x) AS y WHERE priority IS NOT NULL ORDER BY priority, checked NULLS FIRST, external_id LIMIT 30")
+@query("s6_detail_due", "SELECT external_id, priority FROM (SELECT l_orderkey AS external_id, l_partkey, CASE WHEN checked IS NULL THEN 0 WHEN l_shipdate + INTERVAL '3' DAY > checked THEN 1 WHEN checked < TIMESTAMP '1996-01-01' - INTERVAL '24' HOUR THEN 2 END AS priority, checked FROM (SELECT *, CASE WHEN l_partkey % 5 <> 0 THEN l_shipdate + to_days(CAST(l_linenumber AS INT)) END AS checked FROM lineitem) AS x) AS y WHERE priority IS NOT NULL ORDER BY priority, checked NULLS FIRST, external_id LIMIT 30")
 def s6(t):
-    rows = t.raw("lineitem").where("l_linenumber = 5 and l_partkey % 50 = 7 or l_orderkey = 3")
+    rows = t.raw("lineitem")
     checked = F.when(F.col("l_partkey") % 5 != 0, F.col("l_shipdate") + F.make_dt_interval(F.col("l_linenumber").cast("int")))
     rows = rows.select(F.col("l_orderkey").alias("external_id"), checked.alias("checked_at"), (F.col("l_shipdate") + F.expr("INTERVAL 3 DAYS")).alias("source_updated_at"))
     return feeds.detail_due(rows, F.lit("1996-01-01").cast("timestamp_ntz"), 24, 30).select("external_id", "priority")
