@@ -18,7 +18,8 @@ def query(name: str, sql: str | None = None) -> Callable:
     def register(f: Callable[[Tables], DataFrame]) -> Callable[[Tables], DataFrame]:
         QUERIES[name] = lambda spark, sf_dir: f(Tables(spark, sf_dir))
         if sql:
-            ORACLES[name] = f"WITH {PRELUDE} {sql}" if not sql.lstrip().upper().startswith("WITH ") else f"WITH {PRELUDE}, {sql.lstrip()[5:]}"
+            head, rest = ("WITH RECURSIVE", sql.lstrip()[15:]) if sql.lstrip().upper().startswith("WITH RECURSIVE ") else ("WITH", sql.lstrip()[5:])
+            ORACLES[name] = f"{head} {PRELUDE}, {rest}" if sql.lstrip().upper().startswith("WITH ") else f"WITH {PRELUDE} {sql}"
         return f
 
     return register
