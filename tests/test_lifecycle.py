@@ -1,11 +1,17 @@
 """Splitting, deliveries, merges and runs against sequential brute force."""
 
+import datetime as dt
 import random
 
 import pytest
 
 from tests.conftest import rows
+from vacancia.plans import QUERIES
 from vacancia.sources import splitting
+from vacancia.streaming import deliveries, limits
+
+FOLDER = "/root/testdata/sf0.001"
+START = dt.datetime(2024, 1, 1)
 
 
 def split_one_by_one(items, full, most):
@@ -45,3 +51,66 @@ def test_split_equals_a_traversal(spark, count, full, most, bare):
     items = [(i, some(), r.choice([*splitting.EXPERIENCE[:4], None, "odd"]), r.choice([*splitting.ENGLISH[:3], None])) for i in range(count)]
     df = spark.createDataFrame(items, "id long, categories array<string>, experience string, english string").repartition(3)
     assert rows(splitting.split(df, full=full, most_categories=most)) == split_one_by_one(items, full, most)
+
+
+def delivery_events(count, seed, keys=(1, 2, 3, 4, 5, 6, 7, 8, None)):
+    r = random.Random(seed)
+    kinds = ["offer", "claim", "claim", "retry", "result", "result", "recover", "odd"]
+    some = lambda i: kinds[r.randrange(8)] if r.random() < 0.97 else r.choice(["skip", "sweep"])
+    at = lambda i: START + dt.timedelta(seconds=r.randint(0, 20_000), milliseconds=i % 3)
+    return [(r.choice(keys), at(i), i, some(i), f"k{r.randint(0, 3)}", r.choice(["m", None]), "u", r.random() < 0.2, "e" * 2500, r.random() < 0.3, r.choice([None, None, START])) for i in range(count)]
+
+
+@pytest.fixture
+def rocks(spark):
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", deliveries.STORE)
+    yield spark
+    spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
+
+
+def test_delivery_stream_equals_replay_over_restarts_and_disorder(rocks, tmp_path):
+    events = delivery_events(400, 1)
+    last = max(e[1] for e in events)
+    parts = [events[:150], events[150:300], events[300:], [(99, last + dt.timedelta(hours=12), 9999, "odd", *(None,) * 7)]]
+    for part in parts:  # each a run of its own over the state of the runs before
+        rocks.createDataFrame(part, deliveries.EVENT).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = rocks.readStream.schema(deliveries.EVENT).parquet(str(tmp_path / "in"))
+        found = limits.run_available(deliveries.delivery_log(stream, "10 hours"), rocks, str(tmp_path / "run"))
+    passed = int((last + dt.timedelta(hours=2)).replace(tzinfo=dt.UTC).timestamp() * 1000)
+    want = deliveries.replay(rocks.createDataFrame(events, deliveries.EVENT), passed)
+    assert rows(found) == rows(want)
+    actions = {r["action"] for r in want.collect()}
+    assert {"queued", "refreshed", "rekeyed", "claimed", "deferred", "refused", "sent", "failed", "due", "kept", "ignored"} <= actions
+    assert max(len(r["last_error"] or "") for r in want.collect()) == deliveries.MOST_ERROR
+
+
+def test_late_delivery_events_change_nothing(rocks, tmp_path):
+    late = (1, START, 1, "offer", "k", "m", "u", None, None, None, None)
+    for part in ([(2, START + dt.timedelta(hours=1), 2, "offer", "k", "m", "u", None, None, None, None)], [late, (2, START + dt.timedelta(hours=2), 3, "claim", "k", "m", "u", None, None, None, None)]):
+        rocks.createDataFrame(part, deliveries.EVENT).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        found = limits.run_available(deliveries.delivery_log(rocks.readStream.schema(deliveries.EVENT).parquet(str(tmp_path / "in"))), rocks, str(tmp_path / "run"))
+    assert {(r["opportunity_id"], r["action"]) for r in found.collect()} in ({(2, "queued"), (2, "claimed")}, {(1, "late"), (2, "queued"), (2, "claimed")})
+
+
+def test_replay_reads_a_key_over_many_batches(spark):
+    events = spark.createDataFrame(delivery_events(300, 2, (1, None)), deliveries.EVENT).repartition(3)
+    want = rows(deliveries.replay(events, 1 << 60))
+    size = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        assert rows(deliveries.replay(events, 1 << 60)) == want
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+    assert not rows(deliveries.replay(events.where("false"), 0))
+
+
+def test_a_delivery_fails_waits_and_is_sent():
+    e = lambda kind, at, **more: {"kind": kind, "at_ms": at, "seq": at, "event_key": "a", "message_text": "m", "source_url": "u", "ok": None, "error": None, "hidden": False, "recorded_ms": None} | more
+    events = [e("offer", 0), e("claim", 1), e("claim", 2), e("result", 10, ok=False, error="x"), e("claim", 20), e("retry", 60_010), e("recover", 60_020), e("retry", 180_020), e("result", 180_021, ok=True), e("offer", 180_022)]
+    d, log = deliveries.walk(None, events, 10**9)
+    assert [(x[0], x[2], x[4]) for x in log] == [(0, "queued", 0), (1, "claimed", 0), (2, "refused", 0), (10, "failed", 1), (20, "deferred", 1), (60_010, "due", 1), (60_010, "claimed", 1), (60_020, "failed", 2), (180_020, "due", 2), (180_020, "claimed", 2), (180_021, "sent", 3), (180_022, "kept", 3)]
+    assert d["status"] == "sent" and d["sent_ms"] == 180_021 and [deliveries.delay_ms(k) // 1000 for k in range(1, 9)] == [60, 120, 240, 480, 960, 1920, 3600, 3600]
+
+
+def test_delivery_queries_agree(rocks):
+    assert rows(QUERIES["l10_delivery_log_stream"](rocks, FOLDER)) == rows(QUERIES["l10_delivery_log"](rocks, FOLDER))

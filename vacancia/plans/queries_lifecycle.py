@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from vacancia.plans.registry import query
 from vacancia.sources import splitting
+from vacancia.streaming import deliveries, limits
 
 _LISTED = lambda values: "[" + ", ".join(f"'{v}'" for v in values) + "]"
 
@@ -28,3 +29,55 @@ def s4(t):
         listed(splitting.EXPERIENCE, F.col("o_orderkey") % 12).alias("experience"), listed(splitting.ENGLISH, F.col("o_custkey") % 9).alias("english"),
     )
     return splitting.split(items)
+
+
+def _delivery_events(events):
+    """Events as what happens to deliveries; three opportunities a user."""
+    n = F.col("event_id")
+    other = F.when(n % 6 < 2, "retry").when(n % 6 < 4, "recover").when(n % 30 == 4, "skip").when(n % 30 == 5, "sweep").otherwise("offer")
+    kind = F.when(F.col("event_type") == "click", "offer").when(F.col("event_type") == "view", "claim").when(F.col("event_type").isin("purchase", "error"), "result").otherwise(other)
+    at = F.col("ts").cast("timestamp")
+    return events.select(
+        (F.col("user_id") * 3 + n % 3).alias("opportunity_id"), at.alias("at"), n.alias("seq"), kind.alias("kind"), F.concat(F.lit("k"), (n % 5).cast("string")).alias("event_key"),
+        F.when(n % 7 != 0, F.concat(F.lit("m"), n.cast("string"))).alias("message_text"), F.when(n % 11 != 0, "https://site0.example/").alias("source_url"),
+        ((F.col("event_type") == "purchase") & (n % 5 == 0)).alias("ok"), F.concat(F.lit("error "), n.cast("string")).alias("error"), (n % 4 == 0).alias("hidden"), F.when(n % 8 == 2, at).alias("recorded_at"),
+    )
+
+
+def _plain_log(log):
+    ms = [F.unix_millis(c).alias(name) for c, name in (("at", "at_ms"), ("next_attempt_at", "next_ms"), ("sent_at", "sent_ms"))]
+    return log.select("opportunity_id", "seq", "action", "status", "attempts", "event_key", "message_text", "source_url", "last_error", *ms)
+
+
+@query(
+    "l10_delivery_log",
+    f"""WITH RECURSIVE e0 AS (SELECT user_id * 3 + event_id % 3 AS op, event_id AS seq, epoch_us(ts) // 1000 AS tm, CASE WHEN event_type = 'click' THEN 'offer' WHEN event_type = 'view' THEN 'claim' WHEN event_type IN ('purchase', 'error') THEN 'result'
+WHEN event_id % 6 < 2 THEN 'retry' WHEN event_id % 6 < 4 THEN 'recover' WHEN event_id % 30 = 4 THEN 'skip' WHEN event_id % 30 = 5 THEN 'sweep' ELSE 'offer' END AS kind, concat('k', event_id % 5) AS k, CASE WHEN event_id % 7 <> 0 THEN concat('m', event_id) END AS m, CASE WHEN event_id % 11 <> 0 THEN 'https://site0.example/' END AS u,
+event_type = 'purchase' AND event_id % 5 = 0 AS ok, concat('error ', event_id) AS error, event_id % 4 = 0 AS hidden, CASE WHEN event_id % 8 = 2 THEN epoch_us(ts) // 1000 END AS rec FROM events),
+e AS (SELECT *, row_number() OVER (PARTITION BY op ORDER BY tm, seq) AS rn FROM e0), ends AS (SELECT max(tm) AS until FROM e0),
+st AS (SELECT DISTINCT op, CAST(0 AS BIGINT) AS rn, CAST(NULL AS BIGINT) AS tm, CAST(NULL AS BIGINT) AS seq, CAST(NULL AS VARCHAR) AS a, CAST(NULL AS VARCHAR) AS s, CAST(NULL AS BIGINT) AS n, CAST(NULL AS VARCHAR) AS k, CAST(NULL AS VARCHAR) AS m, CAST(NULL AS VARCHAR) AS u, CAST(NULL AS BIGINT) AS nx, CAST(NULL AS BIGINT) AS sent, CAST(NULL AS VARCHAR) AS err FROM e
+UNION ALL SELECT op, rn, tm, seq, a, CASE a WHEN 'queued' THEN 'queued' WHEN 'claimed' THEN 'pending' WHEN 'sent' THEN 'sent' WHEN 'failed' THEN 'failed' WHEN 'skipped' THEN 'skipped_paused' ELSE s END,
+CASE WHEN a IN ('sent', 'failed') THEN n + 1 WHEN s IS NULL AND a IN ('queued', 'claimed', 'skipped') THEN 0 ELSE n END, CASE WHEN a IN ('queued', 'refreshed', 'rekeyed', 'deferred') OR (a = 'claimed' AND kind = 'claim') OR (a = 'skipped' AND kind = 'skip') THEN ek ELSE k END,
+CASE WHEN a IN ('queued', 'refreshed') OR (a = 'claimed' AND kind = 'claim' AND (m IS NULL OR u IS NULL)) THEN em ELSE m END, CASE WHEN a IN ('queued', 'refreshed') OR (a = 'claimed' AND kind = 'claim' AND (m IS NULL OR u IS NULL)) THEN eu ELSE u END,
+CASE WHEN a = 'failed' THEN tm + 1000 * least(3600, 60 * (1 << least(6, n)::INT)) WHEN a IN ('claimed', 'sent', 'skipped') THEN NULL ELSE nx END, CASE WHEN a = 'sent' THEN CASE WHEN kind = 'result' THEN tm ELSE rec END WHEN a = 'failed' THEN NULL ELSE sent END,
+CASE WHEN a = 'failed' THEN CASE WHEN kind = 'result' THEN error ELSE 'Interrupted before delivery confirmation.' END WHEN a IN ('claimed', 'sent', 'skipped') THEN NULL ELSE err END FROM (
+SELECT st.op, e.rn, e.tm, e.seq, e.kind, e.k AS ek, e.m AS em, e.u AS eu, e.error, e.rec, st.s, st.n, st.k, st.m, st.u, st.nx, st.sent, st.err, CASE e.kind
+WHEN 'offer' THEN CASE WHEN s IS NULL THEN 'queued' WHEN s = 'queued' THEN 'refreshed' WHEN s = 'failed' THEN 'rekeyed' ELSE 'kept' END WHEN 'claim' THEN CASE WHEN s IS NULL THEN 'claimed' WHEN s NOT IN ('queued', 'failed') THEN 'refused' WHEN s = 'failed' AND nx > e.tm THEN 'deferred' ELSE 'claimed' END
+WHEN 'retry' THEN CASE WHEN s IS NULL OR s NOT IN ('queued', 'failed') OR st.m IS NULL OR st.u IS NULL OR coalesce(nx > e.tm, false) OR (s = 'queued' AND e.hidden) THEN 'refused' ELSE 'claimed' END
+WHEN 'result' THEN CASE WHEN s IS DISTINCT FROM 'pending' THEN 'refused' WHEN e.ok THEN 'sent' ELSE 'failed' END WHEN 'recover' THEN CASE WHEN s IS DISTINCT FROM 'pending' THEN 'refused' WHEN e.rec IS NOT NULL THEN 'sent' ELSE 'failed' END
+WHEN 'skip' THEN CASE WHEN s IS NULL OR s = 'queued' THEN 'skipped' ELSE 'kept' END ELSE CASE WHEN s = 'queued' THEN 'skipped' ELSE 'kept' END END AS a FROM st JOIN e ON e.op = st.op AND e.rn = st.rn + 1) AS x),
+due AS (SELECT f.op, f.nx AS tm, (SELECT max(q.rn) FROM st AS q WHERE q.op = f.op AND q.rn >= f.rn AND (q.rn = f.rn OR q.tm < f.nx)) AS rn FROM st AS f, ends WHERE f.a = 'failed' AND f.nx <= ends.until)
+SELECT op AS opportunity_id, seq, a AS action, s AS status, n AS attempts, k AS event_key, m AS message_text, u AS source_url, err AS last_error, tm AS at_ms, nx AS next_ms, sent AS sent_ms FROM st WHERE rn > 0
+UNION ALL SELECT st.op, NULL, 'due', st.s, st.n, st.k, st.m, st.u, st.err, due.tm, st.nx, st.sent FROM due JOIN st ON st.op = due.op AND st.rn = due.rn""",
+)
+def l10_log(t):
+    events = _delivery_events(t.raw("events"))
+    until = events.agg(F.max(F.unix_millis("at"))).first()[0]  # one number
+    return _plain_log(deliveries.replay(events, until or 0))
+
+
+@query("l10_delivery_log_stream")
+def l10_log_stream(t):
+    t.spark.conf.set("spark.sql.streaming.stateStore.providerClass", deliveries.STORE)
+    stream = t.spark.readStream.schema(t.raw("events").schema).option("pathGlobFilter", "events.parquet").parquet(t.dir)
+    return _plain_log(limits.run_available(deliveries.delivery_log(_delivery_events(stream)), t.spark, limits.run_folder(t.spark, "deliveries")))

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from vacancia.plans.registry import query
@@ -131,14 +129,7 @@ def t1(t):
 def t1_stream(t):
     schema = t.raw("events").schema
     stream = t.spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(t.dir)
-    folder = t.spark.conf.get("spark.checkpoint.dir", None)
-    if folder is None:
-        import tempfile
-
-        if not t.spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all hosts share")
-        folder = tempfile.mkdtemp(prefix="streams")
-    return limits.run_available(limits.request_budget(_requests(stream), 100, 3600 * 24.0), t.spark, f"{folder}/budget-{uuid.uuid4()}")
+    return limits.run_available(limits.request_budget(_requests(stream), 100, 3600 * 24.0), t.spark, limits.run_folder(t.spark, "budget"))
 
 
 @query("t4_late_rows", "SELECT count(*) FILTER (first_seen_at >= TIMESTAMP '1996-01-01') AS in_time, count(*) FILTER (first_seen_at < TIMESTAMP '1996-01-01') AS late FROM opportunities")

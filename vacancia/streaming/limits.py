@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable, Iterator
 from datetime import datetime
 
@@ -76,6 +78,16 @@ def run_available(stream: DataFrame, spark: SparkSession, folder: str, mode: str
     return spark.read.schema(stream.schema).parquet(f"{folder}/out")
 
 
+def run_folder(spark: SparkSession, name: str) -> str:
+    """A new folder for one run of a stream, on what all hosts share."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all hosts share")
+        folder = tempfile.mkdtemp(prefix="streams")
+    return f"{folder}/{name}-{uuid.uuid4()}"
+
+
 def each_batch(stream: DataFrame, folder: str, apply: Callable[[DataFrame, int], None]) -> None:
     """Applies a function to each micro-batch of what there is now; batches that a restart repeats have the same number."""
     stream.writeStream.foreachBatch(apply).option("checkpointLocation", folder).trigger(availableNow=True).start().awaitTermination()
