@@ -6,6 +6,8 @@ import random
 import pytest
 
 from tests.conftest import rows
+from vacancia.operators import dedup
+from vacancia.operators.lineage import components
 from vacancia.plans import QUERIES
 from vacancia.sources import splitting
 from vacancia.streaming import deliveries, limits
@@ -114,3 +116,85 @@ def test_a_delivery_fails_waits_and_is_sent():
 
 def test_delivery_queries_agree(rocks):
     assert rows(QUERIES["l10_delivery_log_stream"](rocks, FOLDER)) == rows(QUERIES["l10_delivery_log"](rocks, FOLDER))
+
+
+JOB = "id long, title string, company string, location_text string, work_mode string, published_at timestamp, description string, salary_currency string, salary_period string, salary_min decimal(14,2), salary_max decimal(14,2)"
+WORDS = [f"word{k}" for k in range(40)]
+
+
+def one_pair(x, y):
+    """The pair test on plain dictionaries whose titles, companies and places are normalised already."""
+    if any(not x[c] or x[c] != y[c] for c in ("title", "company", "location_text")) or x["work_mode"] == "unknown" or x["work_mode"] != y["work_mode"]:
+        return False
+    if x["published_at"] is None or y["published_at"] is None or abs(x["published_at"] - y["published_at"]) > dt.timedelta(days=7):
+        return False
+    short, long = sorted((len(x["description"] or ""), len(y["description"] or "")))
+    s, t = set((x["description"] or "").split()), set((y["description"] or "").split())
+    if short < 40 or long > 1.5 * short or min(len(s), len(t)) < 8 or len(s & t) / min(len(s), len(t)) < 0.8:
+        return False
+    low = lambda p, q: p["salary_min"] is not None and q["salary_max"] is not None and p["salary_min"] > q["salary_max"]
+    return not low(x, y) and not low(y, x)
+
+
+def one_by_one(jobs, listings, enabled):
+    """Merges as a loop over opportunities in order makes them, each survivor refreshed from its best listing."""
+    own = {j["id"]: dict(j) for j in jobs}
+    first = {j["id"]: (j["title"], j["company"]) for j in jobs}
+    held = {i: [x for x in listings if x["opportunity_id"] == i] for i in own}
+    into = {}
+    for p in sorted(own):
+        for q in sorted(own):
+            if q <= p or p in into or q in into or first[p] != first[q] or not all(first[p]):
+                continue
+            s, t = ({x["source_id"] for x in held[i]} for i in (p, q))
+            if not s or not t or s & t or not one_pair(own[p], own[q]):
+                continue
+            into[q] = p
+            held[p] = held[p] + held[q]
+            fit = [x for x in held[p] if x["is_active"] and x["normalized"] and x["source_id"] in enabled]
+            if fit:
+                own[p] = dict(min(fit, key=lambda x: (-x["quality_score"], x["id"]))["snapshot"], id=p)
+    return sorted(into.items())
+
+
+def jobs_and_listings(seed, count):
+    r = random.Random(seed)
+    bases = [r.sample(WORDS, 20) for _ in range(3)]
+
+    def fields():
+        words = list(r.choice(bases))
+        for _ in range(r.randint(0, 4)):
+            words[r.randrange(20)] = r.choice(WORDS)
+        return {"title": r.choice(["engineer", "engineer", "tester"]), "company": "acme", "location_text": r.choice(["kyiv", "kyiv", "kyiv", ""]), "work_mode": "remote", "published_at": r.choice([None, *[START + dt.timedelta(days=r.randint(0, 12)) for _ in range(9)]]),
+                "description": " ".join(words), "salary_currency": None, "salary_period": None, "salary_min": r.choice([None, None, 5]), "salary_max": r.choice([None, None, 4, 9])}
+
+    jobs = [{"id": i, **fields()} for i in range(count)]
+    listings = [{"id": 1000 + k, "opportunity_id": r.randrange(count), "source_id": r.randrange(7), "quality_score": r.randint(1, 5), "is_active": r.random() < 0.8, "normalized": r.random() < 0.8, "snapshot": fields()} for k in range(int(count * 1.3))]
+    return jobs, listings
+
+
+@pytest.mark.parametrize(("seed", "component_pairs"), [(1, dedup.COMPONENT_PAIRS), (2, dedup.COMPONENT_PAIRS), (3, 0), (4, 30)])
+def test_greedy_merges_equal_a_loop_with_refreshed_fields(spark, seed, component_pairs):
+    jobs, listings = jobs_and_listings(seed, 60 if component_pairs > 100 else 24)
+    snapshot = JOB.removeprefix("id long, ").replace(" ", ":").replace(",:", ",")
+    jobs_df = spark.createDataFrame([tuple(j[f.split()[0]] for f in JOB.replace("(14,2)", "").split(", ")) for j in jobs], JOB.replace("decimal(14,2)", "int"))
+    listings_df = spark.createDataFrame([tuple(x[c] for c in ("id", "opportunity_id", "source_id", "quality_score", "is_active", "normalized")) + (x["snapshot"],) for x in listings], f"id long, opportunity_id long, source_id long, quality_score long, is_active boolean, normalized boolean, snapshot struct<{snapshot.replace('decimal(14,2)', 'int')}>")
+    sources = spark.createDataFrame([(k, k != 3) for k in range(7)], "id long, enabled boolean")
+    want = one_by_one(jobs, listings, {0, 1, 2, 4, 5, 6})
+    assert want and rows(dedup.greedy_merges(jobs_df, listings_df, sources, component_pairs)) == sorted(want, key=repr)
+
+
+def test_pairs_equal_a_loop(spark):
+    jobs, _ = jobs_and_listings(9, 150)
+    jobs += [dict(j, id=j["id"] + 500) for j in jobs[:40]]  # copies
+    df = spark.createDataFrame([tuple(j[f.split()[0]] for f in JOB.replace("(14,2)", "").split(", ")) for j in jobs], JOB.replace("decimal(14,2)", "int"))
+    want = [(x["id"], y["id"]) for x in jobs for y in jobs if x["id"] < y["id"] and one_pair(x, y)]
+    assert want and rows(dedup.duplicate_pairs(df)) == sorted(want, key=repr)
+
+
+def test_components_of_ways_and_crowds(spark):
+    way = [(i, i + 1) for i in range(100, 160)]
+    crowd = [(7, i) for i in range(8, 40)]
+    found = dict(tuple(r) for r in components(spark.createDataFrame([*way, *crowd, (41, 42)], "a long, b long")).collect())
+    assert found == {**{i: 100 for i in range(100, 161)}, **{i: 7 for i in range(7, 40)}, 41: 41, 42: 41}
+    assert not rows(components(spark.createDataFrame([], "a long, b long")))

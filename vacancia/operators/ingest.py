@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from vacancia.operators import dedup
+from vacancia.operators.lineage import stored
 from vacancia.operators.predicates import expiration_action
 
 MISSING_GUARD = (4, 5)  # the share of missing listings above which nothing is deactivated, as a fraction
@@ -43,7 +44,8 @@ def surrogate_ids(rows: DataFrame, start: int, *order: str) -> DataFrame:
 
     Bounds of ranges come from a sample, so the rows with their ranges are cut off by a checkpoint before both uses.
     """
-    placed = rows.repartitionByRange(*[F.col(c) for c in order]).withColumn("_range", F.spark_partition_id()).checkpoint()
+    placed = rows.repartitionByRange(*[F.col(c) for c in order]).withColumn("_range", F.spark_partition_id())
+    placed = stored(placed)
     within = placed.withColumn("_n", F.row_number().over(Window.partitionBy("_range").orderBy(*order)))
     sizes = within.groupBy("_range").agg(F.count("*").alias("_size"))
     before = sizes.withColumn("_before", F.sum("_size").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)))
@@ -68,18 +70,13 @@ def outcomes(incoming: DataFrame, listings: DataFrame, opportunities: DataFrame)
 
 def cross_source(incoming: DataFrame, listings: DataFrame, opportunities: DataFrame) -> DataFrame:
     """(source_id, external_id, candidate) of incoming jobs that an opportunity of another source already stands for."""
-    parts = ["title_key", "company_key", "location_key", "work_mode"]
-    compared = ["canonical_key", *parts, "week", "published_at", "length", "terms", "salary_min", "salary_max", "salary_currency", "salary_period"]
-    ready = lambda rows: dedup.comparable(dedup.keyed(rows.where("kind = 'employment'"))).withColumn("week", dedup.week())
+    ready = lambda rows, *kept: dedup.postings(rows.where("kind = 'employment'"), *kept, more_keys=("canonical_key",))
     # of the active sources of an opportunity, two suffice to say whether another source than one's own has it
     owners = listings.where("is_active").groupBy("opportunity_id").agg(F.min("source_id").alias("low"), F.max("source_id").alias("high"))
-    old = ready(opportunities).select("id", *compared).join(owners, F.col("id") == F.col("opportunity_id")).withColumn("near", dedup.near_weeks()).alias("y")
-    new = ready(incoming).select("source_id", "external_id", *compared).alias("x")
-    same = F.col("x.week") == F.col("y.near")
-    for c in ("canonical_key", *parts):
-        same = same & (F.col(f"x.{c}") == F.col(f"y.{c}"))
+    owned = opportunities.join(owners, F.col("id") == F.col("opportunity_id")).drop("opportunity_id")
+    new, old = stored(ready(incoming, "source_id", "external_id")), stored(ready(owned, "id", "low", "high"))
     foreign = (F.col("y.low") != F.col("x.source_id")) | (F.col("y.high") != F.col("x.source_id"))
-    return new.join(old, same).where(foreign & dedup.confident("x", "y")).groupBy("x.source_id", "x.external_id").agg(F.min("y.id").alias("candidate"))
+    return dedup.matched(new, old).where(foreign).groupBy("x.source_id", "x.external_id").agg(F.min("y.id").alias("candidate"))
 
 
 def reconcile(listings: DataFrame, seen: DataFrame, reason: str = "missing") -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from vacancia.functions.profile import Profile
 from vacancia.operators import dedup, ingest, listings, predicates, runs, scoring, stats
+from vacancia.operators.lineage import stored
 
 TABLES = ("sources", "listings", "opportunities", "evaluations", "user_states", "runs", "deliveries")
 
@@ -46,11 +47,16 @@ class Engine:
     def count_jobs(self, work_mode: str = "remote", q: str | None = None, employment_type: str | None = None, min_salary: float | None = None, salary_currency: str = "USD") -> DataFrame:
         return self._jobs(work_mode, q, employment_type, min_salary, salary_currency).agg(F.count("*").alias("total"))
 
-    def matches(self, min_score: int = 55, max_score: int = 100, source: str | None = None, sort: str = "score", limit: int = 50, offset: int = 0) -> DataFrame:
+    def _matches(self, min_score: int, max_score: int, source: str | None) -> DataFrame:
         scored = self["evaluations"].where((F.col("rules_version") == self.profile.rules_version) & (F.col("profile_id") == self.profile.profile_id))
         scored = scored.where(predicates.score_between(min_score, max_score)).select("opportunity_id", "score")
-        rows = self._visible(source).join(scored, F.col("id") == F.col("opportunity_id")).drop("opportunity_id")
-        return listings.page_with_links(rows, sort, limit, offset, self["listings"], self["sources"], self.hosts, source)
+        return self._visible(source).join(scored, F.col("id") == F.col("opportunity_id")).drop("opportunity_id")
+
+    def matches(self, min_score: int = 55, max_score: int = 100, source: str | None = None, sort: str = "score", limit: int = 50, offset: int = 0) -> DataFrame:
+        return listings.page_with_links(self._matches(min_score, max_score, source), sort, limit, offset, self["listings"], self["sources"], self.hosts, source)
+
+    def count_matches(self, min_score: int = 55, max_score: int = 100, source: str | None = None) -> DataFrame:
+        return self._matches(min_score, max_score, source).agg(F.count("*").alias("total"))
 
     def sources(self) -> DataFrame:
         return runs.sources_report(self["sources"], self["runs"])
@@ -69,17 +75,17 @@ class Engine:
         return dedup.audit(self["opportunities"])
 
     def merges(self) -> DataFrame:
-        return dedup.greedy_merges(self["opportunities"].where("kind = 'employment'"), self["listings"])
+        return dedup.greedy_merges(self["opportunities"].where("kind = 'employment'"), self["listings"], self["sources"])
 
     def merge_duplicates(self) -> dict[str, DataFrame]:
-        """Opportunities, listings and user states after the merges; write them as a new snapshot."""
-        into = self.merges()
+        """Opportunities (survivors refreshed from their best listing), listings and user states after the merges; write them as a new snapshot."""
+        into = stored(self.merges())
         moved = self["listings"].join(into.select(F.col("id").alias("opportunity_id"), "into"), "opportunity_id", "left")
-        return {
-            "opportunities": self["opportunities"].join(into.select("id"), "id", "left_anti"),
-            "listings": moved.withColumn("opportunity_id", F.coalesce("into", "opportunity_id")).select(self["listings"].columns),
-            "user_states": dedup.merge_states(self["user_states"], into),
-        }
+        kept = moved.withColumn("opportunity_id", F.coalesce("into", "opportunity_id")).select(self["listings"].columns)
+        left = self["opportunities"].join(into.select("id"), "id", "left_anti")
+        grown = into.select(F.col("into").alias("id")).distinct()
+        refreshed = listings.refresh_canonical(left.join(grown, "id", "left_semi"), kept, self["sources"]).select(left.columns)
+        return {"opportunities": left.join(grown, "id", "left_anti").unionByName(refreshed), "listings": kept, "user_states": dedup.merge_states(self["user_states"], into)}
 
     def ingest(self, incoming: DataFrame) -> DataFrame:
         return ingest.outcomes(incoming, self["listings"], self["opportunities"])
