@@ -4,12 +4,13 @@ import datetime as dt
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from tests.conftest import rows
-from vacancia.operators import dedup
+from vacancia.operators import dedup, intake
 from vacancia.operators.lineage import components
 from vacancia.plans import QUERIES
-from vacancia.sources import splitting
+from vacancia.sources import splitting, static_source
 from vacancia.streaming import deliveries, limits
 
 FOLDER = "/root/testdata/sf0.001"
@@ -198,3 +199,85 @@ def test_components_of_ways_and_crowds(spark):
     found = dict(tuple(r) for r in components(spark.createDataFrame([*way, *crowd, (41, 42)], "a long, b long")).collect())
     assert found == {**{i: 100 for i in range(100, 161)}, **{i: 7 for i in range(7, 40)}, 41: 41, 42: 41}
     assert not rows(components(spark.createDataFrame([], "a long, b long")))
+
+
+LISTED = "source_id long, source_name string, external_id string, source_url string, title string, company string, work_mode string, kind string, salary_currency string"
+
+
+def listed(external_id="a", url="https://jobs.example/1", title="engineer", company="acme", work_mode="remote", kind="employment", currency=None, source=1):
+    return (source, f"s{source}", external_id, url, title, company, work_mode, kind, currency)
+
+
+@pytest.mark.parametrize(
+    ("row", "fault", "reason"),
+    [
+        (listed(), None, None), (listed(url="https://elsewhere.example/1"), "link", "Unexpected listing URL for s1."), (listed(url=None), "link", "Unexpected listing URL for s1."), (listed(url="http://jobs.example/1"), "link", "Unexpected listing URL for s1."),
+        (listed(url="http://any", source=2), None, None), (listed(external_id=None), "form", "external_id is missing"), (listed(external_id="x" * 256), "form", "external_id is too long"), (listed(title=None), "form", "title is too short"), (listed(title=""), "form", "title is too short"),
+        (listed(title="x" * 500), None, None), (listed(title="x" * 501), "form", "title is too long"), (listed(company=None), None, None), (listed(company="x" * 501), "form", "company is too long"), (listed(currency="us"), "form", "salary_currency is too short"), (listed(currency="usdt"), "form", "salary_currency is too long"),
+        (listed(work_mode=None), "form", "work_mode is unknown: null"), (listed(work_mode="api_key=abc123 x"), "form", "work_mode is unknown: api_key=[REDACTED] x"), (listed(kind="x" * 3000), "form", ("kind is unknown: " + "x" * 3000)[:2000]), (listed(url="x", title=""), "link", "Unexpected listing URL for s1."),
+    ],
+)
+def test_a_listing_is_judged(spark, row, fault, reason):
+    found = intake.judge(spark.createDataFrame([row], LISTED), {"s1": ("jobs.example",)}).first()
+    assert (found["fault"], found["reason"]) == (fault, reason)
+
+
+def run_of(spark, judged, outcomes, fetch, held, snapshots=()):
+    rows_ = intake.settled(judged, spark.createDataFrame(outcomes, "source_id long, external_id string, outcome string"))
+    held_df = spark.createDataFrame(held, "source_id long, external_id string, is_active boolean, archive_reason string")
+    snapshots_df = spark.createDataFrame(snapshots, "source_id long, external_id string")
+    state = intake.reconciled(intake.counters(rows_, spark.createDataFrame([fetch], intake.FETCH)), held_df, judged, snapshots_df)
+    return intake.finished(state, START), intake.archived(held_df, state, judged, snapshots_df, START)
+
+
+def fetched(**changes):
+    base = {"source_id": 1, "candidates": 0, "filtered": 0, "detail_failures": 0, "metadata_deferred": 0, "pages": 1, "limit_reached": False, "warnings": None, "terminal_error": None, "deactivates": True}
+    return tuple((base | changes).values())
+
+
+HELD = [(1, str(k), True, None) for k in range(10)]
+
+
+@pytest.mark.parametrize(
+    ("shown", "fetch", "snapshot", "status", "gone"),
+    [
+        (range(10), {}, (), "succeeded", 0), (range(2), {}, (), "succeeded", 8), (range(1), {}, (), "failed", 0), ((), {}, (), "failed", 0), (range(2), {"limit_reached": True}, (), "succeeded", 0), (range(2), {"detail_failures": 1}, (), "succeeded", 0), (range(2), {"warnings": ["slow"]}, (), "partial", 0),
+        (range(2), {"deactivates": False}, (), "succeeded", 0), (range(2), {"terminal_error": "Bearer abc"}, (), "failed", 0), (range(2), {"warnings": ["slow"]}, range(5), "partial", 5), (range(1), {}, range(1), "partial", 0), (range(3), {}, (" 7 ", ""), "succeeded", 6),
+    ],
+)
+def test_reconciliation_after_a_run(spark, shown, fetch, snapshot, status, gone):
+    judged = intake.judge(spark.createDataFrame([listed(str(k)) for k in shown], LISTED), {})
+    runs, after = run_of(spark, judged, [(1, str(k), "unchanged") for k in shown], fetched(**fetch), HELD, [(1, str(k)) for k in snapshot])
+    run = runs.first()
+    assert (run["status"], run["deactivated"], run["discovered"]) == (status, gone, len(shown))
+    left = after.where("not is_active")
+    assert left.count() == gone and {r["archive_reason"] for r in left.collect()} <= {"source_closed" if snapshot else "missing"}
+    if fetch.get("terminal_error"):
+        assert run["error_message"] == "Bearer [REDACTED]"
+
+
+def test_bad_listings_do_not_stop_a_run_and_observed_counts_agree(spark, tmp_path):
+    data = [listed(str(k)) for k in range(8)] + [listed("bad", title=""), listed("far", url="http://x"), listed("far", url="http://x"), listed("lost")]
+    judged = intake.judge(spark.createDataFrame(data, LISTED).repartition(3), {"s1": ("jobs.example",)})
+    outcomes = [(1, str(k), ("created", "updated", "unchanged", "duplicate")[k % 4]) for k in range(8)]
+    runs, _ = run_of(spark, judged, outcomes, fetched(candidates=99), [])
+    run = runs.first().asDict()
+    assert {k: run[k] for k in ("status", "discovered", "candidates", "created", "updated", "unchanged", "duplicate", "normalization_errors", "errors", "warning_count")} == {"status": "partial", "discovered": 12, "candidates": 99, "created": 2, "updated": 2, "unchanged": 2, "duplicate": 2, "normalization_errors": 1, "errors": 4, "warning_count": 1}
+    assert run["error_message"] == "Rejected 2 listing links outside allowed source domains."
+    out, seen = intake.observed(intake.settled(judged, spark.createDataFrame(outcomes, "source_id long, external_id string, outcome string")))
+    out.write.parquet(str(tmp_path / "rows"))
+    assert seen.get == {"discovered": 12, "rejected_links": 2, "normalization_errors": 1, "failed": 1, "created": 2, "updated": 2, "unchanged": 2, "duplicate": 2}
+    assert intake.quarantine(judged).count() == 3 and intake.accepted(judged).count() == 9 and "fault" not in intake.accepted(judged).columns
+
+
+def test_sources_after_their_runs(spark):
+    sources = spark.createDataFrame([(k, None, None, "old") for k in range(1, 5)], "id long, last_run_at timestamp, last_success_at timestamp, last_error string")
+    runs = spark.createDataFrame([(1, "succeeded", None), (2, "partial", "slow"), (3, "failed", None)], "source_id long, status string, error_message string")
+    assert rows(intake.source_states(sources, runs, START)) == [(1, START, START, None), (2, START, START, "slow"), (3, START, None, "Unknown error"), (4, None, None, "old")]
+
+
+def test_a_source_tells_its_metrics(spark, tmp_path):
+    source = static_source("mock", [(str(k), "u", "{}", None, True) for k in range(10)])
+    wanted, seen = source.fetch_observed(spark, F.col("external_id") < "4")
+    wanted.write.parquet(str(tmp_path / "rows"))
+    assert seen.get == {"candidates": 10, "filtered": 6} and spark.read.parquet(str(tmp_path / "rows")).count() == 4

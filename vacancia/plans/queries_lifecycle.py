@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from datetime import datetime
+
 from pyspark.sql import functions as F
 
+from vacancia.operators import intake
+from vacancia.plans.bindings import HOSTS
 from vacancia.plans.registry import query
 from vacancia.sources import splitting
 from vacancia.streaming import deliveries, limits
@@ -81,3 +85,75 @@ def l10_log_stream(t):
     t.spark.conf.set("spark.sql.streaming.stateStore.providerClass", deliveries.STORE)
     stream = t.spark.readStream.schema(t.raw("events").schema).option("pathGlobFilter", "events.parquet").parquet(t.dir)
     return _plain_log(limits.run_available(deliveries.delivery_log(_delivery_events(stream)), t.spark, limits.run_folder(t.spark, "deliveries")))
+
+
+NOW = datetime(2026, 1, 1)
+
+
+def _fetched(t):
+    """Listings as sources show them, whole runs of most sources: some links lead elsewhere, some fields have no valid form."""
+    n = F.col("quality_score")
+    rows = t.listings.groupBy("source_id", "external_id").agg(F.min(F.struct("id", "source_url", "quality_score", "is_active")).alias("l")).select("source_id", "external_id", "l.*")
+    return rows.where("source_id % 11 <> 5 and not (source_id % 4 = 1 and quality_score % 3 = 0)").select(
+        "source_id", F.concat(F.lit("site"), F.col("source_id").cast("string")).alias("source_name"), "external_id", "source_url", F.when(n % 41 == 0, "").when(n % 43 != 0, "engineer").alias("title"), F.when(n % 47 == 0, F.repeat(F.lit("x"), F.lit(501))).otherwise("acme").alias("company"),
+        F.when(n % 53 == 0, "us").when(n % 2 == 0, "usd").alias("salary_currency"), F.when(n % 59 == 0, "token=abc elsewhere").otherwise("remote").alias("work_mode"), F.lit("employment").alias("kind"), n.alias("n"),
+    )
+
+
+def _runs(t):
+    judged = intake.judge(_fetched(t), HOSTS)
+    outcome = F.when(F.col("n") % 61 == 0, None).when(F.col("n") % 5 == 0, "created").when(F.col("n") % 5 == 1, "updated").when(F.col("n") % 5 == 2, "duplicate").otherwise("unchanged")
+    rows = intake.settled(judged, intake.accepted(judged).select("source_id", "external_id", outcome.alias("outcome")))
+    k = F.col("id")
+    fetches = t.sources.select(
+        k.alias("source_id"), (k * 3).alias("candidates"), (k % 5).alias("filtered"), F.when(k % 13 == 0, 2).otherwise(0).cast("long").alias("detail_failures"), F.lit(0).cast("long").alias("metadata_deferred"), (k % 3).alias("pages"), (k % 17 == 0).alias("limit_reached"),
+        F.when(k % 9 == 0, F.array(F.lit("slow; token=secret"))).alias("warnings"), F.when(k % 10 == 0, "https://user:pass@host failed").alias("terminal_error"), F.lit(True).alias("deactivates"),
+    )
+    stored_listings = t.listings.groupBy("source_id", "external_id").agg(F.max("is_active").alias("is_active"), F.lit(None).cast("string").alias("archive_reason"))
+    snapshots = stored_listings.where("source_id % 6 = 2 and external_id like '%-1'").select("source_id", "external_id")
+    return judged, intake.reconciled(intake.counters(rows, fetches), stored_listings, judged, snapshots), stored_listings, snapshots
+
+
+SQL_RUNS = """WITH l AS (SELECT source_id, external_id, arg_min(source_url, (id, source_url, quality_score, is_active)) AS url, arg_min(quality_score, (id, source_url, quality_score, is_active)) AS n, bool_or(is_active) AS is_active FROM listings GROUP BY source_id, external_id),
+f AS (SELECT *, CASE WHEN source_id % 2 = 0 AND source_id < 60 AND NOT regexp_matches(url, concat('^(https|HTTPS)://(www\\.)?site', source_id, '\\.example(:443)?/')) THEN 'link' WHEN n % 41 = 0 OR n % 43 = 0 OR n % 47 = 0 OR n % 53 = 0 OR n % 59 = 0 THEN 'form' END AS fault FROM l WHERE source_id % 11 <> 5 AND NOT (source_id % 4 = 1 AND n % 3 = 0)),
+snap AS (SELECT source_id, external_id FROM l WHERE source_id % 6 = 2 AND external_id LIKE '%-1'), g AS (SELECT l.source_id, count(*) AS active, count(*) FILTER (f.source_id IS NULL AND snap.source_id IS NULL) AS missing FROM l LEFT JOIN f USING (source_id, external_id) LEFT JOIN snap USING (source_id, external_id) WHERE l.is_active GROUP BY l.source_id),
+c AS (SELECT source_id, count(*) AS discovered, count(*) FILTER (fault = 'link') AS links, count(*) FILTER (fault = 'form') AS forms, count(*) FILTER (fault IS NULL AND n % 61 = 0) AS failed, count(*) FILTER (fault IS NULL AND n % 61 <> 0 AND n % 5 = 0) AS created, count(*) FILTER (fault IS NULL AND n % 61 <> 0 AND n % 5 = 1) AS updated, count(*) FILTER (fault IS NULL AND n % 61 <> 0 AND n % 5 = 2) AS duplicate, count(*) FILTER (fault IS NULL AND n % 61 <> 0 AND n % 5 > 2) AS unchanged FROM f GROUP BY source_id),
+b AS (SELECT s.id AS source_id, coalesce(discovered, 0) AS discovered, coalesce(links, 0) AS links, coalesce(forms, 0) AS forms, coalesce(failed, 0) AS failed, coalesce(created, 0) AS created, coalesce(updated, 0) AS updated, coalesce(duplicate, 0) AS duplicate, coalesce(unchanged, 0) AS unchanged, coalesce(active, 0) AS active, coalesce(missing, 0) AS missing,
+s.id % 10 = 0 AS broke, s.id % 9 = 0 AS warned, EXISTS (SELECT 1 FROM snap WHERE snap.source_id = s.id) AS whole FROM sources s LEFT JOIN c ON c.source_id = s.id LEFT JOIN g ON g.source_id = s.id),
+e AS (SELECT *, links + forms + failed + warned::INT + broke::INT AS errors, missing > 0 AND (missing * 5 > active * 4 OR NOT (discovered > 0 OR whole)) AS blocked FROM b),
+m AS (SELECT *, CASE WHEN NOT broke THEN CASE WHEN whole THEN 'exact' WHEN errors = 0 AND source_id % 13 <> 0 AND source_id % 17 <> 0 THEN 'generic' END END AS mode, printf('Source inventory reconciliation was blocked: %d of %d active listings disappeared (%.1f%%).', missing, active, missing * 100.0 / active) AS told FROM e)"""
+
+
+@query(
+    "l1_source_runs",
+    SQL_RUNS
+    + """ SELECT source_id, CASE WHEN broke OR (blocked AND mode = 'generic') THEN 'failed' WHEN errors + (blocked AND mode IS NOT NULL)::INT > 0 THEN 'partial' ELSE 'succeeded' END AS status, discovered, greatest(source_id * 3, discovered) AS candidates, source_id % 5 AS filtered, CASE WHEN source_id % 13 = 0 THEN 2 ELSE 0 END AS detail_failures, 0 AS metadata_deferred, source_id % 3 AS pages, source_id % 17 = 0 AS limit_reached,
+created, updated, unchanged, duplicate, CASE WHEN mode IS NOT NULL AND NOT blocked THEN missing ELSE 0 END AS deactivated, forms AS normalization_errors, (links > 0)::INT + warned::INT + (blocked AND mode IS NOT DISTINCT FROM 'exact')::INT AS warning_count, errors + (blocked AND mode IS NOT NULL)::INT AS errors,
+nullif(CASE WHEN broke THEN 'https://user:[REDACTED]@host failed' WHEN blocked AND mode = 'generic' THEN told ELSE concat_ws('; ', CASE WHEN links > 0 THEN concat('Rejected ', links, ' listing links outside allowed source domains.') END, CASE WHEN warned THEN 'slow; token=secret' END, CASE WHEN blocked AND mode = 'exact' THEN told END) END, '') AS error_message FROM m""",
+)
+def l1(t):
+    return intake.finished(_runs(t)[1], NOW).drop("finished_at")
+
+
+@query(
+    "l1_quarantine",
+    "WITH l AS (SELECT source_id, external_id, arg_min(source_url, (id, source_url, quality_score, is_active)) AS url, arg_min(quality_score, (id, source_url, quality_score, is_active)) AS n FROM listings GROUP BY source_id, external_id), "
+    "f AS (SELECT *, source_id % 2 = 0 AND source_id < 60 AND NOT regexp_matches(url, concat('^(https|HTTPS)://(www\\.)?site', source_id, '\\.example(:443)?/')) AS link FROM l WHERE source_id % 11 <> 5 AND NOT (source_id % 4 = 1 AND n % 3 = 0)) "
+    "SELECT * FROM (SELECT source_id, external_id, CASE WHEN link THEN 'link' ELSE 'form' END AS fault, CASE WHEN link THEN concat('Unexpected listing URL for site', source_id, '.') WHEN n % 41 = 0 OR n % 43 = 0 THEN 'title is too short' WHEN n % 47 = 0 THEN 'company is too long' WHEN n % 53 = 0 THEN 'salary_currency is too short' WHEN n % 59 = 0 THEN 'work_mode is unknown: token=abc elsewhere' END AS reason FROM f) AS x WHERE reason IS NOT NULL",
+)
+def l1_quarantine(t):
+    return intake.quarantine(intake.judge(_fetched(t), HOSTS)).select("source_id", "external_id", "fault", "reason")
+
+
+@query("l3_archived_after_runs", SQL_RUNS + """ SELECT l.source_id, l.external_id, CASE WHEN f.source_id IS NOT NULL THEN true WHEN l.is_active AND mode IS NOT NULL AND NOT blocked AND snap.source_id IS NULL THEN false ELSE l.is_active END AS is_active, CASE WHEN f.source_id IS NULL AND l.is_active AND mode IS NOT NULL AND NOT blocked AND snap.source_id IS NULL THEN CASE WHEN mode = 'exact' THEN 'source_closed' ELSE 'missing' END END AS archive_reason
+FROM l LEFT JOIN m ON m.source_id = l.source_id LEFT JOIN f ON f.source_id = l.source_id AND f.external_id = l.external_id LEFT JOIN snap ON snap.source_id = l.source_id AND snap.external_id = l.external_id""")
+def l3_archived(t):
+    judged, state, held, snapshots = _runs(t)
+    return intake.archived(held, state, judged, snapshots, NOW)
+
+
+@query("k4_source_states", SQL_RUNS + """ SELECT source_id AS id, CASE WHEN broke THEN 'https://user:[REDACTED]@host failed' WHEN blocked AND mode = 'generic' THEN told ELSE nullif(concat_ws('; ', CASE WHEN links > 0 THEN concat('Rejected ', links, ' listing links outside allowed source domains.') END, CASE WHEN warned THEN 'slow; token=secret' END, CASE WHEN blocked AND mode = 'exact' THEN told END), '') END AS last_error, NOT (broke OR (blocked AND coalesce(mode = 'generic', false))) AS succeeded FROM m""")
+def k4(t):
+    sources = t.sources.select("id", F.lit(None).cast("timestamp").alias("last_run_at"), F.lit(None).cast("timestamp").alias("last_success_at"), "last_error")
+    after = intake.source_states(sources, intake.finished(_runs(t)[1], NOW), NOW)
+    return after.select("id", "last_error", F.col("last_success_at").isNotNull().alias("succeeded"))
