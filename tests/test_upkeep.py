@@ -46,6 +46,18 @@ def test_nested_values():
     assert markup.hide(value)["auth"] == {"Password": "[REDACTED]", "n": 1}
 
 
+def test_secrets_in_texts_are_hidden():
+    assert markup.hide({"note": "token=abc Authorization: Bearer XYZ"}) == {"note": "token=abc Authorization: [REDACTED] [REDACTED]"}
+    assert markup.hide(["https://u:p@h/?token=1", {"a": ["api_key: k, x"]}, 5, None]) == ["https://u:[REDACTED]@h/?token=[REDACTED]", {"a": ["api_key: [REDACTED], x"]}, 5, None]
+    assert markup.hide("123456:" + "a" * 20) == "[REDACTED]" and markup.hide({"Bot-Token": {"x": 1}}) == {"Bot-Token": "[REDACTED]"}
+
+
+def test_nested_lists_and_names_keep_their_order():
+    value = [["a", {"slug": "s", "name": "n", "title": {"name": "deep"}}], "b", [["c"]], {"label": ["no"]}, 7]
+    assert markup.strings(value) == ["a", "n", "s", "b", "c"] and markup.strings("x") == ["x"] and markup.strings({"title": "t", "name": "n"}) == ["n", "t"] and markup.strings(None) == []
+    assert markup.links({"links": [{"href": "https://a"}, ["https://b"]], "apply_to": {"x": ["http://c"]}, "url": 1}) == ["https://b"]
+
+
 def test_explanations_and_messages(spark):
     df = spark.createDataFrame([("unpaid", "a<b", 40), ("language_german", None, 60), (None, "c", 10)], "code string, company string, score int")
     said = [r[0] for r in df.select(messages.explain(F.col("code"))).collect()]

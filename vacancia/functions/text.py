@@ -20,7 +20,7 @@ SECRETS = (
     (r"(?i)([?&](?:api[_-]?key|access[_-]?token|oauth[_-]?token|token|password|secret)=)([^&\s]+)", rf"$1{REDACTED}"),
     (r"(?i)(Bearer\s+)([A-Za-z0-9._~+/=-]+)", rf"$1{REDACTED}"),
     (r"(?i)((?:authorization|api[_-]?key|access[_-]?token|oauth[_-]?token|bot[_-]?token|password|passwd|secret)\s*[=:]\s*)([^\s,;]+)", rf"$1{REDACTED}"),
-    (r"(?<!\d)(\d{6,12}):([A-Za-z0-9_-]{20,})(?![A-Za-z0-9_])", REDACTED),
+    (r"(?<!\d)(\d{6,12}):([A-Za-z0-9_-]{20,})(?!\w)", REDACTED),
 )
 
 

@@ -125,9 +125,19 @@ def f40(t):
     return t.raw("part").select("p_partkey", F.array_join(markup.application_urls(nested), "|").alias("urls"))
 
 
-@query("r16_redact_json", "SELECT event_id, concat('{\"api_key\": \"[REDACTED]\", \"n\": {\"Password\": \"[REDACTED]\", \"v\": ', event_id, '}}') AS props FROM events")
+@query(
+    "r16_redact_json",
+    """SELECT event_id, concat('{"api_key": "[REDACTED]", "n": {"Password": "[REDACTED]", "v": ', event_id, ', "note": "', CASE event_id % 5 WHEN 0 THEN concat('https://u:[REDACTED]@host/', event_id) WHEN 1 THEN 'https://h/?a=1&token=[REDACTED]&b=2' WHEN 2 THEN 'Authorization: [REDACTED] [REDACTED] end'
+WHEN 3 THEN concat('[REDACTED] of ', event_type) ELSE event_type END, '"}, "list": ["plain", "password=[REDACTED], kept"]}') AS props FROM events""",
+)
 def r16(t):
-    nested = F.to_json(F.struct(F.lit("x").alias("api_key"), F.struct(F.lit("y").alias("Password"), F.col("event_id").alias("v")).alias("n")))
+    """Secrets under keys, and within texts: URLs, query parameters, headers and bot tokens."""
+    n = F.col("event_id").cast("string")
+    note = (
+        F.when(F.col("event_id") % 5 == 0, F.concat(F.lit("https://u:pw"), n, F.lit("@host/"), n)).when(F.col("event_id") % 5 == 1, F.concat(F.lit("https://h/?a=1&token=t"), n, F.lit("&b=2")))
+        .when(F.col("event_id") % 5 == 2, F.concat(F.lit("Authorization: Bearer x"), n, F.lit(" end"))).when(F.col("event_id") % 5 == 3, F.concat(F.lit("1234567:abcdefghijklmnopqrstu"), n, F.lit(" of "), "event_type")).otherwise(F.col("event_type"))
+    )
+    nested = F.to_json(F.struct(F.lit("x").alias("api_key"), F.struct(F.lit("y").alias("Password"), F.col("event_id").alias("v"), note.alias("note")).alias("n"), F.array(F.lit("plain"), F.concat(F.lit("password=p"), n, F.lit(", kept"))).alias("list")))
     return t.raw("events").select("event_id", markup.redact_json(nested).alias("props"))
 
 
