@@ -622,6 +622,63 @@ def test_layout_classes_are_no_furniture(html, want):
     assert extract.main_text(html) == want
 
 
+LONG = "A paragraph of the article that goes on for long enough to be one. " * 3
+
+
+@pytest.mark.parametrize(
+    "html",
+    [
+        "<div class='content'><p>{}</p></div><section class='comments'><article><p>{c}</p></article><article><p>{c}</p></article></section>",
+        "<article><p>{}</p></article><section class='comments'><p>{c}</p><p>{c}</p><p>{c}</p></section>",
+        "<article><p>{}</p><div class='comment-thread'><p>{c}</p></div></article>",
+        "<article><p>{}</p><article class='comment'><p>{c}</p></article></article>",
+        "<article class='post comments-open'><p>{}</p></article><ol class=commentlist><li class='comment odd'><p>{c}</p></ol>",
+        "<article><p>{}</p><ul><li class=comment><p>{c}</p><li class=comment>{c}</ul></article>",
+        "<article><p>{}<span class='ad'>{c}</span></p><p class=advert>{c}</p><div id='newsletter-form'>{c}</div></article>",
+        "<main class=comments><p>{}</p></main><div class='modal overlay'><article>{c}</article></div>",
+        "<body class='has-comments'><div><p class=ad>{c}<p>{}</div>",
+        "<div id=post-comments-section><article>{c}</article></div><div><h2></h2><p>{}</p></div>",
+    ],
+)
+def test_comments_and_inserts_go_at_any_size_and_on_any_element(html):
+    assert extract.main_text(html.format(LONG, c="What a reader said about it at some length, too. " * 20)) == LONG.strip()
+
+
+def test_text_beside_articles_stays():
+    assert extract.main_text(f"<article><p>{LONG}</p></article><div><p>Beside. {LONG}</p></div>") == f"{LONG}\n\nBeside. {LONG}".replace(" \n", "\n").strip()
+
+
+def test_pages_made_of_known_parts():
+    """Pages are put together from parts; what should come out is known from how."""
+    r = random.Random(8)
+    for _ in range(300):
+        words = lambda n: " ".join(r.choices("alpha beta gamma delta rho tau".split(), k=n))
+        furniture = [
+            lambda: f"<nav><ul><li><a href=x>{words(3)}</a></ul></nav>", lambda: f"<div class='{r.choice(['ad', 'ad-slot', 'cookie-notice', 'comments', 'comment-list', 'promo', 'login-form'])}'><p>{words(60)}</p><p>{words(9)}</p></div>",
+            lambda: f"<form><p>{words(20)}</p><input></form>", lambda: f"<script>{words(9)}<p></script>", lambda: f"<aside><p>{words(40)}</p></aside>", lambda: f"<p class=ad>{words(30)}</p>", lambda: f"<section id=comments><article><p>{words(50)}</p></article></section>", lambda: f"<div role=alert>{words(8)}</div>",
+        ]
+        want, body = [], []
+        for _ in range(r.randint(1, 8)):
+            text = words(r.randint(25, 90))
+            want.append(text)
+            body.append(f"<p>{text.replace(' ', r.choice([' ', '  ', chr(10)]))}</p>")
+            if r.random() < 0.4:
+                body.append(r.choice(furniture)())
+        outer = r.choice(["article", "main", "div class=content", "div"])
+        page = f"<html><body>{r.choice(furniture)()}<{outer}>{''.join(body)}</{outer.split()[0]}>{r.choice(furniture)()}<footer><p>{words(30)}</p></footer>"
+        assert extract.main_text(page) == "\n\n".join(want)
+
+
+def test_long_and_repeated_pages(spark):
+    text = [f"Paragraph {i} of a very long page, with words enough in it." for i in range(80_000)]
+    page = "<article>" + "".join(f"<p>{x}" for x in text) + "</article>"
+    assert len(page) > 5_000_000
+    df = spark.createDataFrame([(1, "u", page), (2, "v", "<p>short page of one line"), (1, "u", page), (None, None, None)], "page_id long, url string, html string")
+    found = extract.extract(df).collect()
+    assert [(r["page_id"], r["n_chars"]) for r in found] == [(1, len("\n\n".join(text))), (2, 22), (1, len("\n\n".join(text))), (None, 0)]
+    assert found[0]["text"] == found[2]["text"] == "\n\n".join(text)
+
+
 def test_short_messages_are_linked(spark):
     chinese = "我们明天一起去看电影"
     data = [
