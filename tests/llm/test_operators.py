@@ -688,3 +688,31 @@ def test_short_messages_are_linked(spark):
     df = spark.createDataFrame(data, "conv_id long, turn long, role string, text string")
     found = {(x["conv_id"], x["turn"]): x["reply_to"] for x in quotes.conversations(df).collect()}
     assert found == {(1, 0): None, (1, 1): 0, (1, 2): 1, (2, 0): None, (2, 1): 0, (3, 0): None, (3, 1): 0, (4, 0): None, (4, 1): 0}
+
+
+def test_the_filter_of_wanted_keys_loses_none(spark, monkeypatch):
+    rows_ = spark.range(20_000).select("id", F.xxhash64("id").alias("h"))
+    wanted = rows_.where("id % 50 = 3")
+    for bits, most in ((1 << 23, 450), (1 << 10, 20_000)):
+        monkeypatch.setattr(nearcopies, "FILTER_BITS", bits)
+        found = {r["id"] for r in nearcopies.maybe_among(rows_, F.col("h"), wanted, F.col("h")).collect()}
+        assert {r["id"] for r in wanted.collect()} <= found and len(found) <= most
+    assert nearcopies.maybe_among(rows_, F.col("h"), wanted.where("false"), F.col("h")).count() == 0
+
+
+@pytest.mark.parametrize("block", [16_384, 40])
+def test_near_copies_of_crowds_equal_brute_force(spark, monkeypatch, block):
+    """Families of texts around the threshold, so that buckets hold several components and are dealt in parts."""
+    monkeypatch.setattr(nearcopies, "BLOCK_ROWS", block)
+    r = random.Random(12)
+    data = []
+    for family in range(4):
+        base = [f"w{r.randrange(3000)}" for _ in range(150)]
+        for _ in range(45):
+            words = list(base)
+            for _ in range(r.choice([0, 1, 2, 3, 4, 6])):
+                words[r.randrange(150)] = f"x{r.randrange(9999)}"
+            data.append((len(data), " ".join(words)))
+    r.shuffle(data)
+    df = spark.createDataFrame(data, "doc_id long, text string").repartition(3)
+    assert sorted(x["doc_id"] for x in nearcopies.keep_one_of_each(df).collect()) == nearcopies.brute_force(data)

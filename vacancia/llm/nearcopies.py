@@ -7,7 +7,8 @@ rarely. Every link, of either kind, is verified on the two whole shingle sets, s
 A bucket whose texts are of one component already needs no further pairs, so crowds of near copies are first joined by SimHash and by
 a star of each bucket; then all pairs of different components of a bucket are compared, none left out, each in the first band that
 it shares: by the minhashes' bytes, of which a pair at 0.8 agrees on fewer than LEAST_EQUAL in 1 of 10^8 cases, and those
-that agree on more by their sets. Sets are made of the texts that get so far, and of no others.
+that agree on more by their sets. First only minhashes go to the buckets; the rows that have a like one there come again with their sets, so sets are made of
+these texts and of no others, and pairs are never listed before they are compared. Texts pass a bitmap of the wanted ones before they are shuffled.
 
 Defined results: of each component the smallest doc_id stays, whole rows of it once; rows that share an id but
 hold different texts are texts of their own; texts without words, null ones too, are copies of one another; fewer than five words
@@ -22,7 +23,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vacancia.llm.common import checkpoint, connected_components, map_arrow, map_groups, texts
@@ -32,6 +33,8 @@ SHINGLE_WORDS = 5
 BANDS, BAND_ROWS = 32, 4
 LEAST_EQUAL = 74  # of 128 bytes
 BLOCK_ROWS = 16_384
+#: Bits of the filter through which texts go before they are joined with those that are wanted: a megabyte.
+FILTER_BITS = 1 << 23
 #: Shingles of a part of a bucket that is dealt out.
 MOST_HELD = 4_000_000
 
@@ -80,10 +83,21 @@ def signatures(docs: DataFrame) -> DataFrame:
     return map_arrow(docs.select("doc_id", F.xxhash64("text").alias("own"), "text"), make, "doc_id long, own long, key long, n int, fp long, buckets array<long>, minhashes binary")
 
 
+def maybe_among(rows: DataFrame, key: Column, wanted: DataFrame, wanted_key: Column) -> DataFrame:
+    """The rows whose key (a hash) is among the wanted ones, and few others while these are few beside FILTER_BITS: a bitmap of that many bits is all that is broadcast."""
+    place = lambda k: F.pmod(k, F.lit(FILTER_BITS)) + 1
+    held = wanted.select(place(wanted_key).alias("place")).groupBy(F.bitmap_bucket_number("place").alias("of bits")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("place")).alias("bits"))
+    at = F.bitmap_bit_position(place(key))
+    byte = F.conv(F.hex(F.substring("bits", (F.floor(at / 8) + 1).cast("int"), 1)), 16, 10).cast("int")
+    joined = rows.join(F.broadcast(held), F.bitmap_bucket_number(place(key)) == F.col("of bits"))
+    return joined.where(F.floor(byte / F.pow(F.lit(2), at % 8)).cast("int") % 2 == 1).drop("of bits", "bits")
+
+
 def shingle_sets(wanted: DataFrame, sets: DataFrame, named: DataFrame) -> DataFrame:
     """(key, shingles) of the wanted keys, from one text of each."""
     at = sets.join(wanted, "key", "left_semi").select("key", F.col("first.doc_id").alias("doc_id"), F.col("first.own").alias("own"))
-    held = named.join(at, ["doc_id", "own"]).dropDuplicates(["doc_id", "own"]).select("key", "text")
+    own = F.xxhash64("doc_id", "own")
+    held = maybe_among(named, own, at, own).join(at, ["doc_id", "own"]).dropDuplicates(["doc_id", "own"]).select("key", "text")
     return map_arrow(held, lambda: lambda batch: [batch.column(0), [shingles(t).tobytes() for t in texts(batch.column(1))]], "key long, shingles binary")
 
 
@@ -116,29 +130,50 @@ def linked(rows: DataFrame, sets: DataFrame, named: DataFrame) -> DataFrame:
     # a part meets itself and each other part: (i, i) and (i, j), i < j
     dealt = dealt.select("key", "n", "of", "band", "bucket", "part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
     dealt = dealt.withColumn("low", F.least("part", "other")).withColumn("high", F.greatest("part", "other")).drop("other")
-    whole = shingle_sets(rows.select("key").distinct(), sets, named).join(sets.select("key", "minhashes", "buckets"), "key")
-    dealt = dealt.join(whole, "key")
+    groups = ["bucket", "low", "high"]
 
-    def compare(group: dict[str, np.ndarray]) -> tuple[np.ndarray, ...] | None:
+    def opened(group: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, bool]:
+        """Rows in order of size, their keys, components and minhashes, whether they are of one part; and where each row's others of a size that allows 0.8 end."""
         order = np.argsort(group["n"], kind="stable")
-        key, n, at = (group[c][order] for c in ("key", "n", "part"))
         of = np.unique(group["of"][order], return_inverse=True)[1]
-        bytes_ = np.frombuffer(b"".join(group["minhashes"][order]), np.uint8).reshape(len(key), -1)
-        bands = np.stack(group["buckets"][order])
+        minhashes = np.frombuffer(b"".join(group["minhashes"][order]), np.uint8).reshape(len(order), -1)
+        n = group["n"][order]
+        return order, of, minhashes, np.searchsorted(n, n * 5 // 4, "right"), group["low"][0] == group["high"][0]
+
+    def others(i: int, stop: int, of: np.ndarray, minhashes: np.ndarray, part: np.ndarray, within: bool) -> np.ndarray:
+        """Later rows of other components, and of the other part, whose minhashes' bytes are like those of row i."""
+        j = i + 1 + np.flatnonzero((of[i + 1 : stop] != of[i]) & (within | (part[i + 1 : stop] != part[i])))
+        return j[np.count_nonzero(minhashes[j] == minhashes[i], axis=1) >= LEAST_EQUAL]
+
+    def likely(group: dict[str, np.ndarray]) -> tuple[np.ndarray, ...] | None:
+        """The rows with a like one in the group that they haven't shared an earlier band with."""
+        order, of, minhashes, stops, within = opened(group)
+        part, bands, band = group["part"][order], np.stack(group["buckets"][order]), int(group["band"][0])
+        found = np.zeros(len(order), bool)
+        for i in range(len(order) - 1):
+            j = others(i, stops[i], of, minhashes, part, within)
+            j = j[~(bands[j, :band] == bands[i, :band]).any(1)]
+            found[j] = True
+            found[i] |= len(j) > 0
+        kept = order[found]
+        return tuple(group[c][kept] for c in ("key", "n", "of", "part", *groups)) if len(kept) else None
+
+    def compare(group: dict[str, np.ndarray]) -> tuple[np.ndarray, ...] | None:
+        order, of, minhashes, stops, within = opened(group)
+        key, part = group["key"][order], group["part"][order]
         found = [np.frombuffer(x, np.uint64) for x in group["shingles"][order]]
-        within, band = group["low"][0] == group["high"][0], int(group["band"][0])
         edges = []
         for i in range(len(key) - 1):
-            stop = np.searchsorted(n, n[i] * 5 // 4, "right")  # sizes that allow 0.8
-            j = i + 1 + np.flatnonzero((of[i + 1 : stop] != of[i]) & (within | (at[i + 1 : stop] != at[i])))
-            j = j[np.count_nonzero(bytes_[j] == bytes_[i], axis=1) >= LEAST_EQUAL]
-            for other in j[~(bands[j, :band] == bands[i, :band]).any(1)].tolist():
+            for other in others(i, stops[i], of, minhashes, part, within).tolist():
                 if of[other] != of[i] and near(found[i], found[other]):
                     edges.append((key[i], key[other]))
                     of[of == of[other]] = of[i]
         return tuple(np.array(edges, np.int64).T) if edges else None
 
-    return map_groups(dealt, ["bucket", "low", "high"], compare, "a long, b long").distinct()
+    sketches = sets.select("key", "minhashes")
+    open_ = checkpoint(map_groups(dealt.join(sets.select("key", "minhashes", "buckets"), "key"), groups, likely, "key long, n int, of long, part int, bucket long, low int, high int"))
+    whole = shingle_sets(open_.select("key").distinct(), sets, named)
+    return map_groups(open_.join(sketches, "key").join(whole, "key"), groups, compare, "a long, b long").distinct()
 
 
 def simhash_pairs(sets: DataFrame) -> DataFrame:
