@@ -716,3 +716,17 @@ def test_near_copies_of_crowds_equal_brute_force(spark, monkeypatch, block):
     r.shuffle(data)
     df = spark.createDataFrame(data, "doc_id long, text string").repartition(3)
     assert sorted(x["doc_id"] for x in nearcopies.keep_one_of_each(df).collect()) == nearcopies.brute_force(data)
+
+
+def test_a_worker_keeps_what_its_operator_uses_alone():
+    from vacancia.llm import common
+
+    common.drop_unused()
+    first = common.per_worker("a", lambda: ["a"])
+    common.drop_unused()
+    assert common.per_worker("a", list) is first
+    common.drop_unused()
+    common.per_worker("b", list)
+    common.drop_unused()
+    assert common.per_worker("a", list) is not first
+    assert bpe.held_bytes(list(range(1000, 2000))) > 1000 * 36

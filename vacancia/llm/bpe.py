@@ -22,19 +22,21 @@ import json
 import re
 import sys
 import unicodedata
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from vacancia.llm.common import map_arrow, texts
+from vacancia.llm.common import map_arrow, per_worker, texts
 
 # Fixed values of the tokenizer's published pattern and of Unicode's White_Space property.
 CONTRACTIONS = ("'s", "'t", "'re", "'ve", "'m", "'ll", "'d")
 WHITE_SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: Bytes of keys and values that a generation of a worker's caches of chunks and of pieces may hold.
-CHUNK_BYTES, PIECE_BYTES = 80 << 20, 32 << 20
+CHUNK_BYTES, PIECE_BYTES = 80 << 20, 40 << 20
+#: Of an integer in a list.
+INTEGER_BYTES = 32
 
 #: Characters of texts whose new chunks are encoded together.
 GROUP_CHARACTERS = 1 << 21
@@ -310,7 +312,9 @@ class SegmentTreeBpe:
 def held_bytes(value: object) -> int:
     """What a value of a cache takes: a text, bytes, a list of integers, or a tuple of such."""
     size = sys.getsizeof(value)
-    return size + sum(map(held_bytes, value)) if isinstance(value, tuple) else size
+    if isinstance(value, tuple):
+        return size + sum(map(held_bytes, value))
+    return size + INTEGER_BYTES * len(value) if isinstance(value, list) else size
 
 
 class Cache:
@@ -340,17 +344,6 @@ class Cache:
         self._young[key] = value
 
 
-_encoders: dict[int, object] = {}
-
-
-def per_worker(key: str, make: Callable[[], object]) -> object:
-    """One object for all tasks of a Python worker."""
-    k = hash(key)
-    if k not in _encoders:
-        _encoders[k] = make()
-    return _encoders[k]
-
-
 def groups_of(many: Iterator[str], characters: int) -> Iterator[list[str]]:
     """Texts in order, in groups of so many characters and one text's more."""
     group, size = [], 0

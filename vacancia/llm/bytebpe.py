@@ -29,8 +29,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vacancia.llm.bpe import Cache, groups_of, per_worker
-from vacancia.llm.common import texts
+from vacancia.llm.bpe import Cache, groups_of
+from vacancia.llm.common import drop_unused, per_worker, texts
 
 #: Characters of a segment of a long text, and of segments whose new pieces are encoded together.
 SEGMENT_CHARACTERS, GROUP_CHARACTERS = 1 << 20, 1 << 21
@@ -226,6 +226,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, id_column: str = "doc
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe, cache = per_worker("byte level" + pattern + str(hash(content.value)), lambda: (MatrixBpe(content.value, pattern, exceptions), Cache()))
+        drop_unused()
 
         def entries(wanted: set[str]) -> dict[str, tuple[bytes, bytes]]:
             """(ids, decoded bytes) of each piece."""

@@ -28,12 +28,33 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+_kept: dict[int, object] = {}
+_used: set[int] = set()
+
+
+def per_worker(key: str, make: Callable[[], object]) -> object:
+    """One object for all tasks of a Python worker, as long as these are of one operator."""
+    k = hash(key)
+    _used.add(k)
+    if k not in _kept:
+        _kept[k] = make()
+    return _kept[k]
+
+
+def drop_unused() -> None:
+    """Lets go of what the task that begins doesn't use: workers outlive stages, and caches of one would lie beside those of the next."""
+    for k in set(_kept) - _used:
+        del _kept[k]
+    _used.clear()
+
+
 def map_arrow(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], list[pa.Array] | None]], schema: str) -> DataFrame:
     """Maps record batches to columns of ``schema``; ``make`` runs once per task and returns the function for a batch."""
     fields = to_arrow_schema(StructType.fromDDL(schema))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         step = make()
+        drop_unused()
         for batch in batches:
             columns = step(batch)
             if columns is not None:
@@ -53,6 +74,7 @@ def filter_rows(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], lis
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keep = make()
+        drop_unused()
         for batch in batches:
             yield batch.filter(pa.array(keep(batch), pa.bool_()))
 
@@ -69,6 +91,7 @@ def map_groups(df: DataFrame, keys: list[str], step: Callable[[dict[str, np.ndar
     names = df.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        drop_unused()
         held: list[list[np.ndarray]] = []  # what is seen of the last group
 
         def whole(parts: list[list[np.ndarray]]) -> list[np.ndarray]:

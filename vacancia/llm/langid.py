@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vacancia.llm.common import bounded_sample, filter_rows, map_arrow, texts
+from vacancia.llm.common import bounded_sample, drop_unused, filter_rows, map_arrow, texts
 
 FEATURES = 1 << 15
 SAMPLE_PER_LANGUAGE = 800
@@ -158,6 +158,7 @@ def document_frequencies(docs: DataFrame) -> tuple[np.ndarray, int]:
     """How many texts hold each feature, and how many texts there are: each task adds its own up before they are dealt out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        drop_unused()
         total = np.zeros(FEATURES + 1, np.int64)
         for batch in batches:
             for text in texts(batch.column(0)):

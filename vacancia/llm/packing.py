@@ -30,8 +30,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from vacancia.llm.bpe import CHUNK_BYTES, GROUP_CHARACTERS, Cache, SegmentTreeBpe, byte_symbols, chunks, groups_of, per_worker
-from vacancia.llm.common import checkpoint, texts
+from vacancia.llm.bpe import CHUNK_BYTES, GROUP_CHARACTERS, Cache, SegmentTreeBpe, byte_symbols, chunks, groups_of
+from vacancia.llm.common import checkpoint, drop_unused, per_worker, texts
 
 SEQUENCE_TOKENS = 4096
 OPEN_WINDOWS = 32
@@ -190,6 +190,7 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = SEQUENC
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids = per_worker("pack" + content.value, lambda: chunk_ids(content.value, end))
+        drop_unused()
         partition = TaskContext.get().partitionId()
         packer = Packer(capacity, open_windows)
 
