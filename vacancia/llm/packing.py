@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from vacancia.llm.bpe import CHUNK_BYTES, GROUP_CHARACTERS, Cache, SegmentTreeBpe, byte_symbols, chunks, groups_of
+from vacancia.llm.bpe import GROUP_CHARACTERS, Cache, SegmentTreeBpe, byte_symbols, chunks, groups_of
 from vacancia.llm.common import checkpoint, drop_unused, per_worker, texts
 
 SEQUENCE_TOKENS = 4096
@@ -45,6 +45,10 @@ OUT = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, se
 
 
 @dataclass
+#: Of chunks and their ids that a generation of a worker's cache may hold.
+CACHE_BYTES = 32 << 20
+
+
 class Piece:
     doc_id: int | None
     start: int
@@ -160,7 +164,7 @@ def chunk_ids(content: str, end: bytes) -> Callable[[list[str]], list[bytes]]:
 
     bpe, model = SegmentTreeBpe(content), Tokenizer.from_str(content).model
     printable = str.maketrans(dict(enumerate(byte_symbols())))
-    cache = Cache(CHUNK_BYTES)
+    cache = Cache(CACHE_BYTES)
 
     def entry(chunk: str) -> bytes:
         """The library's model on the normalised pieces of a chunk; a special token's text by the whole encoder."""
