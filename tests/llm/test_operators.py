@@ -113,6 +113,21 @@ def test_cache_is_bounded_in_bytes():
     assert not cache.look({"x" * 9000})
 
 
+@pytest.mark.parametrize("kind", [lambda s: s.encode(), lambda s: (1, s, s * 2), lambda s: [1000] * len(s)])
+def test_many_entries_are_bounded_like_single_ones(kind):
+    cache = bpe.Cache(30_000)
+    for i in range(0, 3000, 30):
+        new = {str(k): kind(str(k)) for k in range(i, i + 30)}
+        cache.put_many(new)
+        assert cache.look({*new, "-"}) == new
+    held = {**cache._older, **cache._young}
+    assert sum(bpe.sys.getsizeof(k) + bpe.held_bytes(v) for k, v in held.items()) < 60_000 and len(held) > 60
+    cache.put_many({"x" * 9000: kind("x" * 9000), "y": kind("y")})
+    assert set(cache.look({"x" * 9000, "y"})) == {"y"}
+    cache.put_many({str(k): kind(str(k)) for k in range(10_000, 12_000)})
+    assert cache._used <= 30_000
+
+
 def check_packing(found, table, library, capacity):
     want = {}
     for row in table:

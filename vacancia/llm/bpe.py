@@ -23,6 +23,7 @@ import re
 import sys
 import unicodedata
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -37,6 +38,8 @@ WHITE_SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 CHUNK_BYTES, PIECE_BYTES = 80 << 20, 40 << 20
 #: Of an integer in a list.
 INTEGER_BYTES = 32
+#: That a value takes at most for a character of its key.
+MOST_BYTES_A_CHARACTER = 256
 
 #: Characters of texts whose new chunks are encoded together.
 GROUP_CHARACTERS = 1 << 21
@@ -290,9 +293,9 @@ class SegmentTreeBpe:
         inner, last = self._inner, self._last
         raw = [piece.encode() for piece in fresh]
         merged = self.merge_many([[*map(inner.__getitem__, r[:-1]), last[r[-1]]] for r in raw])
-        for piece, ids in zip(fresh, merged):
-            found[piece] = ids
-            self._by_piece.put(piece, ids)
+        new = dict(zip(fresh, merged))
+        self._by_piece.put_many(new)
+        found |= new
         return [[i for piece in pieces for i in found[piece]] for pieces in split]
 
     def _split(self, text: str) -> list[str]:
@@ -317,6 +320,14 @@ def held_bytes(value: object) -> int:
     return size + INTEGER_BYTES * len(value) if isinstance(value, list) else size
 
 
+def held_bytes_of(values: list) -> int:
+    """held_bytes() of all values, which are of one kind and hold nothing that holds more."""
+    size = sum(map(sys.getsizeof, values))
+    if isinstance(values[0], tuple):
+        return size + sum(map(sys.getsizeof, chain.from_iterable(values)))
+    return size + INTEGER_BYTES * sum(map(len, values)) if isinstance(values[0], list) else size
+
+
 class Cache:
     """Values by text in two generations of at most ``most_bytes`` each: the older one goes when the younger is full. What alone takes an eighth is not kept."""
 
@@ -329,11 +340,25 @@ class Cache:
         """What is held of the wanted keys."""
         young, older = self._young, self._older
         found = {k: young[k] for k in wanted.intersection(young)}
-        for k in wanted.intersection(older).difference(found):
-            found[k] = older[k]
-            self.put(k, older[k])
+        if again := {k: older[k] for k in wanted.intersection(older).difference(found)}:
+            found |= again
+            self.put_many(again)
         return found
 
+    def put_many(self, entries: dict[str, object]) -> None:
+        """put() of values of one kind, sized together; one at a time where they may not fit as a whole or one may be too large."""
+        if not entries:
+            return
+        size = sum(map(sys.getsizeof, entries)) + held_bytes_of(list(entries.values())) + self.ENTRY_BYTES * len(entries)
+        if size > self._most or 8 * MOST_BYTES_A_CHARACTER * max(map(len, entries)) > self._most:
+            for key, value in entries.items():
+                self.put(key, value)
+            return
+        if self._used + size > self._most:
+            self._older, self._young, self._used = self._young, {}, 0
+        self._used += size
+        self._young.update(entries)
+
     def put(self, key: str, value: object) -> None:
         size = sys.getsizeof(key) + held_bytes(value) + self.ENTRY_BYTES
         if 8 * size > self._most:
@@ -371,10 +396,9 @@ def encode_documents(docs: DataFrame, tokenizer_path: str, id_column: str = "doc
             """(tokens, their decimal ids, decoded text) of each chunk."""
             found = cache.look(wanted)
             fresh = list(wanted.difference(found))
-            for chunk, ids in zip(fresh, bpe.encode_many(fresh)):
-                found[chunk] = entry = len(ids), " ".join(map(str, ids)), bpe.decode(ids)
-                cache.put(chunk, entry)
-            return found
+            new = {chunk: (len(ids), " ".join(map(str, ids)), bpe.decode(ids)) for chunk, ids in zip(fresh, bpe.encode_many(fresh))}
+            cache.put_many(new)
+            return found | new
 
         def step(batch: pa.RecordBatch):
             counts, digests, decoded = [], [], []
@@ -382,10 +406,10 @@ def encode_documents(docs: DataFrame, tokenizer_path: str, id_column: str = "doc
                 split = list(map(chunks, group))
                 found = entries(set().union(*split))
                 for parts in split:
-                    own = list(map(found.__getitem__, parts))
-                    counts.append(sum(x[0] for x in own))
-                    digests.append(hashlib.sha256(" ".join([x[1] for x in own]).encode()).hexdigest())
-                    decoded.append(hashlib.sha256(" ".join([x[2] for x in own]).encode()).hexdigest())
+                    n, ids, texts_ = zip(*map(found.__getitem__, parts)) if parts else ((), (), ())
+                    counts.append(sum(n))
+                    digests.append(hashlib.sha256(" ".join(ids).encode()).hexdigest())
+                    decoded.append(hashlib.sha256(" ".join(texts_).encode()).hexdigest())
             return [batch.column(0), counts, digests, decoded]
 
         return step

@@ -232,17 +232,16 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, id_column: str = "doc
             """(ids, decoded bytes) of each piece."""
             found = cache.look(wanted)
             fresh = list(wanted.difference(found))
-            for piece, ids in zip(fresh, bpe.encode_pieces(fresh)):
-                found[piece] = entry = ids, bpe.decode(ids)
-                cache.put(piece, entry)
-            return found
+            new = {piece: (ids, bpe.decode(ids)) for piece, ids in zip(fresh, bpe.encode_pieces(fresh))}
+            cache.put_many(new)
+            return found | new
 
         def encoded(group: list[str]) -> Iterator[tuple[bytes, bytes]]:
             split = [bpe.pieces(part) for part in group]
             found = entries(set().union(*split))
             for pieces in split:
-                own = list(map(found.__getitem__, pieces))
-                yield b"".join([x[0] for x in own]), b"".join([x[1] for x in own])
+                ids, decoded = zip(*map(found.__getitem__, pieces))  # a segment has a piece
+                yield b"".join(ids), b"".join(decoded)
 
         for batch in batches:
             at = 0

@@ -166,7 +166,9 @@ def chunk_ids(content: str, end: bytes) -> Callable[[list[str]], list[bytes]]:
 
     def entry(chunk: str) -> bytes:
         """The library's model on the normalised pieces of a chunk; a special token's text by the whole encoder."""
-        if "<|" in chunk:
+        if chunk.isascii() and chunk.isalpha():  # one piece
+            found = [t.id for t in model.tokenize(chunk.lower())]
+        elif "<|" in chunk:
             found = bpe.encode(chunk)
         else:
             found = [t.id for piece in bpe.pieces(chunk) for t in model.tokenize(piece if piece.isascii() and piece.isalnum() else piece.encode().decode("latin-1").translate(printable))]
@@ -176,9 +178,9 @@ def chunk_ids(content: str, end: bytes) -> Callable[[list[str]], list[bytes]]:
         split = list(map(chunks, many))
         wanted = set().union(*split)
         found = cache.look(wanted)
-        for chunk in wanted.difference(found):
-            found[chunk] = value = entry(chunk)
-            cache.put(chunk, value)
+        new = {chunk: entry(chunk) for chunk in wanted.difference(found)}
+        cache.put_many(new)
+        found |= new
         return [b"".join(map(found.__getitem__, parts)) + end for parts in split]
 
     return ids
