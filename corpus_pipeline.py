@@ -18,6 +18,8 @@ from vacancia.llm.queries import TOKENIZER
 
 #: Documents in an Arrow batch.
 BATCH_ROWS = 2000
+#: Of a generation of the packing stage's cache: executors hold other stages' memory too.
+CACHE_BYTES = 32 << 20
 
 
 def in_batches(spark: SparkSession) -> None:
@@ -45,7 +47,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of the documents in sequences."""
     in_batches(spark)
-    return packing.pack_documents(docs, public_tokenizers.path(TOKENIZER))
+    return packing.pack_documents(docs, public_tokenizers.path(TOKENIZER), cache_bytes=CACHE_BYTES)
 
 
 STAGES = [("language", identify_language), ("toxicity", drop_toxic), ("near copies", drop_near_copies), ("packing", pack)]

@@ -39,7 +39,7 @@ MERGE_PARTITIONS = 128
 END_OF_DOCUMENT = 2
 ID_BYTES = 4
 #: Of chunks and their ids that a generation of a worker's cache may hold.
-CACHE_BYTES = 32 << 20
+CACHE_BYTES = 80 << 20
 
 PIECE = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, offset bigint"
 WINDOWS = f"sequence_id bigint, partition bigint, total bigint, leftover boolean, pieces array<struct<{', '.join(':'.join(x.split()) for x in PIECE.split(', '))}>>"
@@ -156,13 +156,13 @@ def merge_leftovers(windows: pd.DataFrame, capacity: int = SEQUENCE_TOKENS) -> p
     return out.astype({c: "Int64" for c in out.columns})
 
 
-def chunk_ids(content: str, end: bytes) -> Callable[[list[str]], list[bytes]]:
+def chunk_ids(content: str, end: bytes, cache_bytes: int = CACHE_BYTES) -> Callable[[list[str]], list[bytes]]:
     """A function from texts to the little-endian ids of each and the end id; each distinct chunk is encoded once."""
     from tokenizers import Tokenizer
 
     bpe, model = SegmentTreeBpe(content), Tokenizer.from_str(content).model
     printable = str.maketrans(dict(enumerate(byte_symbols())))
-    cache = Cache(CACHE_BYTES)
+    cache = Cache(cache_bytes)
 
     def entry(chunk: str) -> bytes:
         """The library's model on the normalised pieces of a chunk; a special token's text by the whole encoder."""
@@ -186,14 +186,14 @@ def chunk_ids(content: str, end: bytes) -> Callable[[list[str]], list[bytes]]:
     return ids
 
 
-def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = SEQUENCE_TOKENS, open_windows: int = OPEN_WINDOWS, merge_partitions: int = MERGE_PARTITIONS) -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = SEQUENCE_TOKENS, open_windows: int = OPEN_WINDOWS, merge_partitions: int = MERGE_PARTITIONS, cache_bytes: int = CACHE_BYTES) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset."""
     content = docs.sparkSession.sparkContext.broadcast(open(tokenizer_path, encoding="utf-8").read())
     schema = to_arrow_schema(StructType.fromDDL(WINDOWS))
     end = END_OF_DOCUMENT.to_bytes(ID_BYTES, "little")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids = per_worker("pack" + content.value, lambda: chunk_ids(content.value, end))
+        ids = per_worker("pack" + content.value, lambda: chunk_ids(content.value, end, cache_bytes))
         drop_unused()
         partition = TaskContext.get().partitionId()
         packer = Packer(capacity, open_windows)
