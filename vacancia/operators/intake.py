@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from vacancia.functions.text import redact
-from vacancia.functions.urls import trusted
+from vacancia.functions.urls import part, trusted
 from vacancia.operators import ingest
 
 # Least and most characters of fields, the work modes and kinds that there are, the longest message that is kept.
@@ -33,9 +33,12 @@ def judge(listings: DataFrame, hosts: Mapping[str, tuple[str, ...]]) -> DataFram
 
     A link outside a source's hosts comes before faults of form; sources without hosts may link anywhere.
     """
+    named = {name: allowed for name, allowed in hosts.items() if allowed}
     link = F.lit(False)
-    for name, allowed in hosts.items():
-        link = link | (F.col("source_name") == name) & ~trusted(F.col("source_url"), allowed)
+    if named:  # a URL is taken apart once, however many sources there are
+        own = F.try_element_at(F.create_map(*(x for name, allowed in named.items() for x in (F.lit(name), F.array(*map(F.lit, allowed))))), F.col("source_name"))
+        safe = trusted(F.col("source_url"), tuple({h for allowed in named.values() for h in allowed}))
+        link = own.isNotNull() & ~(safe & F.coalesce(F.array_contains(own, F.lower(part(F.col("source_url"), 3))), F.lit(False)))
     reason = F.when(link, F.concat(F.lit("Unexpected listing URL for "), "source_name", F.lit(".")))
     size = lambda c: F.length(F.col(c))
     form = F.when(F.coalesce(size("external_id"), F.lit(0)) == 0, "external_id is missing").when(size("external_id") > MOST_ID, "external_id is too long")
