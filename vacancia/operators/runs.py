@@ -75,14 +75,15 @@ def health_events(runs: DataFrame, sources: DataFrame) -> DataFrame:
 
     `sources` has id, failure_alert_active, failure_alert_reason, coverage_alert_active, pending_reason.
     """
-    last = newest(runs.where("finished_at is not null"), 1).select("source_id", "status")
+    runs = runs.where("finished_at is not null")
+    last = newest(runs, 1).select("source_id", "status")
     streak = equal_last_two(runs).select(F.col("source_id").alias("streak_id"), F.lit(True).alias("streak"))
     issues = coverage_issues(runs).withColumnRenamed("source_id", "issue_id")
     joined = sources.join(last, sources.id == last.source_id).join(streak, sources.id == streak.streak_id, "left").join(issues, sources.id == issues.issue_id, "left")
     bad = F.col("status").isin("failed", "partial")
-    same = F.col("failure_alert_active") & (F.col("failure_alert_reason") == F.col("status"))
+    same = F.col("failure_alert_active") & (F.coalesce("failure_alert_reason", F.lit("failed")) == F.col("status"))
     none = F.lit(None).cast("string")
-    known = (F.col("issue") == F.col("previous")) & F.col("pending_reason").isNull()
+    known = (F.col("issue") == F.col("previous")) & ~F.equal_null("pending_reason", "issue")
     event = (
         F.when((F.col("status") == "succeeded") & F.col("failure_alert_active"), "recovery")
         .when(bad & F.coalesce(same, F.lit(False)), none)

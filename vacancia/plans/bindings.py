@@ -47,10 +47,16 @@ PRELUDE = ", ".join(f"{name} AS ({sql.format(**{t: t for t in RAW})})" for name,
 class Tables:
     """Raw and bound tables of a directory."""
 
-    def __init__(self, spark: SparkSession, sf_dir: str):
-        self.spark, self.dir = spark, sf_dir
+    def __init__(self, spark: SparkSession, sf_dir: str, **instead: DataFrame):
+        self.spark, self.dir, self._instead = spark, sf_dir, instead
+
+    def over(self, **instead: DataFrame) -> Tables:
+        """The same tables with others in place of some raw ones, such as streams."""
+        return Tables(self.spark, self.dir, **instead)
 
     def raw(self, name: str) -> DataFrame:
+        if name in self._instead:
+            return self._instead[name]
         return self.spark.read.parquet(f"{self.dir}/{name}.parquet")
 
     def _bound(self, name: str) -> DataFrame:

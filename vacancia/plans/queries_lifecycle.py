@@ -8,9 +8,10 @@ from pyspark.sql import functions as F
 
 from vacancia.operators import intake
 from vacancia.plans.bindings import HOSTS
+from vacancia.plans.queries_relational import SQL_ALERT, SQL_ISSUES
 from vacancia.plans.registry import query
 from vacancia.sources import splitting
-from vacancia.streaming import deliveries, limits
+from vacancia.streaming import alerts, deliveries, limits
 
 _LISTED = lambda values: "[" + ", ".join(f"'{v}'" for v in values) + "]"
 
@@ -87,6 +88,39 @@ def l10_log_stream(t):
     return _plain_log(limits.run_available(deliveries.delivery_log(_delivery_events(stream)), t.spark, limits.run_folder(t.spark, "deliveries")))
 
 
+def _finished_runs(t):
+    return t.runs.where("finished_at is not null").select("source_id", "id", "started_at", "status", "limit_reached", "discovered_count", (F.col("id") % 3 != 0).alias("delivered"))
+
+
+def _told(t):
+    k = F.col("id")
+    return t.sources.select(k.alias("source_id"), (k % 3 == 0).alias("failure_active"), F.when(k % 3 == 0, "failed").alias("failure_reason"), (k % 4 == 0).alias("coverage_active"), F.when(k % 5 == 0, "repeated_limit").alias("coverage_reason"))
+
+
+def _plain_alerts(log):
+    return log.withColumn("at_us", F.unix_micros("at")).drop("at")
+
+
+@query(
+    "l13_alert_log",
+    f"""WITH RECURSIVE {SQL_ISSUES}, st AS (SELECT DISTINCT source_id, CAST(0 AS BIGINT) AS rn, CAST(NULL AS BIGINT) AS id, CAST(NULL AS TIMESTAMP) AS tm, CAST(NULL AS VARCHAR) AS status, CAST(NULL AS VARCHAR) AS issue, CAST(NULL AS VARCHAR) AS event, coalesce(s.id % 3 = 0, false) AS fa, CASE WHEN s.id % 3 = 0 THEN 'failed' END AS fr, coalesce(s.id % 4 = 0, false) AS ca, CASE WHEN s.id % 5 = 0 THEN 'repeated_limit' END AS cr FROM fin LEFT JOIN sources s ON s.id = fin.source_id
+UNION ALL SELECT source_id, rn, id, tm, status, issue, event, CASE WHEN event IN ('recovery', 'failure', 'partial') AND id % 3 <> 0 THEN event <> 'recovery' ELSE fa END, CASE WHEN event IN ('recovery', 'failure', 'partial') AND id % 3 <> 0 THEN CASE WHEN event <> 'recovery' THEN status END ELSE fr END,
+CASE WHEN event = 'coverage_issue' THEN id % 3 <> 0 WHEN event = 'coverage_recovery' AND id % 3 <> 0 THEN false ELSE ca END, CASE WHEN event = 'coverage_issue' THEN issue WHEN (event = 'coverage_recovery' AND id % 3 <> 0) OR (status = 'succeeded' AND NOT fa AND NOT ca AND issue IS NULL) THEN NULL ELSE cr END
+FROM (SELECT *, {SQL_ALERT} AS event FROM (SELECT e.source_id, e.rn, e.id, e.tm, e.status, e.before, e.issue, e.previous, st.fa, st.fr, st.ca, st.cr FROM st JOIN e ON e.source_id = st.source_id AND e.rn = st.rn + 1) AS x) AS y)
+SELECT source_id, id AS run_id, epoch_us(tm) AS at_us, status, issue, event, CASE WHEN event IS NOT NULL THEN id % 3 <> 0 END AS delivered, fa AS failure_active, fr AS failure_reason, ca AS coverage_active, cr AS coverage_reason FROM st WHERE rn > 0""",
+)
+def l13_log(t):
+    return _plain_alerts(alerts.replay(_finished_runs(t), _told(t)))
+
+
+@query("l13_alert_log_stream")
+def l13_log_stream(t):
+    """Starts of runs come in one file, so the stream's end has passed them all."""
+    t.spark.conf.set("spark.sql.streaming.stateStore.providerClass", deliveries.STORE)
+    events = t.spark.readStream.schema(t.raw("events").schema).option("pathGlobFilter", "events.parquet").parquet(t.dir)
+    return _plain_alerts(limits.run_available(alerts.alert_log(_finished_runs(t.over(events=events)), _told(t)), t.spark, limits.run_folder(t.spark, "alerts")))
+
+
 NOW = datetime(2026, 1, 1)
 
 

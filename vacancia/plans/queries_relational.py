@@ -16,6 +16,14 @@ SQL_ACTIVE = f"active_listings AS (SELECT l.*, s.name, s.enabled FROM listings l
 SQL_VISIBLE = "EXISTS (SELECT 1 FROM active_listings a WHERE a.opportunity_id = {0}) AND NOT EXISTS (SELECT 1 FROM user_states u WHERE u.opportunity_id = {0} AND disposition = 'hidden')"
 SQL_RECENCY = "coalesce(source_updated_at, published_at, first_seen_at)"
 SQL_LINKS = "links AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY opportunity_id ORDER BY quality_score DESC, id ASC) AS rank FROM active_listings) AS r WHERE rank = 1)"
+#: Finished runs in order, and the coverage issue of each successful one and of the one before it.
+SQL_ISSUES = """fin AS (SELECT id, source_id, status, limit_reached AS lim, discovered_count AS n, started_at AS tm, row_number() OVER w AS rn, lag(status) OVER w AS before FROM runs WHERE finished_at IS NOT NULL WINDOW w AS (PARTITION BY source_id ORDER BY started_at, id)),
+good AS (SELECT source_id, rn, list_reverse(list(lim) OVER w) AS ls, list_reverse(list(n) OVER w) AS ns FROM fin WHERE status = 'succeeded' WINDOW w AS (PARTITION BY source_id ORDER BY rn ROWS BETWEEN 7 PRECEDING AND CURRENT ROW)),
+shifted AS (SELECT source_id, rn, 0 AS k, ls, ns FROM good UNION ALL SELECT source_id, rn, 1, ls[2:], ns[2:] FROM good),
+found AS (SELECT source_id, rn, k, CASE WHEN len(ls) >= 3 AND ls[1] AND ls[2] AND ls[3] THEN 'repeated_limit' WHEN len(ns) >= 5 AND base >= 10 AND ns[1] <= 0.5 * base AND ns[2] <= 0.5 * base THEN 'discovered_drop' END AS issue FROM (SELECT *, round_even(list_aggregate(ns[3:7], 'median'), 0) AS base FROM shifted) AS b),
+e AS (SELECT fin.*, a.issue, b.issue AS previous FROM fin LEFT JOIN found a ON a.source_id = fin.source_id AND a.rn = fin.rn AND a.k = 0 LEFT JOIN found b ON b.source_id = fin.source_id AND b.rn = fin.rn AND b.k = 1)"""
+SQL_ALERT = """CASE WHEN status = 'succeeded' AND fa THEN 'recovery' WHEN status IN ('failed', 'partial') THEN CASE WHEN fa AND coalesce(fr, 'failed') = status THEN NULL WHEN before = status THEN CASE status WHEN 'failed' THEN 'failure' ELSE 'partial' END END
+WHEN status <> 'succeeded' THEN NULL WHEN ca THEN CASE WHEN issue IS NULL THEN 'coverage_recovery' END WHEN issue IS NULL OR (previous = issue AND cr IS DISTINCT FROM issue) THEN NULL ELSE 'coverage_issue' END"""
 SINCE, CURSOR = datetime(1997, 1, 1), datetime(1996, 1, 1)
 
 
@@ -293,7 +301,7 @@ def w3(t):
     return runs.equal_last_two(t.runs)
 
 
-@query("l13_health_events")
+@query("l13_health_events", f"WITH {SQL_ISSUES} SELECT id, status, issue, {SQL_ALERT} AS event FROM (SELECT s.id, e.status, e.before, g.issue, g.previous, s.id % 3 = 0 AS fa, 'failed' AS fr, s.id % 4 = 0 AS ca, CAST(NULL AS VARCHAR) AS cr FROM sources s JOIN (SELECT * FROM e QUALIFY row_number() OVER (PARTITION BY source_id ORDER BY rn DESC) = 1) e ON e.source_id = s.id LEFT JOIN (SELECT * FROM e WHERE status = 'succeeded' QUALIFY row_number() OVER (PARTITION BY source_id ORDER BY rn DESC) = 1) g ON g.source_id = s.id) AS x")
 def l13(t):
     state = t.sources.select("id", (F.col("id") % 3 == 0).alias("failure_alert_active"), F.lit("failed").alias("failure_alert_reason"), (F.col("id") % 4 == 0).alias("coverage_alert_active"), F.lit(None).cast("string").alias("pending_reason"))
     return runs.health_events(t.runs, state)
