@@ -4,6 +4,7 @@ import datetime as dt
 import random
 
 import pytest
+from pyspark.sql.functions import lit
 
 from tests.conftest import rows
 from vacancia.plans import QUERIES
@@ -97,7 +98,7 @@ def test_replay_reads_a_source_over_many_batches(spark):
     finally:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
     assert not rows(alerts.replay(runs.where("false"), told))
-    assert not rows(alerts.replay(runs.withColumn("started_at", runs.started_at.substr(99, 1).cast("timestamp")), told))
+    assert not rows(alerts.replay(runs.withColumn("started_at", lit(None).cast("timestamp")), told))
 
 
 def test_alert_queries_agree(rocks):

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from vacancia.plans.registry import query
-from vacancia.sources import feeds, pages
+from vacancia.sources import exports, feeds, pages
 from vacancia.streaming import limits
 
 
@@ -85,6 +85,20 @@ def s16(t):
     return pages.export_candidates(rows, (2,), ("widget",), 11).select("p_partkey")
 
 
+@query("s15_export", "SELECT CAST(o_orderkey AS VARCHAR) AS id, o_orderpriority AS name, concat(chr(8222), 'Заявка ', o_orderkey, chr(10), '\"[{') AS description, CASE WHEN o_orderkey % 5 <> 0 THEN o_custkey END AS salary, CASE WHEN o_orderkey % 2 = 0 THEN (o_orderkey % 7 + 1)::BIGINT ELSE 0 END AS rubrics, o_totalprice AS price FROM orders")
+def s15(t):
+    """Orders as exports that are written and read back."""
+    k = F.col("o_orderkey")
+    rows = t.raw("orders").select(
+        k.alias("Id"), F.col("o_orderpriority").alias("Name"), F.concat(F.lit("„Заявка "), k.cast("string"), F.lit('\n"[{')).alias("Description"), F.when(k % 5 != 0, F.col("o_custkey")).otherwise(None).alias("Salary"),
+        F.when(k % 2 == 0, F.sequence(F.lit(1), (k % 7 + 1).cast("int"))).alias("RubricId"), F.col("o_totalprice").cast("double").alias("price"), F.struct(k.alias("more")).alias("Other"),
+    )
+    folder = limits.run_folder(t.spark, "export")
+    exports.write(rows, folder)
+    read = exports.read(t.spark, folder, "Id string, Name string, Description string, Salary long, RubricId array<int>, price double")
+    return read.select(F.col("Id").alias("id"), F.col("Name").alias("name"), F.col("Description").alias("description"), F.col("Salary").alias("salary"), F.coalesce(F.size("RubricId"), F.lit(0)).cast("long").alias("rubrics"), "price")
+
+
 @query("s17_search_batch", "SELECT p_partkey AS position FROM part WHERE p_partkey < 3 OR (((p_partkey - 3 - 7 * 5) % ((SELECT count(*) FROM part) - 3)) + (SELECT count(*) FROM part) - 3) % ((SELECT count(*) FROM part) - 3) < 5")
 def s17(t):
     rows = t.raw("part").select(F.col("p_partkey").alias("position"))

@@ -11,6 +11,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from vacancia.sources import exports
+
 SCRIPT = r"(?is)<script[^>]*type\s*=\s*[\"']application/ld\+json[\"'][^>]*>(.*?)</script>"
 CHALLENGE_TEXT = r"(?i)(verify you are human|checking your browser|security check|підтвердьте, що ви не робот)"
 CHALLENGE_MARKS = r"(?i)(cf-chl|challenge-platform|g-recaptcha|hcaptcha)"
@@ -118,8 +120,8 @@ def api_details(rows: DataFrame, column: str, remote_group: int) -> DataFrame:
 
 
 def read_export(spark: SparkSession, path: str) -> DataFrame:
-    """A JSON array of objects, gzipped or not; a truncated one fails the read rather than losing rows."""
-    return spark.read.schema(EXPORT).option("multiLine", True).option("mode", "FAILFAST").json(path)
+    """JSON arrays of objects, gzipped or not, of a file or a folder; one that isn't whole fails the read rather than losing rows."""
+    return exports.read(spark, path, EXPORT)
 
 
 def export_candidates(rows: DataFrame, rubrics: tuple[int, ...], keywords: tuple[str, ...], remote_city: int) -> DataFrame:
