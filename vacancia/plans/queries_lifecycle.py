@@ -11,7 +11,7 @@ from vacancia.plans.bindings import HOSTS
 from vacancia.plans.queries_relational import SQL_ALERT, SQL_ISSUES
 from vacancia.plans.registry import query
 from vacancia.sources import splitting
-from vacancia.streaming import alerts, deliveries, limits
+from vacancia.streaming import alerts, deliveries, limits, outbox
 
 _LISTED = lambda values: "[" + ", ".join(f"'{v}'" for v in values) + "]"
 
@@ -191,3 +191,15 @@ def k4(t):
     sources = t.sources.select("id", F.lit(None).cast("timestamp").alias("last_run_at"), F.lit(None).cast("timestamp").alias("last_success_at"), "last_error")
     after = intake.source_states(sources, intake.finished(_runs(t)[1], NOW), NOW)
     return after.select("id", "last_error", F.col("last_success_at").isNotNull().alias("succeeded"))
+
+
+@query("k6_sent_messages", "SELECT concat('default:', user_id, ':', event_id % 40) AS event_key, strftime(min(ts), '%Y-%m-%d %H:%M:%S.%f') AS sent_at, arg_min(concat(event_type, ' of ', event_id), (ts, concat(event_type, ' of ', event_id))) AS text FROM events WHERE event_type IN ('click', 'purchase') GROUP BY ALL")
+def k6(t):
+    """Events as messages of two sorts; a key's first one is sent."""
+    schema = t.raw("events").schema
+    stream = t.spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(t.dir).where("event_type in ('click', 'purchase')")
+    n = F.col("event_id").cast("string")
+    messages = stream.select(F.concat(F.lit("default:"), F.col("user_id").cast("string"), F.lit(":"), (F.col("event_id") % 40).cast("string")).alias("event_key"), F.col("ts").alias("at"), F.concat("event_type", F.lit(" of "), n).alias("text"))
+    folder = limits.run_folder(t.spark, "outbox")
+    outbox.record(messages, f"{folder}/out", f"{folder}/state")
+    return outbox.sent(t.spark, f"{folder}/out").select("event_key", F.date_format("at", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("sent_at"), "text")

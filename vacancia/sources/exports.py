@@ -8,7 +8,7 @@ the array, if an object is longer than MOST_ITEM characters, if the array isn't
 mark are skipped, commas between objects aren't asked for. Values follow the schema: a missing member, a null or a value of another kind is null; nested values
 of a string column come as JSON text; half surrogate pairs become question marks; members beyond the schema are skipped. A whole but empty array gives no rows.
 
-`write` stores rows as such arrays, one a partition, in one pass, and an empty one beside them, as Spark runs no task where it sees that there are no rows.
+`write` stores rows as such arrays, one a partition, in one pass, and an empty one before them, as Spark writes an empty first file where its first partition has no rows.
 """
 
 from __future__ import annotations
@@ -213,4 +213,4 @@ def write(rows: DataFrame, path: str) -> None:
         yield pd.DataFrame({"value": ["]" if mark == "," else "[]"]})
 
     arrays = rows.select(F.to_json(F.struct("*")).alias("value")).mapInPandas(lines, "value string")
-    arrays.union(rows.sparkSession.range(1).select(F.lit("[]").alias("value"))).write.option("compression", "gzip").text(path)
+    rows.sparkSession.range(0, 1, 1, 1).select(F.lit("[]").alias("value")).union(arrays).write.option("compression", "gzip").text(path)
