@@ -12,8 +12,8 @@ and a floor.
 
 Memory: a task holds one medium and BLOCK frames' samples. Defined results: a null or empty text is a
 payload of 64 zero bytes; equal texts give equal media; repeated rows give repeated results; a null
-medium gives no clips and null digests; a medium that can't be parsed raises, as do frames of another coding than
-the lossless one above; a null doc_id is carried; other columns are ignored; no rows give no rows.
+medium gives no clips and null digests, as does one that can't be read (`faults` says why); frames of other writers are read by their own segments (`jpeg`),
+and without a stored length the payload is all their samples; a null doc_id is carried; other columns are ignored; no rows give no rows.
 """
 
 from __future__ import annotations
@@ -28,6 +28,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from vacancia.llm import jpeg
 from vacancia.llm.common import map_arrow, texts
 
 WIDTH, HEIGHT = 64, 16
@@ -98,10 +99,12 @@ def encode_frames(samples: bytes) -> list[bytes]:
     return [_HEAD + row.tobytes().replace(b"\xff", b"\xff\x00") + b"\xff\xd9" for row in packed.reshape(len(image), -1)]
 
 
+def written_here(jpegs: list[bytes]) -> bool:
+    return all(j.startswith(_HEAD) and j.endswith(b"\xff\xd9") for j in jpegs)
+
+
 def decode_frames(jpegs: list[bytes]) -> np.ndarray:
     """The samples, a row each, of frames that encode_frames() wrote."""
-    if not all(j.startswith(_HEAD) and j.endswith(b"\xff\xd9") for j in jpegs):
-        raise ValueError("not a lossless frame of this geometry")
     data = b"".join([j[len(_HEAD) : -2].replace(b"\xff\x00", b"\xff") for j in jpegs])
     packed = np.frombuffer(data, np.uint8).reshape(-1, _CODE_BITS).astype(np.uint16)
     words = np.empty((len(packed), 8), np.uint16)
@@ -151,12 +154,12 @@ def _chunks(data: memoryview, at: int, end: int) -> Iterator[tuple[bytes, int, i
         at += 8 + size + size % 2
 
 
-def read_avi(media: bytes) -> tuple[int, float, list[bytes]]:
-    """(payload bytes, frames a second, JPEG frames), the frames found through the index."""
+def read_avi(media: bytes) -> tuple[int | None, float, list[bytes]]:
+    """(payload bytes if stored, frames a second, JPEG frames), the frames found through the index, whose offsets count from the list or the file."""
     data = memoryview(media)
     if bytes(data[:4]) != b"RIFF" or bytes(data[8:12]) != b"AVI ":
         raise ValueError("no AVI file")
-    length, rate, movi, index = -1, float(FRAMES_A_SECOND), 0, b""
+    length, rate, movi, index = None, float(FRAMES_A_SECOND), 0, b""
     for name, a, b in _chunks(data, 12, 8 + struct.unpack_from("<I", data, 4)[0]):
         kind = bytes(data[a : a + 4]) if name == b"LIST" else name
         if kind == b"movi":
@@ -169,10 +172,11 @@ def read_avi(media: bytes) -> tuple[int, float, list[bytes]]:
             length = next((int(bytes(data[x:y]).rstrip(b"\0").split()[-1]) for n, x, y in _chunks(data, a + 4, b) if n == b"ISBJ"), length)
     frames = []
     for name, _, offset, size in struct.iter_unpack("<4sIII", index):
-        if name == b"00dc":
-            frames.append(bytes(data[movi + offset + 8 : movi + offset + 8 + size]))
-    if length < 0:
-        raise ValueError("no payload length")
+        if name in (b"00dc", b"00db"):
+            at = (movi if data[movi + offset : movi + offset + 4] == name else 0) + offset + 8
+            if data[at - 8 : at - 4] != name or at + size > len(data):
+                raise ValueError("the index leads elsewhere")
+            frames.append(bytes(data[at : at + size]))
     return length, rate, frames
 
 
@@ -200,17 +204,36 @@ def clips(media: bytes) -> tuple[bytes, list[tuple[int, int, float, float]]]:
     """The payload, and (first frame, frames, start and end seconds) of each shot."""
     length, rate, jpegs = read_avi(media)
     parts, seen = [], [np.zeros((0, BINS))]
+    if not written_here(jpegs):
+        for frame in map(jpeg.decode, jpegs):
+            parts.append(frame.tobytes())
+            seen.append(np.bincount(frame.ravel() >> (8 - (BINS - 1).bit_length()), minlength=BINS)[None] / frame.size)
+        return _shots(parts, length, rate, seen, len(jpegs))
     for at in range(0, len(jpegs), BLOCK):
         samples = decode_frames(jpegs[at : at + BLOCK])
         parts.append(samples.tobytes())
         seen.append(histograms(samples))
-        if (filled := length - (len(jpegs) - 1) * FRAME) < FRAME and at + BLOCK >= len(jpegs):  # what fills the last frame up is no picture
+        if length is not None and (filled := length - (len(jpegs) - 1) * FRAME) < FRAME and at + BLOCK >= len(jpegs):  # what fills the last frame up is no picture
             seen[-1][-1] = np.bincount(samples[-1, :filled] >> (8 - (BINS - 1).bit_length()), minlength=BINS) / filled
+    return _shots(parts, length, rate, seen, len(jpegs))
+
+
+def _shots(parts: list[bytes], length: int | None, rate: float, seen: list[np.ndarray], frames: int) -> tuple[bytes, list[tuple[int, int, float, float]]]:
     payload = b"".join(parts)[:length]
-    if len(payload) != length:
+    if length is not None and len(payload) != length:
         raise ValueError("frames are missing")
-    bounds = [0, *cuts(np.concatenate(seen)), len(jpegs)]
-    return payload, [(a, b - a, a / rate, b / rate) for a, b in zip(bounds, bounds[1:])] if jpegs else []
+    bounds = [0, *cuts(np.concatenate(seen)), frames]
+    return payload, [(a, b - a, a / rate, b / rate) for a, b in zip(bounds, bounds[1:])] if frames else []
+
+
+def clips_or_reason(media: bytes | None) -> tuple[bytes | None, list[tuple[int, int, float, float]], str | None]:
+    """The payload and clips of a medium; or none, and why it can't be read."""
+    if media is None:
+        return None, [], None
+    try:
+        return *clips(media), None
+    except (ValueError, ZeroDivisionError, struct.error) as e:
+        return None, [], str(e) or type(e).__name__
 
 
 def payload_of(text: str) -> tuple[bytes, int]:
@@ -241,24 +264,35 @@ def clip_rows(media: DataFrame, id_column: str = "doc_id") -> DataFrame:
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            rows = [(i, k, *c) for i, m in zip(f[id_column], f["media"]) if m is not None for k, c in enumerate(clips(m)[1])]
+            rows = [(i, k, *c) for i, m in zip(f[id_column], f["media"]) for k, c in enumerate(clips_or_reason(m)[1])]
             yield pd.DataFrame(rows, columns=[id_column, "clip", "first_frame", "frames", "start_s", "end_s"])
 
     return media.select(id_column, "media").mapInPandas(run, f"{id_column} long, clip int, first_frame int, frames int, start_s double, end_s double")
 
 
+def faults(media: DataFrame, id_column: str = "doc_id") -> DataFrame:
+    """(id, reason) of each medium that can't be read."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            found = f[[id_column]].assign(reason=[clips_or_reason(m)[2] for m in f["media"]])
+            yield found[found["reason"].notna()]
+
+    return media.select(id_column, "media").mapInPandas(run, f"{id_column} long, reason string")
+
+
 def digest(media: DataFrame) -> DataFrame:
-    """Of each stored medium: doc_id, n_bytes, digests of the payload that is read back and of the medium, and its clips as a string."""
+    """Of each stored medium: doc_id, n_bytes, digests of the payload that is read back and of the medium, and its clips as a string; nulls where it can't be read."""
 
     def make():
         def step(batch: pa.RecordBatch):
             out: list[tuple] = []
             for n, value in zip(batch.column(1).to_pylist(), batch.column(2)):
                 medium = value.as_py()
-                if medium is None:
+                payload, found, _ = clips_or_reason(medium)
+                if payload is None:
                     out.append((None,) * 6)
                     continue
-                payload, found = clips(medium)
                 out.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(medium), hashlib.sha256(medium).hexdigest(), " ".join(f"{a}+{n}@{s:.2f}" for a, n, s, _ in found)))
             return [batch.column(0), batch.column(1), *map(list, zip(*out))] if out else None
 
