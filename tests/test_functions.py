@@ -85,3 +85,11 @@ def test_pack_lines(spark):
 def test_quality_score(spark):
     got = value(spark, text.quality_score(F.lit(" a  b "), F.lit(None).cast("int"), F.lit(1), F.lit("x"), F.lit(None).cast("string")))
     assert got == 3 + 2000 + 100
+
+
+def test_one_decimal_rounds_the_binary_value(spark):
+    from vacancia.functions import text
+
+    values = [m * 100.0 / n for n in (*range(1, 60), 400, 800, 2000) for m in range(0, n + 1)] + [0.25, 0.75, 0.05, 0.95, 99.95, 85.15, 1e6 + 0.25]
+    found = spark.createDataFrame([(v,) for v in values], "v double").select("v", text.one_decimal(F.col("v")).alias("s")).collect()
+    assert {r["v"]: r["s"] for r in found} == {v: f"{v:.1f}" for v in values}

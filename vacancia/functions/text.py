@@ -97,6 +97,16 @@ def markdown_text(c: Column) -> Column:
     return collapse(F.regexp_replace(plain, r"[*`]+", ""))
 
 
+def one_decimal(c: Column) -> Column:
+    """A double of 0 to 1e12 with one decimal, the exact binary value rounded half to even, as printf does; format_string rounds its shortest decimal half up."""
+    tenths = ((c - F.floor(c)) * float(2**56)).cast("long") * 10
+    half, unit = F.lit(2**55), 2**56
+    down, rest = F.shiftright(tenths, 56), tenths.bitwiseAND(unit - 1)
+    up = (rest > half) | ((rest == half) & (down % 2 == 1))
+    whole = F.floor(c) * 10 + down + up.cast("long")
+    return F.format_string("%d.%d", F.floor(whole / 10), whole % 10)
+
+
 def event_key(rules: Column, content: Column) -> Column:
     return F.concat(F.lit("match:"), rules, F.lit(":"), F.substring(content, 1, 16))
 

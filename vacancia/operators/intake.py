@@ -16,7 +16,7 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
-from vacancia.functions.text import redact
+from vacancia.functions.text import one_decimal, redact
 from vacancia.functions.urls import part, trusted
 from vacancia.operators import ingest
 
@@ -106,7 +106,7 @@ def reconciled(before: DataFrame, listings: DataFrame, seen: DataFrame, snapshot
 
 def finished(state: DataFrame, now: datetime) -> DataFrame:
     """A row for each run: its counters, status and redacted message. A blocked exact comparison makes a run partial, a blocked generic one failed."""
-    share = F.format_string("%.1f%%", F.col("missing") * 100.0 / F.col("active"))
+    share = F.concat(one_decimal(F.col("missing") * 100.0 / F.col("active")), F.lit("%"))
     told = F.format_string("Source inventory reconciliation was blocked: %d of %d active listings disappeared (%s).", "missing", "active", share)
     blocked = F.col("mode").isNotNull() & F.col("blocked")
     generic = blocked & (F.col("mode") == "generic")
