@@ -93,3 +93,21 @@ def test_one_decimal_rounds_the_binary_value(spark):
     values = [m * 100.0 / n for n in (*range(1, 60), 400, 800, 2000) for m in range(0, n + 1)] + [0.25, 0.75, 0.05, 0.95, 99.95, 85.15, 1e6 + 0.25]
     found = spark.createDataFrame([(v,) for v in values], "v double").select("v", text.one_decimal(F.col("v")).alias("s")).collect()
     assert {r["v"]: r["s"] for r in found} == {v: f"{v:.1f}" for v in values}
+
+
+def test_half_prices_are_cast_as_sql_does(spark, tmp_path):
+    import duckdb
+
+    from vacancia.plans import ORACLES, QUERIES
+
+    prices = [0.29, 0.57, 1.13, 0.03, 0.09, 1000.99, 998.99, 2469.99, 335544.35, 499993.19]
+    c = duckdb.connect()
+    c.sql(f"create table orders as select 10 * i + 1 as o_orderkey, 1 as o_custkey, p as o_totalprice, '1-URGENT' as o_orderpriority, DATE '2024-01-01' as o_orderdate from (select unnest(range({len(prices)})) as i, unnest({prices}::double[]) as p)")
+    c.sql("create table customer as select 1 as c_custkey, 'x' as c_name, 'y' as c_mktsegment")
+    for t in ("supplier", "lineitem", "labels", "events"):
+        c.sql(f"create view {t} as select * from '/root/testdata/sf0.001/{t}.parquet'")
+    for t in ("orders", "customer"):
+        c.sql(f"copy {t} to '{tmp_path}/{t}.parquet' (format parquet)")
+    prices_of = lambda rows: sorted(tuple(r) for r in rows)
+    for name in ("f27_range_text", "f6_content_hash"):
+        assert prices_of(QUERIES[name](spark, str(tmp_path)).collect()) == prices_of(c.sql(ORACLES[name]).fetchall())
