@@ -1,8 +1,27 @@
 """What streams hold and how often they are woken."""
 
 import numpy as np
+import pandas as pd
 
-from vacancia.streaming import limits
+from vacancia.streaming import alerts, limits
+
+
+class Handle:
+    """Timers that were set, and a list as state."""
+
+    def __init__(self):
+        self.timers, self.held = [], []
+
+    registerTimer = property(lambda self: self.timers.append)
+    exists = lambda self: bool(self.held)
+    get = lambda self: iter(self.held)
+    appendList = property(lambda self: self.held.extend)
+
+    def put(self, rows):
+        self.held = list(rows)
+
+    getCurrentWatermarkInMs = lambda self: self.passed
+    passed = 0
 
 
 def test_requests_are_judged_in_pieces_with_nulls():
@@ -12,3 +31,14 @@ def test_requests_are_judged_in_pieces_with_nulls():
     whole, _ = limits.grant(sorted(data), [], 5, 9)
     first, log = limits.grant(sorted(data)[:111], [], 5, 9)
     assert limits.PIECE > 0 and first + limits.grant(sorted(data)[111:], log, 5, 9)[0] == whole
+
+
+def test_held_runs_of_a_source_take_one_timer():
+    p, h = alerts.Alerts(), Handle()
+    p.handle, p.waiting, p.known = h, h, Handle()
+    p.known.update = lambda row: None
+    frame = pd.DataFrame([{c: None for c in alerts._COLUMNS} | {"at_us": t * 1000, "id": t, "status": "succeeded", "discovered_count": 1, "limit_reached": False, "delivered": True} for t in (30, 10, 20)])
+    assert list(p.handleInputRows(("1",), iter([frame]), h)) == [] and h.timers == [10]
+    h.passed = 15
+    (log,) = p.handleExpiredTimer(("1",), h, None)
+    assert log["run_id"].tolist() == [10] and h.timers == [10, 20] and len(h.held) == 2

@@ -122,7 +122,7 @@ def _told(row) -> dict:
 
 
 class Alerts(StatefulProcessor):
-    """Value state: what was told and the newest runs. List state: runs that the watermark hasn't passed, with a timer at each one's start."""
+    """Value state: what was told and the newest runs. List state: runs that the watermark hasn't passed, with a timer at the earliest one's start."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
@@ -146,8 +146,7 @@ class Alerts(StatefulProcessor):
                 (late if 0 < passed and r["at_us"] // 1000 <= passed else new).append(r)
         if new:
             self.waiting.appendList([tuple(r.values()) for r in new])
-            for at in {r["at_us"] // 1000 for r in new}:
-                self.handle.registerTimer(at)
+            self.handle.registerTimer(min(r["at_us"] for r in new) // 1000)  # the others' times follow as it fires
         if late:
             state = self._state()
             yield _frame([(int(key[0]) if key[0] else None, r["id"], r["at_us"], r["status"], None, "late", None, *(state[c] for c in _TOLD)) for r in sorted(late, key=_order)])
@@ -160,6 +159,7 @@ class Alerts(StatefulProcessor):
             return
         if rest := [tuple(r.values()) for r in held if r["at_us"] // 1000 > passed]:
             self.waiting.put(rest)
+            self.handle.registerTimer(min(r["at_us"] for r in held if r["at_us"] // 1000 > passed) // 1000)
         else:
             self.waiting.clear()
         state, log = _walk(self._state(), key[0], ready)
