@@ -113,20 +113,22 @@ def walk(d: dict | None, events: list[dict], until: int) -> tuple[dict | None, l
     return d, log
 
 
-def _frame(key: object, log: list[tuple]) -> pd.DataFrame:
+def _frame(keys: list, log: list[tuple]) -> pd.DataFrame:
+    """Log rows of one or many opportunities, with the key of each."""
     out = pd.DataFrame(log, columns=["at", "seq", "action", "status", "attempts", "event_key", "message_text", "source_url", "next_attempt_at", "sent_at", "last_error"])
     for c in ("at", "next_attempt_at", "sent_at"):
         out[c] = pd.to_datetime(pd.array(out[c].tolist(), "Int64"), unit="ms", utc=True).tz_localize(None)
     out["seq"], out["attempts"] = (pd.array(out[c].tolist(), "Int64") for c in ("seq", "attempts"))
-    out.insert(0, "opportunity_id", pd.array([key] * len(out), "Int64"))
+    out.insert(0, "opportunity_id", pd.array(keys, "Int64"))
     return out
 
 
 def _events(frame: pd.DataFrame) -> list[dict]:
     """Rows as dictionaries of plain values, nulls as None."""
-    columns = {c: [None if pd.isna(v) else v for v in frame[c].tolist()] for c in _HELD}
     whole = ("at_ms", "seq", "recorded_ms")
-    return [{c: int(v) if c in whole and v is not None else v for c, v in zip(_HELD, r)} for r in zip(*columns.values())]
+    plain = lambda c, values: [None if v is None else int(v) for v in values] if c in whole else values
+    columns = [plain(c, frame[c].astype(object).where(frame[c].notna(), None).tolist()) for c in _HELD]
+    return [dict(zip(_HELD, r)) for r in zip(*columns)]
 
 
 def _order(e: dict) -> tuple[int, int]:
@@ -139,7 +141,7 @@ def _in_ms(events: DataFrame) -> DataFrame:
 
 
 class Deliveries(StatefulProcessor):
-    """Value state: the delivery. List state: events that the watermark hasn't passed. Timers: the next event's time, the time of the next attempt."""
+    """Value state: the delivery. List state: events that the watermark hasn't passed. Timers: the earliest held event's time, the time of the next attempt."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
@@ -153,10 +155,9 @@ class Deliveries(StatefulProcessor):
         new = [e for e in events if not (e["at_ms"] <= passed and passed > 0)]
         if new:
             self.waiting.appendList([tuple(e[c] for c in _HELD) for e in new])
-            for at in {e["at_ms"] for e in new}:
-                self.handle.registerTimer(at)
+            self.handle.registerTimer(min(e["at_ms"] for e in new))  # the others' times follow as it fires
         if late:
-            yield _frame(int(key[0]) if key[0] else None, [(e["at_ms"], e["seq"], "late", *(None,) * 8) for e in sorted(late, key=_order)])
+            yield _frame([int(key[0]) if key[0] else None] * len(late), [(e["at_ms"], e["seq"], "late", *(None,) * 8) for e in sorted(late, key=_order)])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         passed = timerValues.getCurrentWatermarkInMs()
@@ -168,6 +169,7 @@ class Deliveries(StatefulProcessor):
             rest = [tuple(e[c] for c in _HELD) for e in held if e["at_ms"] > passed]
             if rest:
                 self.waiting.put(rest)
+                self.handle.registerTimer(min(r[0] for r in rest))
             else:
                 self.waiting.clear()
         if after is not None and after != before:
@@ -175,7 +177,7 @@ class Deliveries(StatefulProcessor):
             if after["status"] == "failed" and not after["told"] and after["next_ms"] > passed:
                 self.handle.registerTimer(after["next_ms"])
         if log:
-            yield _frame(int(key[0]) if key[0] else None, log)
+            yield _frame([int(key[0]) if key[0] else None] * len(log), log)
 
     def close(self) -> None:
         pass
@@ -196,21 +198,24 @@ def replay(events: DataFrame, until_ms: int) -> DataFrame:
         for frame in frames:
             keys = [None if pd.isna(k) else int(k) for k in frame["opportunity_id"]]
             bounds = [i for i in range(len(keys)) if not i or keys[i] != keys[i - 1]]
+            held, named, out = _events(frame), [], []  # a frame of rows gives a frame of the log, however many opportunities it has
             for i, j in zip(bounds, [*bounds[1:], len(keys)]):
-                key, rows = keys[i], frame.iloc[i:j]
+                key = keys[i]
                 if started and key != at:
                     _, log = walk(d, [], until_ms)
-                    if log:
-                        yield _frame(at, log)
+                    named += [at] * len(log)
+                    out += log
                 if not started or key != at:
                     at, d, started = key, None, True
-                events = _events(rows)
-                d, log = walk(d, events, events[-1]["at_ms"] - 1)
-                yield _frame(key, log)
+                d, log = walk(d, held[i:j], held[j - 1]["at_ms"] - 1)
+                named += [key] * len(log)
+                out += log
+            if out:
+                yield _frame(named, out)
         if started:
             _, log = walk(d, [], until_ms)
             if log:
-                yield _frame(at, log)
+                yield _frame([at] * len(log), log)
 
     ordered = _in_ms(events).where(F.col("at_ms") <= until_ms).repartition("opportunity_id").sortWithinPartitions("opportunity_id", "at_ms", F.asc_nulls_first("seq"))
     return ordered.mapInPandas(run, LOG)
