@@ -23,18 +23,17 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vacancia.llm.common import checkpoint, connected_components, map_arrow, map_groups, texts
 from vacancia.llm.simhash import fingerprint, near_edges, shingle_hashes
+from vacancia.operators.lineage import maybe_among
 
 SHINGLE_WORDS = 5
 BANDS, BAND_ROWS = 32, 4
 LEAST_EQUAL = 74  # of 128 bytes
 BLOCK_ROWS = 16_384
-#: Bits of the filter through which texts go before they are joined with those that are wanted: a megabyte.
-FILTER_BITS = 1 << 23
 #: Shingles of a part of a bucket that is dealt out.
 MOST_HELD = 4_000_000
 
@@ -83,16 +82,6 @@ def signatures(docs: DataFrame) -> DataFrame:
     return map_arrow(docs.select("doc_id", F.xxhash64("text").alias("own"), "text"), make, "doc_id long, own long, key long, n int, fp long, buckets array<long>, minhashes binary")
 
 
-def maybe_among(rows: DataFrame, key: Column, wanted: DataFrame, wanted_key: Column) -> DataFrame:
-    """The rows whose key (a hash) is among the wanted ones, and few others while these are few beside FILTER_BITS: a bitmap of that many bits is all that is broadcast."""
-    place = lambda k: F.pmod(k, F.lit(FILTER_BITS)) + 1
-    held = wanted.select(place(wanted_key).alias("place")).groupBy(F.bitmap_bucket_number("place").alias("of bits")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("place")).alias("bits"))
-    at = F.bitmap_bit_position(place(key))
-    byte = F.conv(F.hex(F.substring("bits", (F.floor(at / 8) + 1).cast("int"), 1)), 16, 10).cast("int")
-    joined = rows.join(F.broadcast(held), F.bitmap_bucket_number(place(key)) == F.col("of bits"))
-    return joined.where(F.floor(byte / F.pow(F.lit(2), at % 8)).cast("int") % 2 == 1).drop("of bits", "bits")
-
-
 def shingle_sets(wanted: DataFrame, sets: DataFrame, named: DataFrame) -> DataFrame:
     """(key, shingles) of the wanted keys, from one text of each."""
     at = sets.join(wanted, "key", "left_semi").select("key", F.col("first.doc_id").alias("doc_id"), F.col("first.own").alias("own"))
