@@ -745,3 +745,11 @@ def test_a_worker_keeps_what_its_operator_uses_alone():
     common.drop_unused()
     assert common.per_worker("a", list) is not first
     assert bpe.held_bytes(list(range(1000, 2000))) > 1000 * 36
+
+
+def test_bpe_tells_what_its_ids_say_and_pieces_share_it():
+    own = bpe.SegmentTreeBpe(open(public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8").read())
+    many = ["Word", "word", "word,", "l'été", "don't", "a1b2", "<|endoftext|>", "x<|endoftext|>y", "Straße!", "日本語", "word"]
+    told = own.tell_many(many)
+    assert told == [(" ".join(map(str, ids)), own.decode(ids)) for ids in own.encode_many(many)]
+    assert own.tell_many(["WORD"])[0] is own.tell_many(["word"])[0]
