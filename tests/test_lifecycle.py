@@ -281,3 +281,12 @@ def test_a_source_tells_its_metrics(spark, tmp_path):
     wanted, seen = source.fetch_observed(spark, F.col("external_id") < "4")
     wanted.write.parquet(str(tmp_path / "rows"))
     assert seen.get == {"candidates": 10, "filtered": 6} and spark.read.parquet(str(tmp_path / "rows")).count() == 4
+
+
+def test_large_components_are_merged_in_rounds_of_blocks(spark):
+    """A crowd of 60 copies, four sources: rounds of one step each planned ever longer and didn't end."""
+    words = " ".join(WORDS[:20])
+    df = spark.createDataFrame([(i, "engineer", "acme", "kyiv", "remote", START, words, None, None, None, None) for i in range(60)], "id long, title string, company string, location_text string, work_mode string, published_at timestamp, description string, salary_min int, salary_max int, salary_currency string, salary_period string")
+    owners = df.selectExpr("id as opportunity_id", "id % 4 as source_id")
+    found = dedup.greedy_merges(df, owners, component_pairs=300)
+    assert rows(found) == sorted(((i, i - i % 4) for i in range(60) if i % 4), key=repr)
