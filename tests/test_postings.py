@@ -28,3 +28,10 @@ def test_cursors(spark):
     assert {r[0]: r[2].day for r in upkeep.complete_cycles(begun, frame(("b", "m", at(7)))).collect()} == {"a": 1, "b": 7}
     with pytest.raises(Exception, match="no cursor"):
         upkeep.complete_cycles(begun, frame(("c", "m", at(7)))).where(F.col("minimum_first_seen_at").isNotNull()).collect()
+
+
+def test_details_of_a_small_file_are_read_by_many_tasks(spark):
+    """A table of few bytes is one split, so one task had all its pages."""
+    pages = spark.range(200).selectExpr("id", "concat('# Title\nbody ', id, ' [x](https://robota.ua/company1/vacancy', id, ')') as markdown").coalesce(1)
+    tasks = postings.markdown_details(pages).select(F.spark_partition_id().alias("task")).distinct().count()
+    assert tasks > 1

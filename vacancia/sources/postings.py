@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from vacancia.functions import dates, markup, money, work
 from vacancia.functions.text import collapse, fold, headline
+from vacancia.operators.lineage import spread
 
 # What links, headings, dates and labels of the Markdown pages look like.
 VACANCY_URL = r"(?i)https?://(?:www\.)?robota\.ua/company\d+/vacancy(\d+)(?:\?[^)\s]*)?"
@@ -81,7 +82,7 @@ def markdown_details(pages: DataFrame, column: str = "markdown") -> DataFrame:
     lines, clean, n = F.col("_lines"), F.col("_clean"), F.size("_lines")
     title, end, start, stop = (F.col(c) for c in ("_title", "_end", "_start", "_stop"))
     known = (REMOTE_LABEL, FULL_TIME, *PART_TIME)
-    df = pages.where(F.col(column).isNotNull()).withColumn("_lines", F.transform(F.split(body, r"\r\n|\n|\r"), lambda x: F.regexp_replace(x, r"(?U)^\s+|\s+$", ""))).withColumn("_clean", F.transform("_lines", collapse))
+    df = spread(pages.where(F.col(column).isNotNull())).withColumn("_lines", F.transform(F.split(body, r"\r\n|\n|\r"), lambda x: F.regexp_replace(x, r"(?U)^\s+|\s+$", ""))).withColumn("_clean", F.transform("_lines", collapse))
     df = df.withColumn("_title", _first(lines, lambda x: F.rlike(x, F.lit(HEADING)), F.lit(0), F.lit(TITLE_LINES))).withColumn("_end", F.least(n, title + METADATA_LINES))
     # the head of the page, read once for each field
     date = _first(clean, lambda x: F.rlike(x, F.lit(rf"(?iu)^\d{{1,2}}\s+(?:{'|'.join(dates.MONTHS)})\s+\d{{4}}$")), title + 1, F.least(n, title + DATE_LINES))
