@@ -35,3 +35,10 @@ def test_details_of_a_small_file_are_read_by_many_tasks(spark):
     pages = spark.range(200).selectExpr("id", "concat('# Title\nbody ', id, ' [x](https://robota.ua/company1/vacancy', id, ')') as markdown").coalesce(1)
     tasks = postings.markdown_details(pages).select(F.spark_partition_id().alias("task")).distinct().count()
     assert tasks > 1
+
+
+def test_links_of_a_small_file_are_read_by_many_tasks(spark, capsys):
+    pages = spark.range(200).selectExpr("id", "concat('[x](https://robota.ua/company1/vacancy', id, ')') as markdown").coalesce(1)
+    links = postings.markdown_links(pages, "id")
+    links.explain()
+    assert links.count() == 200 and "RoundRobinPartitioning" in capsys.readouterr().out

@@ -49,7 +49,7 @@ def markdown_links(pages: DataFrame, key: str, column: str = "markdown") -> Data
     labelled = lambda x: F.contains(fold(x), F.lit(fold_text(REMOTE_LABEL))) | F.contains(fold(x), F.lit(REMOTE_SUFFIX))
     # only texts before the first card start with something else; there a line stands for itself
     opened = F.rlike("_card", F.lit(rf"^\s*{CARD_START}"))
-    rows = pages.select(key, card).select(key, "card", opened.alias("opened"), F.array_position(F.transform(lines, labelled), True).alias("label"), F.posexplode(lines).alias("line", "_line"))
+    rows = spread(pages.select(key, column)).select(key, card).select(key, "card", opened.alias("opened"), F.array_position(F.transform(lines, labelled), True).alias("label"), F.posexplode(lines).alias("line", "_line"))
     rows = rows.withColumn("is_remote", F.when(F.col("opened"), (F.col("label") > 0) & (F.col("label") <= F.col("line") + 1)).otherwise(labelled(F.col("_line"))))
     rows = rows.select("*", F.posexplode(F.regexp_extract_all("_line", F.lit(VACANCY_URL), F.lit(0))).alias("place", "_url"))
     rows = rows.withColumn("external_id", F.regexp_extract("_url", VACANCY_URL, 1)).withColumn("url", F.concat(F.lit("https://robota.ua"), F.regexp_extract("_url", r"^[^:]+://[^/]+([^?]*)", 1)))
