@@ -5,8 +5,9 @@ import datetime
 import pytest
 from pyspark.sql import functions as F
 
-from vacancia.functions import markup
+from vacancia.functions import markup, urls
 from vacancia.operators import upkeep
+from vacancia.plans import QUERIES
 from vacancia.sources import postings
 
 
@@ -42,3 +43,14 @@ def test_links_of_a_small_file_are_read_by_many_tasks(spark, capsys):
     links = postings.markdown_links(pages, "id")
     links.explain()
     assert links.count() == 200 and "RoundRobinPartitioning" in capsys.readouterr().out
+
+
+def test_feed_filters_are_read_once_by_many_tasks(spark, capsys):
+    """A URL was taken apart again for each of its filters' keys, and by one task."""
+    url = F.lit("https://x.example/rss/?exp_level=1y&country=UKR&exp_level=99y&country=uk&other=1&exp_level=&editorial=nonhr&exp_level=2y&exp_level=3y&exp_level=4y")
+    found = spark.range(1).select(urls.feed_identity(url, ()).alias("f"))
+    assert found.first()["f"]["filters"] == {"exp_level": ["1y", "redacted", "2y", "3y"], "country": ["UKR", "redacted"], "editorial": ["nonhr"]}
+    found.explain(True)
+    assert capsys.readouterr().out.partition("== Optimized")[0].count("substring_index(") <= 4  # in two plans
+    QUERIES["f42_feed_identity"](spark, "/root/testdata/sf0.001").explain()
+    assert "RoundRobinPartitioning" in capsys.readouterr().out

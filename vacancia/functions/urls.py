@@ -124,14 +124,20 @@ def feed_identity(url: Column, english: tuple[str, ...]) -> Column:
     shown = {"exp_level": LEVELS, "english_level": english, "employment": ("remote", "office"), "editorial": ("nonhr",)}
     decoded = lambda x: F.coalesce(F.try_url_decode(x), x)
 
+    once = lambda value, use: F.get(F.transform(F.array(value), use), F.lit(0))  # noqa: E731 - what is named in a function is computed once, not wherever it stands
+
     def safe(p: Column) -> Column:
-        key, value = decoded(F.substring_index(p, "=", 1)), decoded(F.regexp_extract(p, r"=(.*)$", 1))
+        key, value = p["key"], p["value"]
         kept = F.when(key == "primary_keyword", F.concat(F.lit("sha256:"), F.substring(F.sha2(value, 256), 1, 16))).when(key == "country", F.when(F.rlike(value, F.lit("^[A-Z]{3}$")), value).otherwise("redacted"))
         for name, allowed in shown.items():
             kept = kept.when(key == name, F.when(value.isin(*allowed), value).otherwise("redacted"))
         return F.struct(key.alias("key"), F.when(value != "", kept).alias("value"))
 
-    pairs = F.filter(F.transform(query_pairs(url), safe), lambda p: p["value"].isNotNull())
-    keys = F.array_distinct(F.transform(pairs, lambda p: p["key"]))
-    values = lambda k: F.slice(F.transform(F.filter(pairs, lambda p: p["key"] == k), lambda p: p["value"]), 1, MOST_VALUES)
-    return F.struct(F.substring(F.sha2(url, 256), 1, 16).alias("feed_id"), F.map_from_arrays(keys, F.transform(keys, values)).alias("filters"))
+    named = F.transform(query_pairs(url), lambda p: F.struct(decoded(F.substring_index(p, "=", 1)).alias("key"), decoded(F.regexp_extract(p, r"=(.*)$", 1)).alias("value")))
+    shown_pairs = F.filter(F.transform(named, safe), lambda p: p["value"].isNotNull())
+
+    def filters(pairs: Column) -> Column:
+        values = lambda k: F.slice(F.transform(F.filter(pairs, lambda p: p["key"] == k), lambda p: p["value"]), 1, MOST_VALUES)
+        return once(F.array_distinct(F.transform(pairs, lambda p: p["key"])), lambda keys: F.map_from_arrays(keys, F.transform(keys, values)))
+
+    return F.struct(F.substring(F.sha2(url, 256), 1, 16).alias("feed_id"), once(shown_pairs, filters).alias("filters"))

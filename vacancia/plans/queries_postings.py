@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from vacancia.functions import money, urls, work
 from vacancia.operators import runs, upkeep
+from vacancia.operators.lineage import spread
 from vacancia.plans.registry import query
 from vacancia.sources import postings
 
@@ -165,7 +166,7 @@ def f23(t):
 FROM (SELECT p_partkey, p_brand, concat('https://x.example/jobs/rss/?exp_level=99y&exp_level=3y&secret=1&country=UKR&primary_keyword=', replace(p_brand, '#', '%23')) AS u FROM part) AS x""")
 def f42(t):
     url = F.concat(F.lit("https://x.example/jobs/rss/?exp_level=99y&exp_level=3y&secret=1&country=UKR&primary_keyword="), F.replace("p_brand", F.lit("#"), F.lit("%23")))
-    found = t.raw("part").select("p_partkey", urls.feed_identity(url, ("basic",)).alias("f"))
+    found = spread(t.raw("part").select("p_partkey", "p_brand")).select("p_partkey", F.explode(F.array(urls.feed_identity(url, ("basic",)))).alias("f"))
     return found.select("p_partkey", "f.feed_id", F.array_join(F.col("f.filters")["exp_level"], "|").alias("levels"), F.col("f.filters")["primary_keyword"][0].alias("category"), F.col("f.filters")["country"][0].alias("country"))
 
 
