@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from tests.conftest import rows
-from vacancia.llm import avi, bpe, covertree, extract, langid, licenses, nearcopies, packing, queries, quotes, simhash, toxicity
+from vacancia.llm import avi, bpe, common, covertree, extract, langid, licenses, nearcopies, packing, queries, quotes, simhash, toxicity
 from vacancia.llm.common import connected_components
 
 TOKENIZER = public_tokenizers.path(queries.TOKENIZER)
@@ -321,6 +321,19 @@ def test_components_of_a_path_and_a_hub(spark):
     assert connected_components(spark.createDataFrame([], "a long, b long")).collect() == []
 
 
+@pytest.mark.parametrize("local", [common.LOCAL_EDGES, 30])
+def test_components_of_few_edges_take_no_rounds(spark, monkeypatch, local):
+    """A long way took a checkpoint and some shuffles a round, each with a file or more for every partition."""
+    monkeypatch.setattr(common, "LOCAL_EDGES", local)
+    made, stored = [], common.checkpoint
+    monkeypatch.setattr(common, "checkpoint", lambda df: made.append(1) or stored(df))
+    way = [((i, None if i % 2 else i), (i + 1, None if (i + 1) % 2 else i + 1)) for i in range(100, 180)]
+    edges = spark.createDataFrame(way, "a struct<x:long,y:long>, b struct<x:long,y:long>").repartition(5)
+    found = {tuple(r["node"]): tuple(r["component"]) for r in connected_components(edges).collect()}
+    assert found == {x: (100, 100) for pair in way for x in pair}
+    assert len(made) == 2 or local < 100
+
+
 def vectors():
     r = np.random.default_rng(3)
     out = []
