@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tests.conftest import rows
-from vacancia.operators import dedup, intake
+from vacancia.operators import dedup, intake, lineage
 from vacancia.operators.lineage import components
 from vacancia.plans import QUERIES
 from vacancia.sources import splitting, static_source
@@ -290,3 +290,22 @@ def test_large_components_are_merged_in_rounds_of_blocks(spark):
     owners = df.selectExpr("id as opportunity_id", "id % 4 as source_id")
     found = dedup.greedy_merges(df, owners, component_pairs=300)
     assert rows(found) == sorted(((i, i - i % 4) for i in range(60) if i % 4), key=repr)
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_a_fault_alone_redacts_nothing(spark):
+    judged = intake.judge(spark.createDataFrame([listed("1")], LISTED), {"s1": ("jobs.example",)})
+    assert "regexp_replace" not in judged.where("fault is null").select("external_id", "fault")._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_listings_of_runs_are_read_and_dealt_once(spark):
+    """Listings were read, aggregated and judged anew for every use."""
+    held = lineage.bucketed(spark.range(50).selectExpr("id % 7 as a", "if(id % 7 = 3, null, cast(id as string)) as b", "id as n"), "a", "b")
+    both = held.join(held.where("n % 2 = 0").select("a", "b", F.lit(True).alias("even")).hint("merge"), ["a", "b"], "left").groupBy("a", "b").agg(F.count("*").alias("rows"), F.max("even").alias("even"))
+    assert "Exchange" not in plan_of(both)
+    assert sorted((tuple(r) for r in both.collect()), key=repr) == sorted([(a, str(i), 1, True if i % 2 == 0 else None) for i in range(50) if (a := i % 7) != 3] + [(3, None, 7, None)], key=repr)
+    assert not [r for r in spark.catalog.listTables() if r.name.startswith("bucketed_")]
+    assert "lineitem" not in plan_of(QUERIES["l3_archived_after_runs"](spark, FOLDER))

@@ -49,8 +49,8 @@ def judge(listings: DataFrame, hosts: Mapping[str, tuple[str, ...]]) -> DataFram
     for c, known in (("work_mode", WORK_MODES), ("kind", KINDS)):
         if c in listings.columns:
             form = form.when(~F.coalesce(F.col(c).isin(*known), F.lit(False)), F.concat(F.lit(f"{c} is unknown: "), F.coalesce(F.col(c), F.lit("null"))))
-    judged = listings.withColumn("reason", F.substring(redact(F.coalesce(reason, form)), 1, MOST_MESSAGE))
-    return judged.withColumn("fault", F.when(F.coalesce(link, F.lit(False)), "link").when(F.col("reason").isNotNull(), "form"))
+    # the fault doesn't hang on the redacted reason: who asks for it alone redacts nothing
+    return listings.withColumns({"reason": F.substring(redact(F.coalesce(reason, form)), 1, MOST_MESSAGE), "fault": F.when(link, "link").when(form.isNotNull(), "form")})
 
 
 def accepted(judged: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ from datetime import datetime
 
 from pyspark.sql import functions as F
 
-from vacancia.operators import intake
+from vacancia.operators import intake, lineage
 from vacancia.plans.bindings import HOSTS
 from vacancia.plans.queries_relational import SQL_ALERT, SQL_ISSUES
 from vacancia.plans.registry import query
@@ -124,26 +124,31 @@ def l13_log_stream(t):
 NOW = datetime(2026, 1, 1)
 
 
-def _fetched(t):
-    """Listings as sources show them, whole runs of most sources: some links lead elsewhere, some fields have no valid form."""
-    n = F.col("quality_score")
-    rows = t.listings.groupBy("source_id", "external_id").agg(F.min(F.struct("id", "source_url", "quality_score", "is_active")).alias("l")).select("source_id", "external_id", "l.*")
-    return rows.where("source_id % 11 <> 5 and not (source_id % 4 = 1 and quality_score % 3 = 0)").select(
+def _judged(t):
+    """Listings by key as sources show them (``fetched``: whole runs of most sources): some links lead elsewhere, some fields have no valid form. ``is_active``: whether any of a key is."""
+    key, n = ["source_id", "external_id"], F.col("quality_score")
+    # keys hardly repeat: rows are dealt out as they are and sorted once
+    dealt = t.listings.select(*key, F.struct("id", "source_url", "quality_score", "is_active").alias("l"), "is_active").repartition(*key)
+    rows = dealt.groupBy(*key).agg(F.min("l").alias("l"), F.max("is_active").alias("is_active")).select(*key, "l.source_url", "l.quality_score", "is_active")
+    listed = rows.select(
         "source_id", F.concat(F.lit("site"), F.col("source_id").cast("string")).alias("source_name"), "external_id", "source_url", F.when(n % 41 == 0, "").when(n % 43 != 0, "engineer").alias("title"), F.when(n % 47 == 0, F.repeat(F.lit("x"), F.lit(501))).otherwise("acme").alias("company"),
         F.when(n % 53 == 0, "us").when(n % 2 == 0, "usd").alias("salary_currency"), F.when(n % 59 == 0, "token=abc elsewhere").otherwise("remote").alias("work_mode"), F.lit("employment").alias("kind"), n.alias("n"),
+        "is_active", F.expr("source_id % 11 <> 5 and not (source_id % 4 = 1 and quality_score % 3 = 0)").alias("fetched"),
     )
+    return intake.judge(listed, HOSTS)
 
 
 def _runs(t):
-    judged = intake.judge(_fetched(t), HOSTS)
+    held = lineage.bucketed(_judged(t).select("source_id", "external_id", "fault", "n", "is_active", "fetched"), "source_id", "external_id")
+    judged = held.where("fetched").select("source_id", "external_id", "fault", "n")
     outcome = F.when(F.col("n") % 61 == 0, None).when(F.col("n") % 5 == 0, "created").when(F.col("n") % 5 == 1, "updated").when(F.col("n") % 5 == 2, "duplicate").otherwise("unchanged")
-    rows = intake.settled(judged, intake.accepted(judged).select("source_id", "external_id", outcome.alias("outcome")))
+    rows = intake.settled(judged, judged.where("fault is null").select("source_id", "external_id", outcome.alias("outcome")))
     k = F.col("id")
     fetches = t.sources.select(
         k.alias("source_id"), (k * 3).alias("candidates"), (k % 5).alias("filtered"), F.when(k % 13 == 0, 2).otherwise(0).cast("long").alias("detail_failures"), F.lit(0).cast("long").alias("metadata_deferred"), (k % 3).alias("pages"), (k % 17 == 0).alias("limit_reached"),
         F.when(k % 9 == 0, F.array(F.lit("slow; token=secret"))).alias("warnings"), F.when(k % 10 == 0, "https://user:pass@host failed").alias("terminal_error"), F.lit(True).alias("deactivates"),
     )
-    stored_listings = t.listings.groupBy("source_id", "external_id").agg(F.max("is_active").alias("is_active"), F.lit(None).cast("string").alias("archive_reason"))
+    stored_listings = held.select("source_id", "external_id", "is_active", F.lit(None).cast("string").alias("archive_reason"))
     snapshots = stored_listings.where("source_id % 6 = 2 and external_id like '%-1'").select("source_id", "external_id")
     return judged, intake.reconciled(intake.counters(rows, fetches), stored_listings, judged, snapshots), stored_listings, snapshots
 
@@ -176,7 +181,7 @@ def l1(t):
     "SELECT * FROM (SELECT source_id, external_id, CASE WHEN link THEN 'link' ELSE 'form' END AS fault, CASE WHEN link THEN concat('Unexpected listing URL for site', source_id, '.') WHEN n % 41 = 0 OR n % 43 = 0 THEN 'title is too short' WHEN n % 47 = 0 THEN 'company is too long' WHEN n % 53 = 0 THEN 'salary_currency is too short' WHEN n % 59 = 0 THEN 'work_mode is unknown: token=abc elsewhere' END AS reason FROM f) AS x WHERE reason IS NOT NULL",
 )
 def l1_quarantine(t):
-    return intake.quarantine(intake.judge(_fetched(t), HOSTS)).select("source_id", "external_id", "fault", "reason")
+    return intake.quarantine(_judged(t).where("fetched")).select("source_id", "external_id", "fault", "reason")
 
 
 @query("l3_archived_after_runs", SQL_RUNS + """ SELECT l.source_id, l.external_id, CASE WHEN f.source_id IS NOT NULL THEN true WHEN l.is_active AND mode IS NOT NULL AND NOT blocked AND snap.source_id IS NULL THEN false ELSE l.is_active END AS is_active, CASE WHEN f.source_id IS NULL AND l.is_active AND mode IS NOT NULL AND NOT blocked AND snap.source_id IS NULL THEN CASE WHEN mode = 'exact' THEN 'source_closed' ELSE 'missing' END END AS archive_reason
