@@ -309,3 +309,8 @@ def test_listings_of_runs_are_read_and_dealt_once(spark):
     assert sorted((tuple(r) for r in both.collect()), key=repr) == sorted([(a, str(i), 1, True if i % 2 == 0 else None) for i in range(50) if (a := i % 7) != 3] + [(3, None, 7, None)], key=repr)
     assert not [r for r in spark.catalog.listTables() if r.name.startswith("bucketed_")]
     assert "lineitem" not in plan_of(QUERIES["l3_archived_after_runs"](spark, FOLDER))
+
+
+def test_listings_of_outcomes_are_read_once(spark):
+    """Listings were aggregated and shuffled anew for new ones, known ones, owners and the result; new ones took their wide columns before they were told from known ones."""
+    assert "lineitem" not in plan_of(QUERIES["k3_ingest_outcomes"](spark, FOLDER))

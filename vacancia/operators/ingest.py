@@ -61,9 +61,10 @@ def outcomes(incoming: DataFrame, listings: DataFrame, opportunities: DataFrame)
     listing of another source.
     """
     known = listings.select("source_id", "external_id", F.col("content_hash").alias("known_hash"), F.col("opportunity_id").alias("known_opportunity"))
-    keyed = incoming.join(known, ["source_id", "external_id"], "left")
-    first = cross_source(keyed.where("known_hash is null").drop("known_hash", "known_opportunity"), listings, opportunities)
-    joined = keyed.join(first, ["source_id", "external_id"], "left")
+    # an anti join goes below what gives the incoming rows their columns
+    new = incoming.join(known.where("known_hash is not null").select("source_id", "external_id"), ["source_id", "external_id"], "left_anti")
+    first = cross_source(new, listings, opportunities)
+    joined = incoming.join(known, ["source_id", "external_id"], "left").join(first, ["source_id", "external_id"], "left")
     outcome = F.when(F.col("known_hash").isNull(), F.when(F.col("candidate").isNotNull(), "duplicate").otherwise("created")).when(F.col("known_hash") == F.col("content_hash"), "unchanged").otherwise("updated")
     return joined.select("source_id", "external_id", outcome.alias("outcome"), F.coalesce("known_opportunity", "candidate").alias("opportunity_id"))
 

@@ -7,7 +7,7 @@ from datetime import datetime
 from pyspark.sql import functions as F
 
 from vacancia.functions.urls import trusted_listing
-from vacancia.operators import dedup, ingest, listings, predicates, runs, stats
+from vacancia.operators import dedup, ingest, lineage, listings, predicates, runs, stats
 from vacancia.plans.bindings import HOSTS
 from vacancia.plans.registry import query
 
@@ -375,7 +375,10 @@ SELECT inc.src AS source_id, inc.ext AS external_id, CASE WHEN known.lid IS NULL
 FROM inc LEFT JOIN known ON known.lid = inc.lid LEFT JOIN dup ON dup.src = inc.src AND dup.ext = inc.ext""",
 )
 def k3(t):
-    first = t.listings.groupBy("source_id", "external_id").agg(F.min_by(F.struct("opportunity_id", "version", "is_active"), F.struct("id", "version", "is_active")).alias("l")).select("source_id", "external_id", "l.*")
+    # keys hardly repeat: rows are dealt out as they are and sorted once, and all that is asked of them by key reads their buckets
+    dealt = t.listings.select("source_id", "external_id", F.struct("id", "version", "is_active", "opportunity_id").alias("l")).repartition("source_id", "external_id")
+    first = dealt.groupBy("source_id", "external_id").agg(F.min("l").alias("l")).select("source_id", "external_id", "l.opportunity_id", "l.version", "l.is_active")
+    first = lineage.bucketed(first, "source_id", "external_id")
     key = F.when(F.col("company").isNull(), F.concat(F.lit("|"), "title")).otherwise(F.concat("company", F.lit("|"), "title"))
     jobs = t.opportunities.withColumns({"canonical_key": key, "description": F.lit(PROSE), "published_at": F.lit(datetime(2024, 1, 1)) + F.make_dt_interval((F.col("id") % 20).cast("int"))})
     version = F.col("version").cast("int").cast("string")
