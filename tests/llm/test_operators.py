@@ -373,6 +373,23 @@ def test_bounds_settle_pairs_and_links_are_exact(dimensions, centers, spread, se
     assert len({links.root(i) for i in range(600)}) == len(set(label.tolist()))
 
 
+@pytest.mark.parametrize(("dimensions", "centers", "spread"), [(64, 600, 1.0), (8, 40, 0.2), (3, 600, 1.0)])
+def test_two_sides_open_a_node_for_all_that_wait_for_it(monkeypatch, dimensions, centers, spread):
+    """A flat tree was opened anew for each child of the other side's."""
+    r = np.random.default_rng(1)
+    v = r.standard_normal((centers, dimensions))[r.integers(0, centers, 1200)] + r.standard_normal((1200, dimensions)) * spread * 0.1
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    right, weights, compared, gaps = r.random(1200) < 0.5, r.integers(1, 4, 1200), [], covertree.gaps
+    trees = [covertree.cover_tree(v, np.flatnonzero(side)) for side in (~right, right)]
+    links = covertree.Links(v, weights, np.ones(1200, bool), 0.98)
+    monkeypatch.setattr(covertree, "gaps", lambda *a: compared.append(1) or gaps(*a))
+    covertree.dual_traversal(links, *trees, float(np.sqrt(0.04)))
+    near = (v @ v.T >= 0.98) & (right[:, None] != right[None, :])
+    assert (links.counts == near @ weights).all()
+    assert links.pruned + links.linked_whole + links.multiplied == int(right.sum()) * int((~right).sum())
+    assert len(compared) < 100 or dimensions < 64
+
+
 def test_vectors_of_no_rows(spark):
     assert covertree.near_vectors(spark.createDataFrame([], "vec_id long, embedding array<float>, label int, v int")).collect() == []
 

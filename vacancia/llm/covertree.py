@@ -174,6 +174,7 @@ def dual_traversal(links: Links, a: Node, b: Node, eps: float) -> None:
             links.pruned += int(np.array([len(n.points) for n in some]) @ ((far & meet) @ sizes))
             meet &= ~far
             near = meet & (gap + reach <= eps - SLACK)
+            wider: dict[int, list[Node]] = {}  # nodes that wait for another one to be opened, which is opened for all of them at once
             for k in np.flatnonzero(meet.any(1)).tolist():
                 n = some[k]
                 if near[k].any():
@@ -183,12 +184,15 @@ def dual_traversal(links: Links, a: Node, b: Node, eps: float) -> None:
                     leaves = meet[k] & ~near[k] & ~wide
                     if leaves.any():
                         links.block(n.points, points[np.repeat(leaves, sizes)], False)
-                    todo += [(others[j], [n]) for j in rest[wide[rest]]]
+                    for j in rest[wide[rest]].tolist():
+                        wider.setdefault(j, []).append(n)
                     continue
                 mine = ~wide[rest] | (radii[rest] <= n.radius)
                 if mine.any():
                     todo.append((n, [others[j] for j in rest[mine]]))
-                todo += [(others[j], [n]) for j in rest[~mine]]
+                for j in rest[~mine].tolist():
+                    wider.setdefault(j, []).append(n)
+            todo += [(others[j], nodes) for j, nodes in wider.items()]
 
 
 def link_group(ids: np.ndarray, vectors: np.ndarray, weights: np.ndarray, home: np.ndarray, right: np.ndarray | None, cosine: float = COSINE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
