@@ -3,6 +3,7 @@
 import hashlib
 import os
 import random
+import sys
 import zlib
 from itertools import pairwise
 
@@ -373,6 +374,21 @@ def test_bounds_settle_pairs_and_links_are_exact(dimensions, centers, spread, se
     assert len({links.root(i) for i in range(600)}) == len(set(label.tolist()))
 
 
+def test_packing_keeps_what_fits_and_makes_a_piece_once():
+    """Pieces that chunks share were encoded for each chunk anew."""
+    made = []
+    kept = packing.Kept(lambda key: made.append(key) or key.encode(), 30_000)
+    assert all(kept[f"k{i}"] == f"k{i}".encode() for i in range(2000)) and len(made) == 2000
+    assert sum(map(sys.getsizeof, [*kept, *kept.values()])) + 100 * len(kept) <= 30_000 and len(kept) + len(kept._older) > 100
+    assert kept["k1999"] == b"k1999" and kept[next(iter(kept._older))] and len(made) == 2000
+    assert kept["x" * 9000] == b"x" * 9000 == kept["x" * 9000] and len(made) == 2002
+    content = open(TOKENIZER, encoding="utf-8").read()
+    plain = packing.SegmentTreeBpe(content)
+    texts_ = ["word word, word. (word) Word! Été, été. <|endoftext|>x", "", "it's 12 12,", *["a" * k + "!" for k in range(60)]]
+    for cache_bytes in (80 << 20, 3000):
+        assert packing.chunk_ids(content, b"\2\0\0\0", cache_bytes)(texts_) == [np.array([*plain.encode(t), 2], "<u4").tobytes() for t in texts_]
+
+
 @pytest.mark.parametrize(("dimensions", "centers", "spread"), [(64, 600, 1.0), (8, 40, 0.2), (3, 600, 1.0)])
 def test_two_sides_open_a_node_for_all_that_wait_for_it(monkeypatch, dimensions, centers, spread):
     """A flat tree was opened anew for each child of the other side's."""
