@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from vacancia.operators import dedup
-from vacancia.operators.lineage import stored
+from vacancia.operators.lineage import stored, written
 from vacancia.operators.predicates import expiration_action
 
 MISSING_GUARD = (4, 5)  # the share of missing listings above which nothing is deactivated, as a fraction
@@ -75,10 +75,9 @@ def cross_source(incoming: DataFrame, listings: DataFrame, opportunities: DataFr
     # of the active sources of an opportunity, two suffice to say whether another source than one's own has it
     owners = listings.where("is_active").groupBy("opportunity_id").agg(F.min("source_id").alias("low"), F.max("source_id").alias("high"))
     owned = opportunities.join(owners, F.col("id") == F.col("opportunity_id")).drop("opportunity_id")
-    new, old = dedup.signed(ready(incoming, "source_id", "external_id")), dedup.signed(ready(owned, "id", "low", "high"))
-    again = lambda keep: ready(keep(incoming)).unionByName(ready(keep(opportunities)))
+    new, old = written(ready(incoming, "source_id", "external_id")), written(ready(owned, "id", "low", "high"))
     foreign = (F.col("y.low") != F.col("x.source_id")) | (F.col("y.high") != F.col("x.source_id"))
-    return dedup.matched(new, old, again).where(foreign).groupBy("x.source_id", "x.external_id").agg(F.min("y.id").alias("candidate"))
+    return dedup.matched(new, old).where(foreign).groupBy("x.source_id", "x.external_id").agg(F.min("y.id").alias("candidate"))
 
 
 def reconcile(listings: DataFrame, seen: DataFrame, reason: str = "missing") -> DataFrame:
