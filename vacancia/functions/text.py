@@ -121,7 +121,7 @@ def term_hit(text: Column, term: str) -> Column:
     """Whether a term stands in a text with no word character beside it."""
     import re
 
-    return F.rlike(text, F.lit(r"(^|[^\p{L}\p{N}_])" + re.escape(term) + r"($|[^\p{L}\p{N}_])"))
+    return F.contains(text, F.lit(term)) & F.rlike(text, F.lit(r"(^|[^\p{L}\p{N}_])" + re.escape(term) + r"($|[^\p{L}\p{N}_])"))
 
 
 def escape_like(text: str) -> str:
