@@ -1,7 +1,9 @@
 """Splitting, deliveries, merges and runs against sequential brute force."""
 
 import datetime as dt
+import json
 import random
+from types import SimpleNamespace
 
 import pytest
 from pyspark.sql import functions as F
@@ -314,3 +316,54 @@ def test_listings_of_runs_are_read_and_dealt_once(spark):
 def test_listings_of_outcomes_are_read_once(spark):
     """Listings were aggregated and shuffled anew for new ones, known ones, owners and the result; new ones took their wide columns before they were told from known ones."""
     assert "lineitem" not in plan_of(QUERIES["k3_ingest_outcomes"](spark, FOLDER))
+
+
+class Held:
+    """A state of a key that counts its calls."""
+
+    def __init__(self):
+        self.value, self.rows, self.timers, self.calls = None, [], [], 0
+
+    def __getattr__(self, name):
+        def call(*args):
+            self.calls += 1
+            if name == "get":
+                return iter(self.rows) if self is self.of.lists else self.value
+            if name == "registerTimer":
+                self.timers.append(args[0])
+            elif name == "update":
+                self.value = args[0]
+            else:
+                self.rows = {"appendValue": [*self.rows, *args], "put": args[0] if args else [], "clear": []}[name]
+
+        return call
+
+
+def test_neighbouring_opportunities_share_calls_of_state():
+    """Each opportunity had calls of its own for events, delivery and timers, and a frame."""
+    handle, values, lists = Held(), Held(), Held()
+    for x in (handle, values, lists):
+        x.__dict__["of"] = SimpleNamespace(lists=lists)
+    p = deliveries.NeighbouringDeliveries()
+    p.init(SimpleNamespace(getValueState=lambda *_: values, getListState=lambda *_: lists, registerTimer=handle.registerTimer))
+    r, known = random.Random(1), []
+    base = {"event_key": "k", "message_text": "m", "source_url": "u", "error": "e", "hidden": False, "recorded_ms": None}
+    for op in range(16):
+        for seq in range(12):
+            known.append(base | {"opportunity_id": op, "at_ms": 1 + r.randrange(400_000), "seq": 100 * op + seq, "kind": r.choice(["offer", "claim", "result", "retry"]), "ok": r.random() < 0.3})
+    at = lambda ms: SimpleNamespace(getCurrentWatermarkInMs=lambda: ms)
+    assert not list(p.handleInputRows(("0",), ((None, None, json.dumps(e)) for e in known), at(0))) and handle.calls + values.calls + lists.calls == 2
+    found, passed = [], 0
+    while passed < 4_000_000:
+        passed += 200_000
+        while handle.timers and min(handle.timers) <= passed:
+            handle.timers = [t for t in handle.timers if t > passed]
+            found += [tuple(x) for x in p.handleExpiredTimer(("0",), at(passed), None)]
+    assert handle.calls + values.calls + lists.calls < 60 and not lists.rows
+    want = []
+    for op in range(16):
+        _, log = deliveries.walk(None, sorted((e for e in known if e["opportunity_id"] == op), key=lambda e: (e["at_ms"], e["seq"])), passed)
+        want += [(op, *x) for x in log]
+    assert any(x[3] == "due" for x in want) and sorted(found, key=repr) == sorted(want, key=repr)
+    late = list(p.handleInputRows(("0",), [(None, None, json.dumps(known[0]))], at(passed)))
+    assert [(x["opportunity_id"], x["action"], x["status"]) for x in late] == [(0, "late", None)] and not lists.rows

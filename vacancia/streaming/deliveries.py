@@ -20,10 +20,11 @@ Defined results: an unknown kind changes nothing ("ignored"); a null opportunity
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -31,8 +32,15 @@ EVENT = "opportunity_id long, at timestamp, seq long, kind string, event_key str
 DELIVERY = "status string, attempts long, event_key string, message_text string, source_url string, next_ms long, sent_ms long, last_error string, told boolean"
 LOG = "opportunity_id long, at timestamp, seq long, action string, status string, attempts long, event_key string, message_text string, source_url string, next_attempt_at timestamp, sent_at timestamp, last_error string"
 _FIELDS = [f.split()[0] for f in DELIVERY.split(", ")]
+#: The log as a task makes it: times in milliseconds.
+_LOG_MS = LOG.replace("timestamp", "long")
+_LOGGED = Row(*(f.split()[0] for f in LOG.split(", ")))
 _HELD = ("at_ms", "seq", "kind", "event_key", "message_text", "source_url", "ok", "error", "hidden", "recorded_ms")
 _HELD_SCHEMA = "at_ms long, seq long, kind string, event_key string, message_text string, source_url string, ok boolean, error string, hidden boolean, recorded_ms long"
+#: State as JSON, a text for all events that came at once and one for all deliveries: a row of state each costs more than its transition.
+_TEXTS_SCHEMA, _STATE_SCHEMA = "events string", "deliveries string"
+#: Opportunities of neighbouring ids, two to the power of it, that share a key of state: each call for a key's state or timer costs more than a walk.
+SHARED_BITS = 4
 # Seconds until the next attempt double up to an hour; the longest error that is kept.
 FIRST_DELAY, MOST_DELAY, MOST_ERROR = 60, 3600, 2000
 INTERRUPTED = "Interrupted before delivery confirmation."
@@ -141,7 +149,7 @@ def _in_ms(events: DataFrame) -> DataFrame:
 
 
 class Deliveries(StatefulProcessor):
-    """Value state: the delivery. List state: events that the watermark hasn't passed. Timers: the earliest held event's time, the time of the next attempt."""
+    """An opportunity a key. Value state: the delivery. List state: events that the watermark hasn't passed. Timers: the earliest held event's time, the time of the next attempt."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
@@ -183,11 +191,79 @@ class Deliveries(StatefulProcessor):
         pass
 
 
-def delivery_log(events: DataFrame, delay: str = "0 seconds") -> DataFrame:
-    """The log of a stream of events that come at most ``delay`` late; its session needs the state store STORE."""
-    named = F.coalesce(F.col("opportunity_id").cast("string"), F.lit("")).alias("key")  # a null key's rows may fall to another key's state
-    rows = _in_ms(events).withWatermark("at", delay).select(named, "*")
-    return rows.groupBy("key").transformWithStateInPandas(Deliveries(), LOG, "append", "eventTime")
+class NeighbouringDeliveries(StatefulProcessor):
+    """Value state: the deliveries of the opportunities of a key. List state: events that the watermark hasn't passed. Timers: the earliest time of a held event or a next attempt.
+
+    Rows are plain ones, not frames: a key has few in a batch, and a frame of each costs more than its transitions. They are (key, at, event as JSON).
+    """
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.deliveries = handle.getValueState("deliveries", _STATE_SCHEMA)
+        self.waiting = handle.getListState("waiting", _TEXTS_SCHEMA)
+
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        passed = timerValues.getCurrentWatermarkInMs()
+        events = json.loads("[" + ",".join(row[2] for row in rows) + "]")
+        late = [e for e in events if e["at_ms"] <= passed] if passed > 0 else []
+        new = [e for e in events if e["at_ms"] > passed] if late else events
+        if new:
+            self.waiting.appendValue((json.dumps(new),))
+            self.handle.registerTimer(min(e["at_ms"] for e in new))  # the others' times follow as it fires
+        for e in sorted(late, key=_order):
+            yield _LOGGED(e["opportunity_id"], e["at_ms"], e["seq"], "late", *(None,) * 8)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        passed = timerValues.getCurrentWatermarkInMs()
+        held = [e for (events,) in self.waiting.get() for e in json.loads(events)]
+        found = self.deliveries.get()
+        before: dict[str, dict] = {} if found is None else json.loads(found[0])
+        ready: dict[str, list[dict]] = {name: [] for name, d in before.items() if _attempt(d, passed) is not None}
+        for e in sorted((e for e in held if e["at_ms"] <= passed), key=_order):
+            ready.setdefault(_name(e), []).append(e)
+        after = dict(before)
+        for name, events in ready.items():
+            d, log = walk(before.get(name), events, passed)
+            if d is not None:
+                after[name] = d
+            yield from (_LOGGED(int(name) if name else None, *row) for row in log)
+        rest = [e for e in held if e["at_ms"] > passed]
+        if len(rest) < len(held):
+            self.waiting.put([(json.dumps(rest),)]) if rest else self.waiting.clear()
+        if after != before:
+            self.deliveries.update((json.dumps(after),))
+        times = [e["at_ms"] for e in rest] + [d["next_ms"] for d in after.values() if _attempt(d) is not None]
+        if times and (ready or rest):
+            self.handle.registerTimer(min(times))
+
+    def close(self) -> None:
+        pass
+
+
+def _name(e: dict) -> str:
+    """An opportunity's name in a key's state."""
+    return "" if e["opportunity_id"] is None else str(e["opportunity_id"])
+
+
+def _attempt(d: dict, by: int | None = None) -> int | None:
+    """When a failed delivery comes due, if nothing has told so and it is so by a time."""
+    at = d["next_ms"] if d["status"] == "failed" and not d["told"] else None
+    return at if at is None or by is None or at <= by else None
+
+
+def delivery_log(events: DataFrame, delay: str = "0 seconds", neighbours: bool = True) -> DataFrame:
+    """The log of a stream of events that come at most ``delay`` late; its session needs the state store STORE.
+
+    ``neighbours`` share a key of state, which spares calls and frames; without it an event rewrites the state of its opportunity alone.
+    """
+    rows, opportunity = _in_ms(events).withWatermark("at", delay), F.col("opportunity_id")
+    key = lambda c: F.coalesce(c.cast("string"), F.lit("")).alias("key")  # noqa: E731  a null key's rows may fall to another key's state
+    if not neighbours:
+        return rows.select(key(opportunity), "*").groupBy("key").transformWithStateInPandas(Deliveries(), LOG, "append", "eventTime")
+    event = F.to_json(F.struct("opportunity_id", *_HELD), {"ignoreNullFields": "false"}).alias("event")
+    shared = rows.select(key(F.shiftright(opportunity, SHARED_BITS)), "at", event).groupBy("key")
+    log = shared.transformWithState(NeighbouringDeliveries(), _LOG_MS, "append", "eventTime")
+    return log.withColumns({c: F.timestamp_millis(c) for c in ("at", "next_attempt_at", "sent_at")})
 
 
 def replay(events: DataFrame, until_ms: int) -> DataFrame:
